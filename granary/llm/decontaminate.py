@@ -18,27 +18,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from granary.llm.textkit import ALNUM, Words, mix64, pieces, settle
+from granary.llm.textkit import ALNUM, Words, pieces, settle, window_hashes
 
 WIDTH = 10
 #: Largest number of benchmark windows and of bytes of benchmark text that are broadcast.
 MAX_WINDOWS, MAX_BYTES = 500_000, 64 << 20
 
-_REPORT = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
-
-
-def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
-    """Hash of h[i:i + width] for each i at which a whole window starts."""
-    n = len(h) - width + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    out = np.full(n, width, dtype=np.uint64)
-    for j in range(width):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
-    return mix64(out)
+_SPAN = T.StructType().add("start", "integer").add("end", "integer")
+_FOUND = T.StructType().add("n_words", "long").add("n_hit", "long").add("items", T.ArrayType(T.StringType())).add("spans", T.ArrayType(_SPAN))
+#: The column that scan() adds.
+FOUND = "__found"
 
 
 def item_windows(text: bytes, width: int) -> tuple[Words, np.ndarray, int]:
@@ -92,30 +85,39 @@ def scan_piece(texts: list[bytes], index: dict) -> list[tuple[int, int, list[str
     return out
 
 
-def _as_batch(doc_id: pa.Array, rows: list) -> pa.RecordBatch:
+def _with_found(columns: dict[str, pa.Array], rows: list) -> pa.RecordBatch:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    n, k, items, spans = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([doc_id, pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, span)], ["doc_id", "n_words", "n_hit", "items", "spans"])
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), span]
+    parts = zip(*rows, strict=True) if rows else ((),) * 4
+    found = pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in zip(parts, kinds, strict=True)], _FOUND.names)
+    return pa.RecordBatch.from_arrays([*columns.values(), found], [*columns, FOUND])
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted ids as strings), spans (byte spans of runs of hit words)."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, width: int = WIDTH, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """The columns ``keep`` of docs (doc_id) and __found: n_words, n_hit, items (sorted ids as strings), spans (byte spans of runs of hit words)."""
+    keep = keep or ["doc_id"]
+    docs = docs.select(*[F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in dict.fromkeys([*keep, "text"])])
+    schema = T.StructType([docs.schema[c] for c in keep]).add(FOUND, _FOUND)
     items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text")), F.sum(F.size(F.split("text", "[^0-9A-Za-z\\x80-\\x{10FFFF}]+")))).first()
     if (size[0] or 0) > MAX_BYTES or (size[1] or 0) > max_windows:
-        return _scan_joined(docs, items, width)
+        return _scan_joined(docs, items, keep, schema, width)
     index = docs.sparkSession.sparkContext.broadcast(build_index([(r[0], r[1].encode().lower()) for r in items.collect()], width))
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _as_batch(batch.column("doc_id"), [x for _, texts in pieces(batch.column("text"), lower=True) for x in scan_piece(texts, index.value)])
+            rows = [x for _, texts in pieces(batch.column("text"), lower=True) for x in scan_piece(texts, index.value)]
+            yield _with_found({c: batch.column(c) for c in keep}, rows)
+
+    return docs.mapInArrow(scanned, schema)
 
-    return docs.mapInArrow(scanned, _REPORT)
 
+def _scan_joined(docs: DataFrame, items: DataFrame, keep: list[str], schema: T.StructType, width: int) -> DataFrame:
+    """scan() by joins on windows, for a benchmark too large to broadcast.
 
-def _scan_joined(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
-    """scan() by joins on window hashes, for a benchmark too large to broadcast."""
+    The windows that both sides have come from the benchmark's side, so a passage that many
+    texts share is joined to one row of it.
+    """
 
     def item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,13 +142,13 @@ def _scan_joined(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
                     at = np.flatnonzero(row_of[: len(w)] == row_of[n - 1 :]) if len(w) else np.zeros(0, dtype=np.int64)
                     text = [b" ".join(words.word(j) for j in range(i, i + n)) for i in at.tolist()]
                     row = row_of[at]
-                    yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(first + row)), pa.array(at - b[row], pa.int32()), pa.array(w[at].view(np.int64)), pa.array(np.full(len(at), n, np.int32)), pa.array(text, pa.binary())], ["row", "at", "h", "size", "words"])
+                    yield pa.RecordBatch.from_arrays([batch.column("__row").take(pa.array(first + row)), pa.array(at - b[row], pa.int32()), pa.array(w[at].view(np.int64)), pa.array(np.full(len(at), n, np.int32)), pa.array(text, pa.binary())], ["__row", "at", "h", "size", "words"])
 
     def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            hits = batch.column("hits").to_pylist()
-            ids = batch.column("items").to_pylist()
+            hits = batch.column("__hits").to_pylist()
+            ids = batch.column("__items").to_pylist()
             at = 0
             for _, texts in pieces(batch.column("text"), lower=True):
                 words = Words(texts, ALNUM)
@@ -156,32 +158,32 @@ def _scan_joined(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
                     hit = np.unique(np.concatenate([np.arange(low + x["at"], low + x["at"] + x["size"]) for x in hits[at] or []] or [np.zeros(0, dtype=np.int64)]))
                     rows.append((int(words.bounds[r + 1] - low), len(hit), sorted(set(ids[at] or [])), _merge(hit, words, row_starts[r]) if len(hit) else []))
                     at += 1
-            yield _as_batch(batch.column("doc_id"), rows)
+            yield _with_found({c: batch.column(c) for c in keep}, rows)
 
-    numbered = settle(docs.withColumn("row", F.monotonically_increasing_id()))
-    found = numbered.select("row", "text").mapInArrow(doc_rows, "row long, at int, h long, size int, words binary").join(windows, ["h", "size", "words"])
-    per_row = found.groupBy("row").agg(F.collect_set(F.struct("at", "size")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("items"))
-    return numbered.join(per_row, "row", "left").select("doc_id", "text", "hits", "items").mapInArrow(verdicts, _REPORT)
+    numbered = settle(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = numbered.select("__row", "text").mapInArrow(doc_rows, "__row long, at int, h long, size int, words binary").join(windows, ["h", "size", "words"])
+    per_row = found.groupBy("__row").agg(F.collect_set(F.struct("at", "size")).alias("__hits"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("__items"))
+    return numbered.join(per_row, "__row", "left").drop("__row").mapInArrow(verdicts, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The digest of scan(): counts, a hash of the occurring item ids, and contaminated."""
-    joined = F.array_join("items", ",")
-    return scan(docs, benchmark).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    """The digest of scan(): doc_id, counts, a hash of the occurring item ids, and contaminated."""
+    joined = F.array_join(f"{FOUND}.items", ",")
+    hit = F.col(f"{FOUND}.n_hit")
+    counts = [F.col(f"{FOUND}.n_words"), hit, F.size(f"{FOUND}.items").cast("long").alias("n_items")]
+    return scan(docs, benchmark).select("doc_id", *counts, F.sha2(joined.cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those in which a window of an item occurs; all columns and other rows stay."""
-    hit = scan(docs, benchmark).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows in which a window of an item occurs; all columns and other rows stay."""
+    return scan(docs, benchmark, docs.columns).where(f"{FOUND}.n_hit = 0").drop(FOUND)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with the hit runs of words cut out of text; doc_id must be unique."""
-    spans = scan(docs, benchmark).where("n_hit > 0").select("doc_id", "spans")
-    raw = F.encode("text", "UTF-8")
-    starts = F.concat(F.array(F.lit(0)), F.col("spans.end"))
-    ends = F.concat(F.col("spans.start"), F.array(F.octet_length("text")))
+    """docs with the hit runs of words cut out of text."""
+    raw, spans = F.encode("text", "UTF-8"), F.col(f"{FOUND}.spans")
+    starts = F.concat(F.array(F.lit(0)), spans["end"])
+    ends = F.concat(spans["start"], F.array(F.octet_length("text")))
     kept = F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda x: F.decode(F.substring(raw, x["s"] + 1, x["e"] - x["s"]), "UTF-8"))
-    cut = F.when(F.col("spans").isNotNull(), F.concat_ws("", kept)).otherwise(F.col("text"))
-    return docs.join(spans, "doc_id", "left").withColumn("text", cut).select(docs.columns)
+    cut = F.when(F.size(spans) > 0, F.concat_ws("", kept)).otherwise(F.col("text"))
+    return scan(docs, benchmark, docs.columns).withColumn("text", cut).drop(FOUND)

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.textkit import settle
+
 WINDOW = 3
 
 
@@ -33,7 +35,8 @@ def windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 def removed_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, lines: the places that later occurrences of repeated windows cover."""
     each = windows(docs.where("doc_id is not null and text is not null").select("doc_id", "text"), size)
-    first = each.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max(F.struct("doc_id", "at")).alias("last")).where("first < last")
+    # Written first: a join of two plain tables is one whose large keys Spark can split.
+    first = settle(each.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max(F.struct("doc_id", "at")).alias("last")).where("first < last").drop("last"))
     later = each.join(first, ["h1", "h2"]).where(F.struct("doc_id", "at") > F.col("first"))
     covered = later.select("doc_id", F.explode(F.sequence("at", F.col("at") + size - 1)).alias("line"))
     return covered.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))

@@ -1,6 +1,7 @@
 """Near-duplicate documents: MinHash signatures under a multi-index Hamming join.
 
-A text's set holds its distinct 2-word shingles (words between white space, A-Z lowered).
+A text's set holds its distinct shingles of SHINGLE consecutive words (words stand between white
+space, A-Z lowered); a text of fewer words is one shingle.
 A signature keeps ``SYMBOLS`` MinHash values of 16 bits. It is cut into chunks of ``WIDTH``
 symbols. By the pigeonhole principle two signatures that differ in at most
 ``(ERRORS + 1) * chunks - 1`` symbols agree on all but ERRORS symbols of some chunk, so each
@@ -27,28 +28,27 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from granary.llm.textkit import NOT_SPACE, Words, mix64, pieces, settle
+from granary.llm.textkit import NOT_SPACE, Words, mix64, pieces, settle, window_hashes
 
 SYMBOLS, WIDTH, ERRORS = 50, 5, 1
+#: Words to a shingle, and the least similarity in percent.
+SHINGLE, PERCENT = 5, 80
 #: Members of one key that are compared with all others in one round.
 HUBS = 64
 
 
-def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
-    """For each text the sorted distinct 64-bit hashes of its shingles."""
+def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles; of fewer words, all of them are one."""
     for _, texts in pieces(column, lower=True):
         words = Words(texts, NOT_SPACE)
-        h = words.hashes()
-        pair = mix64(h[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[1:])
-        one = mix64(h ^ np.uint64(0xA5A5A5A55A5A5A5A))
-        b = words.bounds
+        h, b = words.hashes(), words.bounds
+        whole = window_hashes(h, width)
         for i in range(len(texts)):
-            n = b[i + 1] - b[i]
-            yield np.unique(pair[b[i] : b[i + 1] - 1]) if n > 1 else one[b[i] : b[i] + n]
+            n = int(b[i + 1] - b[i])
+            yield np.unique(whole[b[i] : b[i + 1] - width + 1]) if n >= width else window_hashes(h[b[i] : b[i + 1]], n) if n else h[:0]
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -66,23 +66,29 @@ def signature(shingles: np.ndarray, coefficients: tuple[np.ndarray, np.ndarray])
     return (mix64(least) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    co = _coefficients()
-    for batch in batches:
-        n, fp, sig = [], [], []
-        for s in shingle_sets(batch.column("text")):
-            n.append(len(s))
-            fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            sig.append(signature(s, co).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "fp", "sig"])
+def _features(width: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        co = _coefficients()
+        for batch in batches:
+            n, fp, sig = [], [], []
+            for s in shingle_sets(batch.column("text"), width):
+                n.append(len(s))
+                fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                sig.append(signature(s, co).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "fp", "sig"])
 
+    return rows
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = list(shingle_sets(batch.column("text")))
-        offsets = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
-        values = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "shingles"])
+
+def _sets(width: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(shingle_sets(batch.column("text"), width))
+            offsets = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
+            values = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "shingles"])
+
+    return rows
 
 
 def chunk_keys(signatures: np.ndarray) -> np.ndarray:
@@ -106,9 +112,9 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(node)], ["key", "node"])
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, fp (128-bit hash of the set; null if empty), sig."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_features, "doc_id long, n_shingles long, fp binary, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_features(width), "doc_id long, n_shingles long, fp binary, sig binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -141,18 +147,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").withColumn("i", both).where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
     docs has doc_id and text; other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    feats = settle(features(docs))
-    nodes = feats.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"))
+    feats = settle(features(docs, width))
+    nodes = settle(feats.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")))
     keys = settle(_shared(nodes.select("node", "sig").mapInArrow(_keys, "key long, node long")))
     tried = keys.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     # A document with one text per id and a changed text in a repeated row has a set for each.
-    sets = docs.join(keys.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>")
+    sets = docs.join(keys.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles array<long>")
     sets = settle(sets)
     links = settle(confirmed(tried, sets, percent))
     open_keys, seen = keys.where("members > 2"), None
@@ -180,11 +186,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 def _shared(keys: DataFrame) -> DataFrame:
     """key, node, hub, members for the keys of more than one node; hub is a key's smallest node."""
-    groups = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
+    # Written first: a join of two plain tables is one whose large keys Spark can split.
+    groups = settle(keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1"))
     return keys.join(groups, "key")
 
 
-def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
     """docs without the documents that are not the smallest doc_id of their component; all columns stay."""
-    gone = near_duplicates(docs, percent).where(~F.col("kept")).select("doc_id").distinct()
+    gone = near_duplicates(docs, percent, width).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -21,12 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.llm.sparse import Features, packed, unpacked
 
 FEATURES = Features(buckets=1 << 14, grams=(2, 3, 4), words=True)
 SAMPLE, DIM, EPOCHS, BATCH, RATE = 3000, 16, 40, 32, 40.0
 THRESHOLD = 0.7
+#: The column that score() adds.
+SCORE = "__score"
 
 
 def id_remainder(doc_id: Column, n: int) -> Column:
@@ -89,27 +92,28 @@ def train(docs: DataFrame, labels: DataFrame, remainder: int = 2, modulus: int =
     return fit([rows[i] for i in order], np.array([int(got["label"][i].as_py()) for i in order], dtype=np.int64))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """doc_id, score (probability of class 1) for every row of docs."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of docs (doc_id) and __score, the probability of class 1, for every row of docs."""
+    keep = keep or ["doc_id"]
+    docs = docs.select(*[F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in dict.fromkeys([*keep, "text"])])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, c = shared.value
         for batch in batches:
             odds = np.concatenate([x @ w + c for _, x in FEATURES.frequencies(batch.column("text"))] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array((1 / (1 + np.exp(-odds.astype(np.float64)))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(1 / (1 + np.exp(-odds.astype(np.float64))))], [*keep, SCORE])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, score double")
+    return docs.mapInArrow(rows, T.StructType([docs.schema[c] for c in keep]).add(SCORE, "double"))
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out (its row was barred from training), score, predicted (score >= THRESHOLD)."""
     scored = score(docs, train(docs, labels))
     held = F.coalesce(id_remainder(F.col("doc_id"), 4) == 2, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held.alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that are predicted 0; rows with a null doc_id are judged by no one and stay."""
-    gone = assess(docs, labels).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows that are predicted 0; all columns stay."""
+    return score(docs, train(docs, labels), docs.columns).where(F.col(SCORE) >= THRESHOLD).drop(SCORE)

@@ -58,6 +58,17 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """Hash of h[i:i + width] for each i at which a whole window starts."""
+    n = len(h) - width + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    out = np.full(n, width, dtype=np.uint64)
+    for j in range(width):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
+    return mix64(out)
+
+
 class Words:
     """The words of a piece: hashes, and for row i the slice bounds[i]:bounds[i + 1] of them."""
 

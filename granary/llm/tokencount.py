@@ -17,13 +17,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.llm.textkit import running_sum, settle
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public split pattern of this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-#: Longest piece of white-space-free text that is encoded at once, in characters.
 _encoders: dict[bytes, object] = {}
 
 
@@ -53,7 +53,7 @@ def token_lengths(docs: DataFrame, ranks: bytes) -> DataFrame:
             n = [len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], [*batch.schema.names, "n_tokens"])
 
-    return rest.mapInArrow(rows, rest.schema.add("n_tokens", "long"))
+    return rest.mapInArrow(rows, T.StructType([*rest.schema, T.StructField("n_tokens", T.LongType())]))
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
@@ -66,8 +66,8 @@ def limits(hist: DataFrame) -> DataFrame:
     hist = settle(hist)
     rows = hist.select("*", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.lit(0).alias("all"), (F.col("n_tokens") / 256).cast("long").alias("range"))
     run = running_sum(rows, ["all"], "range", [F.col("n_tokens")], {"docs_below": "n_docs", "tokens_below": "tokens"})
-    total = hist.agg(F.sum("n_docs").alias("total_docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("total_tokens"))
-    run = run.crossJoin(F.broadcast(total))  # one row
+    docs, tokens = hist.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum(F.col("n_docs") * F.col("n_tokens")), F.lit(0))).first()
+    run = run.withColumns({"total_docs": F.lit(docs).cast("long"), "total_tokens": F.lit(tokens).cast("long")})
     upto = F.col("docs_below") + F.col("n_docs")
     longer = F.col("total_docs") - upto
     return run.select(
@@ -77,11 +77,11 @@ def limits(hist: DataFrame) -> DataFrame:
 
 
 def answers(table: DataFrame, context_limits: list[int], quantiles: list[float]) -> DataFrame:
-    """kind, at, value: tokens kept when every text is cut at each limit, and the length at each quantile."""
-    last = F.max_by(F.struct("n_tokens", "tokens_upto", "docs_longer"), F.when(F.col("n_tokens") <= F.col("at"), F.col("n_tokens")))
-    spark = table.sparkSession
-    at = spark.createDataFrame([(int(x),) for x in context_limits], "at long")
-    cut = table.join(F.broadcast(at)).groupBy("at").agg(last.alias("x"), F.first("total_docs").alias("n"))
-    cut = cut.select(F.lit("cut").alias("kind"), F.col("at").cast("double"), (F.coalesce("x.tokens_upto", F.lit(0)) + F.coalesce("x.docs_longer", "n") * F.col("at")).alias("value"))
-    q = spark.createDataFrame([(float(x),) for x in quantiles], "at double")
-    return cut.union(table.join(F.broadcast(q)).where("quantile >= at").groupBy("at").agg(F.min("n_tokens").alias("value")).select(F.lit("quantile"), "at", "value"))
+    """kind, at, value: the tokens left when every text is cut at each limit, and the least length at each quantile."""
+    of_limits = table.withColumn("at", F.explode(F.array(*[F.lit(int(x)) for x in context_limits]).cast("array<bigint>")))
+    last = F.max_by(F.struct("tokens_upto", "docs_longer"), F.when(F.col("n_tokens") <= F.col("at"), F.col("n_tokens")))
+    cut = of_limits.groupBy("at").agg(last.alias("x"), F.first("total_docs").alias("n"))
+    value = F.coalesce("x.tokens_upto", F.lit(0)) + F.coalesce("x.docs_longer", "n") * F.col("at")
+    cut = cut.select(F.lit("cut").alias("kind"), F.col("at").cast("double").alias("at"), value.alias("value"))
+    of_quantiles = table.withColumn("at", F.explode(F.array(*[F.lit(float(x)) for x in quantiles]).cast("array<double>")))
+    return cut.union(of_quantiles.where("quantile >= at").groupBy("at").agg(F.min("n_tokens").alias("value")).select(F.lit("quantile"), "at", "value"))
