@@ -241,10 +241,15 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def _only(kind: int):
+    return lambda x: F.when(x == kind, x).otherwise(-1)
+
+
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256 and spans (all, as kind:start:end)."""
     rows = personal_data(docs).select("doc_id", "spans", F.filter("spans", lambda x: x["base"]).alias("base"))
-    counts = [F.size(F.filter("base", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    kinds = F.col("base.kind")
+    counts = [F.size(F.array_remove(F.transform(kinds, _only(i)), F.lit(-1))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return rows.select("doc_id", *counts, F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
