@@ -6,15 +6,17 @@ A signature keeps ``SYMBOLS`` MinHash values of 16 bits. It is cut into chunks o
 symbols. By the pigeonhole principle two signatures that differ in at most
 ``(ERRORS + 1) * chunks - 1`` symbols agree on all but ERRORS symbols of some chunk, so each
 chunk is indexed once for every way to leave ERRORS symbols out: signatures under that
-distance always share a key, and every pair that shares one is a candidate, however far apart
-the whole signatures are. A pair at Jaccard 0.8 differs in a fifth of its symbols and misses
+distance always share a key, and every pair that shares one is a candidate, with more
+differing symbols. A pair at Jaccard 0.8 differs in a fifth of its symbols and misses
 all chunks with a probability of 0.263 ** 10, about 2e-6. Candidates are confirmed on full sets.
 
-Groups are never expanded into pairs. Texts with equal sets are one node. Each key links its
-members to its smallest one, whatever its size; the components of the confirmed links are
-found, and only members that still lie outside the component of their key's smallest member
-are compared again, some at a time, with the members of other components, until none is left.
-So each two nodes that share a key are compared or already connected.
+Groups are never expanded into pairs. Texts with equal sets are one node, and each key links its
+members to its smallest one, its hub. Pairs whose signatures differ in more than DISTANCE of the
+symbols are left out (one in millions at a similarity of 0.8), the others compared on full sets, and
+the components of these links found. What is left are members of a key outside the component of its
+hub. All keys with hubs in one component form a family; each such member is compared with every
+member of its family, in blocks, so in the end each two nodes that share a key were compared or are
+connected. Of several links from a node into one component a block keeps one.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing.
 Rows that repeat a doc_id are one document. Rows with a null doc_id are kept and linked with nothing.
@@ -28,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.textkit import NOT_SPACE, Words, mix64, pieces, settle, window_hashes
@@ -36,8 +38,12 @@ from granary.llm.textkit import NOT_SPACE, Words, mix64, pieces, settle, window_
 SYMBOLS, WIDTH, ERRORS = 50, 5, 1
 #: Words to a shingle, and the least similarity in percent.
 SHINGLE, PERCENT = 5, 80
-#: Members of one key that are compared with all others in one round.
-HUBS = 64
+#: Largest number of differing symbols of a pair that is compared on full sets.
+DISTANCE = 26
+#: Members of a family outside its component, and members of any kind, that one block compares.
+APART_BLOCK, MEMBER_BLOCK = 256, 4096
+#: Shingle matches that are counted at once.
+MATCHES = 1 << 21
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -139,12 +145,96 @@ def components(links: DataFrame) -> DataFrame:
         edges = after
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(one, "a").join(two, "b").withColumn("i", both).where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose signatures differ in at most DISTANCE symbols."""
+    for batch in batches:
+        one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS) for c in ("sa", "sb"))
+        near = pa.array((one != two).sum(axis=1) <= DISTANCE)
+        yield batch.select(["a", "b"]).filter(near)
+
+
+class Block:
+    """The sets of a block's apart members, as an index from shingles to members."""
+
+    def __init__(self, nodes: list[int], comps: list[int], sets: list[np.ndarray], percent: int):
+        self.nodes, self.comps = np.array(nodes), np.array(comps)
+        self.sizes, self.percent = np.array([len(x) for x in sets]), percent
+        every = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(every, kind="stable")
+        self.owner = owner[order]
+        self.known, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
+        self.done: set[tuple[int, int]] = set()
+
+    def links(self, nodes: np.ndarray, comps: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
+        """(apart member, member) for similar pairs of different components; one for each apart member and component."""
+        owner = np.repeat(np.arange(len(nodes)), sizes)
+        at = np.minimum(np.searchsorted(self.known, values), len(self.known) - 1)
+        hit = np.flatnonzero(self.known[at] == values)
+        at, owner = at[hit], owner[hit]
+        out, width = [], len(self.nodes)
+        ends = np.cumsum(np.bincount(owner, weights=self.count[at], minlength=len(nodes)))
+        start = 0
+        while start < len(nodes):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + MATCHES, side="right")))
+            part = slice(*np.searchsorted(owner, [start, stop]))
+            n = self.count[at[part]]
+            skip = np.repeat(self.first[at[part]] - (np.cumsum(n) - n), n)
+            cell = np.repeat((owner[part] - start) * width, n) + self.owner[skip + np.arange(len(skip))]
+            both = np.bincount(cell, minlength=(stop - start) * width).reshape(-1, width)
+            union = sizes[start:stop, None] + self.sizes[None, :] - both
+            alike = (both > 0) & (100 * both >= self.percent * union) & (comps[start:stop, None] != self.comps[None, :])
+            for i, k in zip(*np.nonzero(alike), strict=True):
+                pair = (int(k), int(comps[start + i]))
+                if pair not in self.done:
+                    self.done.add(pair)
+                    out.append((int(self.nodes[k]), int(nodes[start + i])))
+            start = stop
+        return out
+
+
+def _compare(percent: int):
+    """Streams rows ordered by (block, side): a block's apart members (side 0), then the members they are compared with (side 1)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, block = None, ([], [], []), None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("family", "ab", "mb", "side")], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+                if a == b:
+                    continue
+                part, key = batch.slice(a, b - a), tuple(keys[a, :3].tolist())
+                if key != current:
+                    current, held, block = key, ([], [], []), None
+                nodes, comps, sets = part.column("node").to_numpy(), part.column("comp").to_numpy(), part.column("shingles")
+                values, sizes = sets.flatten().to_numpy(), sets.value_lengths().to_numpy().astype(np.int64)
+                if keys[a, 3] == 0:
+                    held[0].extend(nodes.tolist())
+                    held[1].extend(comps.tolist())
+                    held[2].extend(x.copy() for x in np.split(values, np.cumsum(sizes)[:-1]))
+                    continue
+                block = block or Block(*held, percent)
+                found = block.links(nodes, comps, values, sizes)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
+
+    return rows
+
+
+def family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): similar pairs of an apart member and a member of another component of the same family.
+
+    members is (family, node, comp, apart). Families of any size are cut into blocks.
+    """
+    count = members.groupBy("family").agg(F.ceil(F.count("*") / MEMBER_BLOCK).cast("int").alias("mbs"), F.ceil(F.count_if("apart") / APART_BLOCK).cast("int").alias("abs"))
+    sized = members.join(settle(count), "family")
+    lot = F.xxhash64("node")
+    ab, mb = F.pmod(lot, F.col("abs")).cast("int"), F.pmod(lot, F.col("mbs")).cast("int")
+    one = sized.where("apart").select("family", ab.alias("ab"), F.explode(F.sequence(F.lit(0), F.col("mbs") - 1)).alias("mb"), F.lit(0).alias("side"), "node", "comp")
+    two = sized.select("family", F.explode(F.sequence(F.lit(0), F.col("abs") - 1)).alias("ab"), mb.alias("mb"), F.lit(1).alias("side"), "node", "comp")
+    block = ["family", "ab", "mb"]
+    dealt = one.union(two).join(sets.withColumnRenamed("doc_id", "node"), "node").select(*block, "side", "node", "comp", "shingles")
+    return dealt.repartition(*block).sortWithinPartitions(*block, "side").mapInArrow(_compare(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
@@ -156,28 +246,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     feats = settle(features(docs, width))
     nodes = settle(feats.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")))
     keys = settle(_shared(nodes.select("node", "sig").mapInArrow(_keys, "key long, node long")))
-    tried = keys.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    # A document with one text per id and a changed text in a repeated row has a set for each.
-    sets = docs.join(keys.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles array<long>")
-    sets = settle(sets)
-    links = settle(confirmed(tried, sets, percent))
-    open_keys, seen = keys.where("members > 2"), None
-    while True:
-        comps = components(links)
-        member = open_keys.join(comps, "node", "left").select("key", "node", "hub", F.coalesce("component", "node").alias("comp"))
-        hub_comp = comps.select(F.col("node").alias("hub"), F.col("component").alias("hub_c"))
-        member = member.join(hub_comp, "hub", "left").withColumn("hub_c", F.coalesce("hub_c", "hub"))
-        apart = member.where("comp <> hub_c")
-        if seen is not None:
-            apart = apart.join(seen, ["key", "node"], "left_anti")
-        turn = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        hubs = settle(apart.withColumn("turn", turn).where(F.col("turn") <= HUBS).select("key", F.col("node").alias("a"), F.col("comp").alias("ca")))
-        if hubs.isEmpty():
-            break
-        pairs = member.where("node <> hub").join(hubs, "key").where("comp <> ca").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        links = settle(links.union(confirmed(pairs, sets, percent)))
-        done = hubs.select("key", F.col("a").alias("node"))
-        seen = done if seen is None else seen.union(done)
+    pairs = keys.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    signed = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
+    pairs = settle(signed.select("a", "b", "sa", "sb").mapInArrow(_close, "a long, b long").distinct())
+    several = keys.where("members > 2").select("node")
+    used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(several).distinct()
+    # A node stands for all texts with its set; a doc_id that repeats with other texts has a set for each.
+    sets = settle(docs.join(used.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles array<long>").where(F.size("shingles") > 0))
+    hubs = pairs.select(F.col("a").alias("family"), F.col("a").alias("node")).distinct().withColumn("apart", F.lit(True))
+    others = pairs.select(F.col("a").alias("family"), F.col("b").alias("node"), F.lit(False).alias("apart"))
+    links = settle(family_links(hubs.union(others).withColumn("comp", F.col("node")), sets, percent))
+    comps = components(links)
+    hub_comp = comps.select(F.col("node").alias("hub"), F.col("component").alias("family"))
+    member = keys.where("members > 2").select("hub", "node").distinct().join(comps, "node", "left").join(hub_comp, "hub", "left")
+    member = member.select(F.coalesce("family", "hub").alias("family"), "node", F.coalesce("component", "node").alias("comp")).distinct()
+    member = settle(member.withColumn("apart", F.col("family") != F.col("comp")))
+    mixed = settle(member.where("apart").select("family").distinct())
+    more = settle(family_links(member.join(mixed, "family", "left_semi"), sets, percent))
+    if not more.isEmpty():
+        comps = components(links.union(more))
     of_set = nodes.select("fp", "node").join(comps, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     out = feats.select("doc_id", "n_shingles", "fp").join(of_set, "fp", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
