@@ -58,4 +58,47 @@ QUERIES = {
     for f in (op1_decontamination, op2_quality, op3_near_duplicates, op4_sharding, op5_line_dedup, op6_mixing, op7_nearest, op8_personal_data, op9_language, op10_token_counts)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Queries 2, 8 and 9 train models, 10 needs a tokenizer and 4 a checksum that SQL lacks; they are tested against plain versions and held-out rows.
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": rf"""
+with i as (select item_id::varchar as item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+d as (select doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+win as (select distinct item, size, array_to_string(w[k : k + size - 1], ' ') as s from (select item, w, least(10, len(w)) as size, unnest(range(1, len(w) - least(10, len(w)) + 2)) as k from i where len(w) > 0)),
+sizes as (select distinct size from win),
+spots as (select doc_id, size, k, array_to_string(w[k : k + size - 1], ' ') as s from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as k from d, sizes where len(w) >= size)),
+hit as (select doc_id, k, size, item from spots join win using (size, s)),
+n as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(k, k + size)) as p from hit) group by 1),
+m as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as listed from (select distinct doc_id, item from hit) group by 1)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join n using (doc_id) left join m using (doc_id)""",
+    "op3_near_duplicates": rf"""
+with recursive d as (select doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) > 1 then list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) else w end) as g from d),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as common from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 80 * (x.n + y.n - common)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id, doc_id as c from d union select r.doc_id, e.b from r join e on e.a = r.c)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from (select doc_id, min(c) as component_id from r group by 1) left join n using (doc_id)""",
+    "op5_line_dedup": """
+with l as (select doc_id, text, string_split(text, chr(10)) as x from documents),
+w as (select doc_id, k, x[k] as a, x[k + 1] as b, x[k + 2] as c from (select doc_id, x, unnest(range(1, len(x) - 1)) as k from l)),
+later as (select doc_id, k from (select *, row_number() over (partition by a, b, c order by doc_id, k) as n from w) where n > 1),
+gone as (select doc_id, list(distinct j) as lines from (select doc_id, unnest(range(k, k + 3)) as j from later) group by 1)
+select doc_id, case when lines is null then text else array_to_string(list_filter(x, lambda v, i: not list_contains(lines, i)), chr(10)) end as text,
+coalesce(len(x), 0) as n_lines, coalesce(len(lines), 0) as n_removed from l left join gone using (doc_id)""",
+    "op6_mixing": r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents),
+s as (select source, sum(size)::bigint as source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight from d group by source),
+o as (select *, sum(3 * source_size) over (order by 3 * source_size / weight, source rows between unbounded preceding and current row) as used, sum(weight) over () - sum(weight) over (order by 3 * source_size / weight, source rows between unbounded preceding and current row) as rest, sum(source_size) over () as total from s),
+k as (select coalesce(max(used), 0) as used, coalesce(min(rest), (select sum(weight) from s)) as rest from o where 3 * source_size * (rest + weight) < weight * (total - used + 3 * source_size)),
+t as (select source, source_size, least(3 * source_size::double, case when rest > 0 then weight * ((select sum(source_size) from s) - used)::double / rest else 3 * source_size::double end) as target from s, k),
+r as (select d.*, source_size, target, coalesce(sum(size) over (partition by d.source order by md5('17:' || doc_id), size rows between unbounded preceding and 1 preceding), 0) as before from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target, (size * (floor(target / source_size) + case when size > 0 and before + size / 2::double <= target - floor(target / source_size) * source_size then 1 else 0 end))::bigint as taken from r""",
+    "op7_nearest": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as q from embeddings)
+select * from (select a.vec_id as query_id, row_number() over (partition by a.vec_id order by list_dot_product(a.q, b.q) desc, b.vec_id) as rank, b.vec_id, list_dot_product(a.q, b.q)::bigint as score
+from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0) where rank <= 10""",
+}
