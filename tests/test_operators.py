@@ -138,3 +138,15 @@ def test_stream_keeps_each_content_once(spark, tmp_path):
         (folder / f"{i}.json").write_text(json.dumps({"page_id": i, "url": "u", "html": html, "fetched": "2026-01-01T00:00:00Z"}))
         snapshots.write_new(snapshots.snapshots(spark, str(folder)), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     assert {r["html"] for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {"a", "b"} and spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_office_files_give_their_paragraphs(spark, tmp_path):
+    import zipfile
+
+    from granary.sources import office
+
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="urn:w"><w:body><w:p><w:r><w:t>One </w:t></w:r><w:r><w:t>two</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>Three</w:t></w:r></w:p></w:body></w:document>')
+    (tmp_path / "b.docx").write_text("no archive")
+    got = office.office_texts(releases.read_files(spark, str(tmp_path), "*.docx")).orderBy("at").collect()
+    assert [r["text"] for r in got] == ["One two", "Three"]
