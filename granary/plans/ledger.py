@@ -90,3 +90,39 @@ def selection_reasons(spark, sf_dir):
     tied, langs = F.count_if("top"), F.count_distinct(F.when(F.col("top"), F.col("lang")))
     reason = F.when(tied == 1, "highest score").when(langs > 1, "preferred language").otherwise("smallest id")
     return rows.groupBy("source").agg(tied.alias("tied"), reason.alias("reason"))
+
+
+@query("""with need as (select unnest(['signup', 'view', 'purchase']) as kind), have as (select distinct user_id, day(ts) as day, event_type from events), u as (select distinct user_id, day from have)
+select user_id, day, count(*) as n_missing, string_agg(kind, ',' order by kind) as missing from u, need where not exists (select 1 from have h where h.user_id = u.user_id and h.day = u.day and h.event_type = kind) group by 1, 2""")
+def missing_context(spark, sf_dir):
+    """Required fields that a context lacks, merged to one row."""
+    need = F.array(*[F.lit(k) for k in ("purchase", "signup", "view")])
+    have = table(spark, sf_dir, "events").groupBy("user_id", F.dayofmonth("ts").cast("long").alias("day")).agg(F.collect_set("event_type").alias("have"))
+    lacks = have.select("user_id", "day", F.array_except(need, "have").alias("m")).where(F.size("m") > 0)
+    return lacks.select("user_id", "day", F.size("m").cast("long").alias("n_missing"), F.array_join(F.sort_array("m"), ",").alias("missing"))
+
+
+@query(r"""select page_id, regexp_matches(regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1), '(^|\.)example\.(org|net)$') as listed from pages""")
+def listed_hosts(spark, sf_dir):
+    """Hosts on an allow-list, with their subdomains and nothing that only ends alike."""
+    host = F.regexp_extract(F.lower("url"), r"^[a-z]+://([^/?#:]+)", 1)
+    return table(spark, sf_dir, "pages").select("page_id", host.rlike(r"(^|\.)example\.(org|net)$").alias("listed"))
+
+
+@query("""select user_id, min(ts) as oldest, min(ts) < (select max(ts) from events) - interval 20 day as stale from events group by 1""")
+def staleness(spark, sf_dir):
+    """The oldest access of each user and whether it lies more than 20 days before the newest of all."""
+    events = table(spark, sf_dir, "events")
+    now = events.agg(F.max("ts")).first()[0]
+    oldest = F.min("ts")
+    limit = F.lit(now).cast(events.schema["ts"].dataType) - F.expr("interval 20 days")
+    return events.groupBy("user_id").agg(oldest.alias("oldest"), (oldest < limit).alias("stale"))
+
+
+@query("""with l as (select doc_id, lang, string_split(text, chr(10))[1] as label from documents where text is not null)
+select md5(label) as k, coalesce(min(doc_id) filter (lang = 'en'), min(doc_id)) as chosen, count(distinct lang) as langs from l group by label""")
+def preferred_labels(spark, sf_dir):
+    """Of all rows of a label the English one, else the first."""
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "lang", F.element_at(F.split("text", "\n", -1), 1).alias("label"))
+    chosen = F.coalesce(F.min(F.when(F.col("lang") == "en", F.col("doc_id"))), F.min("doc_id"))
+    return rows.groupBy("label").agg(chosen.alias("chosen"), F.count_distinct("lang").alias("langs")).select(F.md5(F.col("label").cast("binary")).alias("k"), "chosen", "langs")

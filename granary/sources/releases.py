@@ -15,6 +15,11 @@ def read_files(spark: SparkSession, folder: str, pattern: str = "*", max_bytes:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"))
 
 
+def manifest_difference(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """path and status of every file that the manifest (path, sha256) lacks, misses or lists with another hash."""
+    return inventory_difference(files.select("path", "sha256"), manifest.select("path", "sha256"), "path", "sha256")
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a JSON lines file; a line that doesn't fit the schema stops the read."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

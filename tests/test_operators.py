@@ -131,6 +131,15 @@ def test_files_have_sizes_and_hashes(spark, tmp_path):
     assert got["a.txt"]["content"] == b"abc" and got["b.txt"]["content"] is None and got["b.txt"]["bytes"] == 6
 
 
+def test_manifests_are_held_against_files(spark, tmp_path):
+    for name in "abc":
+        (tmp_path / f"{name}.txt").write_text(name)
+    files = releases.read_files(spark, str(tmp_path), "*.txt")
+    listed = files.where("path not like '%/a.txt'").withColumn("sha256", F.when(F.col("path").like("%/b.txt"), "0").otherwise(F.col("sha256")))
+    got = {(r["path"][-5:], r["status"]) for r in releases.manifest_difference(files, listed).collect()}
+    assert got == {("a.txt", "only_left"), ("b.txt", "changed")}
+
+
 def test_stream_keeps_each_content_once(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
