@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.plans import corpus, ledger, release, search  # noqa: F401
+from granary.plans import batch, corpus, ledger, release, reports, search  # noqa: F401
 from granary.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
