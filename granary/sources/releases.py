@@ -65,3 +65,12 @@ def activate(spark: SparkSession, path: str, release_id: str) -> None:
 def active_release(spark: SparkSession, path: str) -> str | None:
     row = spark.read.parquet(f"{path}/active").first()
     return row["release_id"] if row else None
+
+
+def assemble(spark: SparkSession, folder: str, manifest: DataFrame, schema: str) -> DataFrame:
+    """Rows of all JSON lines parts below folder as one table; raises if a part differs from the manifest (path, sha256)."""
+    wrong = manifest_difference(read_files(spark, folder, "*.jsonl"), manifest).limit(5).collect()
+    if wrong:
+        raise ValueError(f"parts differ from their manifest: {[tuple(r) for r in wrong]}")
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True)
+    return rows.json(folder)

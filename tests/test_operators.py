@@ -159,3 +159,49 @@ def test_office_files_give_their_paragraphs(spark, tmp_path):
     (tmp_path / "b.docx").write_text("no archive")
     got = office.office_texts(releases.read_files(spark, str(tmp_path), "*.docx")).orderBy("at").collect()
     assert [r["text"] for r in got] == ["One two", "Three"]
+
+
+def test_exact_unicode_functions(spark):
+    from granary.functions import unicode as U
+
+    df = spark.createDataFrame([("ﬁn Ｆull Straße",), (None,)], "t string").select(U.exact_tokens(F.col("t")).alias("x"), U.without_accents(F.lit("Café ÉTÉ")).alias("y"), U.terminology_key(F.lit("  Abé  C ")).alias("z"), U.term(F.lit("Maß")).alias("w"))
+    rows = df.collect()
+    assert rows[0]["x"] == ["fin", "full", "strasse"] and rows[1]["x"] is None
+    assert (rows[0]["y"], rows[0]["z"], rows[0]["w"]) == ("cafe ete", "abé c", "mass")
+
+
+def test_each_target_has_one_reader(spark):
+    from granary.sources.readers import Readers, output_violations
+
+    readers = Readers()
+    give = lambda text: lambda targets: targets.withColumn("text", F.lit(text))
+    readers.add("law", r"^https://law\.", give("law"))
+    readers.add("all", r"\.org/", give(""))
+    with pytest.raises(ValueError):
+        readers.add("law", "x", give("y"))
+    targets = spark.createDataFrame([("https://law.net/1",), ("https://law.org/2",), ("https://a.org/3",), ("ftp://b/4",), (None,)], "url string")
+    got = {r["url"]: (r["reader"], r["error"]) for r in readers.assigned(targets).collect()}
+    assert got == {"https://law.net/1": ("law", None), "https://law.org/2": (None, "several readers"), "https://a.org/3": ("all", None), "ftp://b/4": (None, "no reader"), None: (None, "no reader")}
+    pages = readers.read(targets)
+    assert sorted(map(tuple, pages.collect())) == [("https://a.org/3", "", "all"), ("https://law.net/1", "law", "law")]
+    assert sorted(map(tuple, output_violations(pages.union(pages.where("reader = 'law'")), ["a.org"]).collect())) == [("empty", "https://a.org/3"), ("host", "https://law.net/1"), ("host", "https://law.net/1"), ("url", "https://law.net/1")]
+
+
+def test_rich_text(spark):
+    from granary.sources.rich_text import rtf_text
+
+    source = rb"{\rtf1\ansi{\fonttbl{\f0 Arial;}}{\*\generator x;}\b Caf\'e9\b0  \{one\}\par \u8364?two\tab 3}"
+    df = spark.createDataFrame([(bytearray(source),), (bytearray(b"plain"),), (None,)], "c binary").select(rtf_text(F.col("c")).alias("x"))
+    assert [r["x"] for r in df.collect()] == ["Café {one}\n€two\t3", None, None]
+
+
+def test_parts_are_assembled_as_their_manifest_says(spark, tmp_path):
+    import hashlib
+
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.jsonl").write_text(json.dumps({"id": name}) + "\n")
+    listed = [(f"file:{tmp_path}/{n}.jsonl", hashlib.sha256((tmp_path / f"{n}.jsonl").read_bytes()).hexdigest()) for n in ("a", "b")]
+    manifest = spark.createDataFrame(listed, "path string, sha256 string")
+    assert sorted(r["id"] for r in releases.assemble(spark, str(tmp_path), manifest, "id string").collect()) == ["a", "b"]
+    with pytest.raises(ValueError):
+        releases.assemble(spark, str(tmp_path), manifest.limit(1), "id string")
