@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.quality import featurised, id_remainder
-from granary.llm.sparse import Features, unpacked
+from granary.llm.sparse import Features, unpacked, weighted
 
 FEATURES = Features(buckets=1 << 12, grams=(1, 2, 3), lower=True)
 PER_LANGUAGE, EPOCHS, BATCH, RATE, SHARPNESS = 800, 30, 32, 300.0, 4.0
@@ -70,8 +70,8 @@ def fit(rows: list[tuple[bytes, bytes]], labels: list[str]) -> dict:
 
 def decode(x: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each row the place of the best codeword, its share among all, and its lead over the next."""
-    f = x @ model["weights"] + model["bias"]
-    loss = np.stack([np.logaddexp(0, -f * word) @ trust for word, trust in zip(model["code"], model["trust"], strict=True)], axis=1)
+    f = weighted(x, model["weights"]) + model["bias"]
+    loss = np.stack([(np.logaddexp(0, -f * word) * trust).sum(axis=1) for word, trust in zip(model["code"], model["trust"], strict=True)], axis=1)
     order = np.sort(loss, axis=1)
     share = np.exp(-SHARPNESS * (loss - order[:, :1]))
     lead = order[:, 1] - order[:, 0] if loss.shape[1] > 1 else np.full(len(x), np.inf)

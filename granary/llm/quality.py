@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.sparse import Features, packed, unpacked
+from granary.llm.sparse import Features, packed, unpacked, weighted
 
 FEATURES = Features(buckets=1 << 14, grams=(2, 3, 4), words=True)
 SAMPLE, DIM, EPOCHS, BATCH, RATE = 3000, 16, 40, 32, 40.0
@@ -101,7 +101,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str] | No
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, c = shared.value
         for batch in batches:
-            odds = np.concatenate([x @ w + c for _, x in FEATURES.frequencies(batch.column("text"))] or [np.zeros(0)])
+            odds = np.concatenate([weighted(x, w) + c for _, x in FEATURES.frequencies(batch.column("text"))] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(1 / (1 + np.exp(-odds.astype(np.float64))))], [*keep, SCORE])
 
     return docs.mapInArrow(rows, T.StructType([docs.schema[c] for c in keep]).add(SCORE, "double"))

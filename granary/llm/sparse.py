@@ -29,8 +29,9 @@ class Features:
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """A row of float32 counts for each text."""
-        lens = np.array([len(t) + 1 for t in texts])
-        points = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        # A line feed stands before and after each text, so that one of the two between texts lies inside any gram over both.
+        lens = np.array([len(t) + 2 for t in texts])
+        points = np.frombuffer("".join(f"\n{t}\n" for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         row = np.repeat(np.arange(len(texts), dtype=np.int64) * self.buckets, lens)
         space = (points == 32) | ((points >= 9) & (points <= 13))
         gaps = np.concatenate([[0], np.cumsum(space)])
@@ -71,6 +72,12 @@ class Features:
                 size += len(text)
 
 
+def weighted(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w with each row summed by itself: the last bits of a product of matrices hang on the rows around."""
+    at = [np.flatnonzero(row) for row in x]
+    return np.array([(row[k] * w[k].T).sum(axis=-1) for row, k in zip(x, at, strict=True)]).reshape(len(x), *w.shape[1:])
+
+
 def packed(x: np.ndarray) -> tuple[bytes, bytes]:
     """A row as its non-zero places (int32) and values (float32)."""
     at = np.flatnonzero(x)

@@ -190,3 +190,22 @@ def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
     assert set(out.columns) == set(docs.columns) | {"shard", "slot"} and out.where("doc_id = 2").isEmpty()
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_scores_depend_on_the_text_alone():
+    import pyarrow as pa
+
+    from granary.llm.sparse import Features, weighted
+
+    texts = ["A.", "", None, " \n", "the end", "A.", "B\n", "longer text of some words " * 50, "A."]
+    rng = np.random.default_rng(3)
+    for features in (quality.FEATURES, langid.FEATURES, Features(buckets=1 << 10, grams=(1, 2, 3, 4), words=True)):
+        w = rng.normal(size=features.buckets).astype(np.float32)
+        alone = {t: next(features.frequencies(pa.array([t], pa.string())))[1][0] for t in texts}
+        for order in (texts, texts[::-1], texts * 20):
+            got = np.concatenate([x for _, x in features.frequencies(pa.array(order, pa.string()))])
+            assert all(np.array_equal(x, alone[t]) for t, x in zip(order, got, strict=True))
+            assert np.array_equal(weighted(got, w), np.concatenate([weighted(alone[t][None], w) for t in order]))
+        assert not any(alone[t].any() for t in ("", None, " \n"))
+    # Own grams of "A.", with its two edges: 3 of two signs, 2 of three, 1 of four, and the word.
+    assert quality.FEATURES.counts(["A."]).sum() == 7
