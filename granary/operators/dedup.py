@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.text import jaccard, overlap, tokens
+from granary.functions.unicode import terminology_key
 
 
 def duplicate_of(df: DataFrame, key: Column, item: str) -> DataFrame:
@@ -17,13 +19,42 @@ def duplicate_of(df: DataFrame, key: Column, item: str) -> DataFrame:
     return out.drop("__k").withColumn("is_duplicate", F.col(item) > F.col("first"))
 
 
-def similar_labels(labels: DataFrame, least: float = 0.6, shared: int = 2) -> DataFrame:
-    """(a, b, both) with a < b: labels (item, lang, label) of one language with at least ``shared`` tokens in common and that Jaccard similarity.
+#: Fixed value: words that say nothing about the likeness of two labels.
+STOP_WORDS = "der die das den des dem ein eine einer eines und oder für durch von im in mit zum zur the of for and a".split()
+
+
+def shared_labels(labels: DataFrame) -> DataFrame:
+    """(lang, label, first, item): the items that have a label (item, lang, label) in common, with the smallest of them.
+
+    An item may have several labels, as one with aliases has. Labels are compared in composed form, lower case,
+    with white space collapsed; languages may be null and are then one language. Two items share a label if both
+    stand under it, so a label that n items have gives n rows and not the pairs of them.
+    """
+    each = labels.where("label is not null").select("lang", terminology_key(F.col("label")).alias("label"), "item").distinct()
+    held = each.groupBy(F.col("lang").alias("__lang"), F.col("label").alias("__label")).agg(F.min("item").alias("first"), F.count("*").alias("__n")).where("__n > 1")
+    on = F.col("lang").eqNullSafe(F.col("__lang")) & (F.col("label") == F.col("__label"))
+    return each.join(held, on).select("lang", "label", "first", "item")
+
+
+def similar_label_classes(labels: DataFrame, least: float = 0.6, shared: int = 2) -> DataFrame:
+    """similar_labels without STOP_WORDS, with the smallest item of each preferred label (item, lang, label) standing for all that have it.
+
+    With the rows of shared_labels this gives every pair: two items are a pair if they share a label or if the
+    first items of their labels are one. Languages may be null and are then one language.
+    """
+    lang = F.when(F.col("lang").isNull(), "").otherwise(F.concat(F.lit("="), F.col("lang")))
+    classes = labels.where("label is not null").groupBy(lang.alias("lang"), terminology_key(F.col("label")).alias("label")).agg(F.min("item").alias("item"))
+    return similar_labels(classes, least, shared, STOP_WORDS)
+
+
+def similar_labels(labels: DataFrame, least: float = 0.6, shared: int = 2, stop: Sequence[str] = ()) -> DataFrame:
+    """(a, b, both) with a < b: labels (item, lang, label) of one language with at least ``shared`` tokens in common and that Jaccard similarity, ``stop`` left out.
 
     Candidates share one of their rarest tokens: two sets that similar can't differ in all of the
     ``n - ceil(least * n) + 1`` rarest, so frequent tokens pair no one.
     """
-    words = labels.select("item", "lang", tokens(F.col("label")).alias("t")).where(F.size("t") > 0)
+    said = F.array_except(tokens(F.col("label")), F.array(*map(F.lit, stop))) if stop else tokens(F.col("label"))
+    words = labels.select("item", "lang", said.alias("t")).where(F.size("t") > 0)
     often = words.select(F.explode("t").alias("token")).groupBy("token").count()
     each = words.select("item", F.explode("t").alias("token")).join(often, "token")
     ordered = each.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("o"))

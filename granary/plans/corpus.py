@@ -73,9 +73,30 @@ _LABELS = r"""l as (select doc_id, lang, list_distinct(regexp_extract_all(lower(
 @query(f"""with {_LABELS}, p as (select a.doc_id as a, b.doc_id as b, len(list_intersect(a.t, b.t)) as n, len(a.t) + len(b.t) as total from l a join l b on a.lang = b.lang and a.doc_id < b.doc_id)
 select a, b, n as "both" from p where n >= 2 and n / (total - n)::double >= 0.6""")
 def similar_label_pairs(spark, sf_dir):
-    """Pairs of first lines in one language with two tokens in common and a Jaccard similarity of 0.6."""
+    """C19 (its branch on tokens, stop words left in), I1: pairs of first lines in one language with two tokens in common and a Jaccard similarity of 0.6."""
+    return dedup.similar_labels(_labels(spark, sf_dir))
+
+
+def _labels(spark, sf_dir):
     first = F.element_at(F.split("text", "\n", -1), 1)
-    return dedup.similar_labels(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "lang", first.alias("label")))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "lang", first.alias("label"))
+
+
+_KEYS = r"""k as (select doc_id, lang, lower(nfc_normalize(trim(regexp_replace(string_split(text, chr(10))[1], '\s+', ' ', 'g')))) as label from documents where text is not null)"""
+
+
+@query(f"""with {_KEYS} select lang, label, first, doc_id as item from (select *, min(doc_id) over (partition by lang, label) as first, count(*) over (partition by lang, label) as n from k) where n > 1""")
+def shared_label_classes(spark, sf_dir):
+    """C19 (its branch on equal labels): documents of one language with the same first line, each under the first of them."""
+    return dedup.shared_labels(_labels(spark, sf_dir))
+
+
+@query(f"""with {_KEYS}, l as (select lang, min(doc_id) as doc_id, list_filter(list_distinct(regexp_extract_all(label, '[\\p{{L}}\\p{{N}}_]+')), lambda x: x not in ({", ".join(f"'{w}'" for w in dedup.STOP_WORDS)})) as t from k group by lang, label),
+p as (select a.doc_id as a, b.doc_id as b, len(list_intersect(a.t, b.t)) as n, len(a.t) + len(b.t) as total from l a join l b on a.lang is not distinct from b.lang and a.doc_id < b.doc_id)
+select a, b, n as "both" from p where n >= 2 and n / (total - n)::double >= 0.6""")
+def similar_label_classes(spark, sf_dir):
+    """C19 (its branch on tokens, without stop words), I1: pairs of different first lines, each by the first document that has it."""
+    return dedup.similar_label_classes(_labels(spark, sf_dir))
 
 
 @query(r"""select case when text is null then 'empty' when len(regexp_extract_all(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]')) > greatest(5, length(text) // 100) then 'control' when lang is null then 'language' when length(text) < 20 then 'short' else 'kept' end as reason,

@@ -205,3 +205,26 @@ def test_parts_are_assembled_as_their_manifest_says(spark, tmp_path):
     assert sorted(r["id"] for r in releases.assemble(spark, str(tmp_path), manifest, "id string").collect()) == ["a", "b"]
     with pytest.raises(ValueError):
         releases.assemble(spark, str(tmp_path), manifest.limit(1), "id string")
+
+
+def test_equal_labels_are_paired_whatever_their_tokens(spark):
+    labels = [(1, "de", "Contact"), (2, "de", " contact\u00a0"), (3, "fr", "Contact"), (4, "de", "?!"), (5, "de", "?!"), (6, None, "Fees"), (7, None, "fees"), (8, "de", None), (9, "de", "Amt der Stadt"), (9, "de", "Contact")]
+    df = spark.createDataFrame(labels, "item long, lang string, label string")
+    got = sorted((r["lang"] or "", r["label"], r["first"], r["item"]) for r in dedup.shared_labels(df).collect())
+    assert got == [("", "fees", 6, 6), ("", "fees", 6, 7), ("de", "?!", 4, 4), ("de", "?!", 4, 5), ("de", "contact", 1, 1), ("de", "contact", 1, 2), ("de", "contact", 1, 9)]
+
+
+def test_label_classes_give_the_pairs_of_the_reference(spark):
+    words = "der amt bau die of stadt ort".split()
+    labels = [(i, ["de", "fr", None][i % 3], " ".join(w for j, w in enumerate(words) if (i * 7 + j * 3) % 5 > 1 or (i >> j) & 1)) for i in range(60)]
+    df = spark.createDataFrame(labels, "item long, lang string, label string")
+    same, near = dedup.shared_labels(df).collect(), {(r["a"], r["b"]) for r in dedup.similar_label_classes(df).collect()}
+    first = {i: i for i, *_ in labels} | {r["item"]: r["first"] for r in same}
+    got = {(a, b) for a in first for b in first if a < b and (first[a] == first[b] or (min(first[a], first[b]), max(first[a], first[b])) in near)}
+    sets, want = {i: set(t.split()) - set(dedup.STOP_WORDS) for i, _, t in labels}, set()
+    for a, lang, x in labels:
+        for b, other, y in labels:
+            n, m = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if a < b and lang == other and (x == y or (n >= 2 and n / m >= 0.6)):
+                want.add((a, b))
+    assert got == want and len(near) > 5 and len(same) > 5
