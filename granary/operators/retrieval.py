@@ -42,6 +42,33 @@ def fused(scored: DataFrame, bucket: Column, channel_limit: int, limit: int, con
     return top_k(total, limit, item="bucket")
 
 
+def evaluated(requests: DataFrame, ranked: DataFrame, gold: DataFrame, eligible: DataFrame, least_precision: float, k: int = 20, final: int = 5) -> DataFrame:
+    """One row for each of requests (request_id): recall, fact_recall, precision, leakage, hit, passed.
+
+    ranked (request_id, evidence_id, rank) is what was found; gold (request_id, evidence_id, grp, fact) the relevant
+    evidence with the group that needs it and the fact it supports; eligible (request_id, evidence_id) what may be used.
+    recall is the share of groups with evidence among the first k, fact_recall and precision are taken over the
+    first ``final``, leakage counts what is not eligible among the first k. A request passes if all its groups and
+    facts are held by the first ``final``, nothing leaks and precision is least_precision at least. Without anything found or
+    without gold it has 0 and fails.
+    """
+    seen = ranked.where(F.col("rank") <= max(k, final)).select("request_id", "evidence_id", "rank")
+    may = eligible.select("request_id", "evidence_id", F.lit(True).alias("may"))
+    marked = seen.join(gold.withColumn("good", F.lit(True)), ["request_id", "evidence_id"], "left").join(may, ["request_id", "evidence_id"], "left")
+    early, last = F.col("rank") <= k, F.col("rank") <= final
+    n = lambda c, x: F.size(F.collect_set(F.when(c, F.col(x))))
+    got = marked.groupBy("request_id").agg(
+        n(early, "grp").alias("groups"), n(last, "grp").alias("final_groups"), n(last, "fact").alias("facts"), n(last, "evidence_id").alias("finals"),
+        n(last & F.col("good"), "evidence_id").alias("good"), n(F.col("may").isNull(), "evidence_id").alias("leakage"),
+    )
+    asked = gold.groupBy("request_id").agg(F.count_distinct("grp").alias("all_groups"), F.count_distinct("fact").alias("all_facts"))
+    share = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
+    out = requests.select("request_id").join(got, "request_id", "left").join(asked, "request_id", "left")
+    out = out.withColumns({"recall": share("groups", "all_groups"), "fact_recall": share("facts", "all_facts"), "precision": share("good", "finals"), "leakage": F.coalesce("leakage", F.lit(0)), "held": share("final_groups", "all_groups")})
+    passed = (F.col("recall") == 1) & (F.col("held") == 1) & (F.col("fact_recall") == 1) & (F.col("leakage") == 0) & (F.col("precision") >= least_precision)
+    return out.select("request_id", "recall", "fact_recall", "precision", "leakage", (F.col("precision") > 0).alias("hit"), passed.alias("passed"))
+
+
 def greedy(items: Column, cap: int) -> Column:
     """Ids accepted from an ordered array of structs (id, refs): one is taken if the union of refs stays within cap."""
     zero = F.struct(F.expr("cast(array() as array<bigint>)").alias("ids"), F.expr("cast(array() as array<bigint>)").alias("refs"))

@@ -228,3 +228,15 @@ def test_label_classes_give_the_pairs_of_the_reference(spark):
             if a < b and lang == other and (x == y or (n >= 2 and n / m >= 0.6)):
                 want.add((a, b))
     assert got == want and len(near) > 5 and len(same) > 5
+
+
+def test_evaluation_counts_every_request_and_can_fail(spark):
+    requests = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5)], "request_id long")
+    ranked = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 10, 1), (2, 99, 20), (3, 20, 1), (3, 11, 6), (3, 98, 21), (5, 10, 1)], "request_id long, evidence_id long, rank int")
+    gold = spark.createDataFrame([(r, e, g, f) for r in (1, 2, 3, 4) for e, g, f in ((10, "a", 1), (11, "b", 1))], "request_id long, evidence_id long, grp string, fact long")
+    eligible = gold.select("request_id", "evidence_id").union(spark.createDataFrame([(3, 20), (5, 10)], "a long, b long"))
+    got = {r[0]: tuple(r)[1:] for r in retrieval.evaluated(requests, ranked, gold, eligible, 0.5).collect()}
+    assert got[1] == (1.0, 1.0, 1.0, 0, True, True)
+    assert got[2] == (0.5, 1.0, 1.0, 1, True, False)  # one group of two, and one leaked at 20
+    assert got[3] == (0.5, 0.0, 0.0, 0, False, False)  # relevant at 6, within 20 and not within five; 21 is not counted
+    assert got[4] == got[5] == (0.0, 0.0, 0.0, 0, False, False)  # nothing found, and nothing to find
