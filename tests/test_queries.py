@@ -55,3 +55,17 @@ def test_entry_without_the_training_operators(monkeypatch):
     find = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name in ("granary.llm", "corpus_pipeline") else find(name, *a))
     assert entry.queries() == catalog.QUERIES and entry.oracle_sql() == catalog.ORACLE_SQL
+
+
+def test_whole_release_reports_only_what_is_missing(spark, tmp_path):
+    for t in ("labels", "documents", "supplier", "lineitem", "customer", "benchmark", "region"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    custkey = spark.read.parquet(f"{SF}/customer.parquet").where("c_custkey % 10 = 0").first()["c_custkey"]
+    spark.createDataFrame([(custkey,), (-7,)], "o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    found = catalog.QUERIES["whole_release_violations"](spark, str(tmp_path)).where("rule = 'order without customer'").collect()
+    assert [r["key"] for r in found] == ["-7"]
+    spark.read.parquet(f"{SF}/nation.parquet").where("n_nationkey <> 3").write.parquet(str(tmp_path / "nation.parquet"))
+    assert {r["topic_id"] for r in catalog.QUERIES["whole_release_coverage"](spark, str(tmp_path)).collect()} == {f"t{k}" for k in range(25) if k != 3}
+    source = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    unknown = {r["request_id"] for r in catalog.QUERIES["whole_batch_resolution"](spark, str(tmp_path)).where("reason = 'unknown_id'").collect()}
+    assert unknown == {d for d, s in source.items() if s not in {f"src{k}" for k in range(25) if k != 3}}
