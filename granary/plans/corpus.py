@@ -141,7 +141,7 @@ w as (select conv_id, turn, i, len as total, 0::bigint as batch from n where i =
 select n.conv_id, n.turn, n.i, case when total + len > 400 then len else total + len end, case when total > 0 and total + len > 400 then batch + 1 else batch end from w join n on n.conv_id = w.conv_id and n.i = w.i + 1)
 select conv_id, turn, batch from w""")
 def greedy_batches(spark, sf_dir):
-    """Turns packed in order into batches of at most 400 characters."""
+    """F7, F13 (one of its three limits), E10, M2: turns packed in order into batches of at most 400 characters."""
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").cast("long").alias("len")))).alias("x"))
     packed = turns.select("conv_id", F.arrays_zip(F.col("x.turn").alias("turn"), packing.batches(F.col("x.len"), 400).alias("batch")).alias("z"))
     return packed.select("conv_id", F.explode("z").alias("z")).select("conv_id", "z.turn", "z.batch")

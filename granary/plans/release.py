@@ -85,7 +85,7 @@ union all select 'order without customer', o_custkey::varchar from (select disti
 union all select 'repeated supplier name', s_name from supplier group by s_name having count(*) > 1
 union all select 'discount', l_orderkey::varchar from lineitem where not (l_discount < 0.1)""")
 def release_violations(spark, sf_dir):
-    """References to nothing, repeated keys and broken conditions as one list.
+    """C10, G4, H9, L1 and L3 in part, L9: references to nothing, repeated keys and broken conditions as one list.
 
     Each tenth customer is left out, to make references to nothing; whole_release_violations has them all.
     """
@@ -97,7 +97,7 @@ union all select 'order without customer', o_custkey::varchar from (select disti
 union all select 'repeated supplier name', s_name from supplier group by s_name having count(*) > 1
 union all select 'discount', l_orderkey::varchar from lineitem where not (l_discount < 0.1)""")
 def whole_release_violations(spark, sf_dir):
-    """release_violations against the whole customer table."""
+    """C10, G4, H9, L1 and L3 in part, L9: release_violations against the whole customer table."""
     return _violations(spark, sf_dir, table(spark, sf_dir, "customer"))
 
 

@@ -105,7 +105,7 @@ def review_batches(spark, sf_dir):
 
 @query("""select 'customer' as name, count(*) as n from customer union all select 'orders', count(*) from orders union all select 'lineitem', count(*) from lineitem union all select 'documents', count(*) from documents""")
 def table_sizes(spark, sf_dir):
-    """Rows of each table, from the footers of its files."""
+    """D33 (four tables): rows of each table, from the footers of its files."""
     names = ["customer", "orders", "lineitem", "documents"]
     return reduce(DataFrame.unionByName, [table(spark, sf_dir, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in names])
 
