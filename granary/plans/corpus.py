@@ -156,10 +156,16 @@ def bins_of_fifty(spark, sf_dir):
 
 @query("""select source, count(*) filter (lang = 'en') as en, count(*) filter (lang = 'de') as de, count(*) filter (lang = 'fr') as fr, count(*) filter (lang = 'es') as es from documents group by 1""")
 def source_by_language(spark, sf_dir):
-    """A ledger of sources by language; the languages are named, so no pass is needed to find them."""
+    """A ledger of sources by four named languages, so no pass is needed to find them; source_language_ledger has them all."""
     return table(spark, sf_dir, "documents").groupBy("source").pivot("lang", ["en", "de", "fr", "es"]).count().na.fill(0)
 
 
+@query("""select source, lang, count(*) as n from documents group by all""")
+def source_language_ledger(spark, sf_dir):
+    """Documents by source and language, whatever the languages; the rows sum to all documents."""
+    return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+
+
 @query("""select doc_id, source, rank from (select *, row_number() over (partition by source order by length(text) desc, doc_id) as rank from documents) where rank <= 3""")
 def longest_per_source(spark, sf_dir):
     """The three longest documents of each source."""

@@ -69,3 +69,10 @@ def test_whole_release_reports_only_what_is_missing(spark, tmp_path):
     source = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     unknown = {r["request_id"] for r in catalog.QUERIES["whole_batch_resolution"](spark, str(tmp_path)).where("reason = 'unknown_id'").collect()}
     assert unknown == {d for d, s in source.items() if s not in {f"src{k}" for k in range(25) if k != 3}}
+
+
+def test_language_ledger_counts_every_document(spark, tmp_path):
+    docs = [(1, "a", "it"), (2, "a", None), (3, None, "en"), (4, "a", "it")]
+    spark.createDataFrame(docs, "doc_id long, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in catalog.QUERIES["source_language_ledger"](spark, str(tmp_path)).collect()}
+    assert got == {("a", "it", 2), ("a", None, 1), (None, "en", 1)}
