@@ -1,16 +1,16 @@
 """Exact top-k search by inner product: a Voronoi kNN join.
 
 Components are turned into whole numbers, ``floor(SCALE * x)``. Pivots (k-means centres of a
-bounded sample) cut the vectors into Voronoi cells, and a summary of each cell holds its size and
-its radius R, the largest distance of a member from the pivot p. For every member v of a cell
+bounded sample; about the square root of the number of vectors) cut the vectors into Voronoi cells, and a
+summary of each cell holds its size and its radius R, the largest distance of a member from the pivot p. For every member v of a cell
 ``q . v <= q . p + |q| R``, and that bound decides where a query has to go:
 
 1. each query is solved in its own cell, which gives it a lower bound for its k-th score;
 2. it is then sent only to those other cells whose upper bound reaches that score.
 
 Queries, the smaller side, are what is replicated; a vector is moved once. Large cells are cut into
-chunks of at most about ``CHUNK`` vectors by a hash of vec_id, so many equal vectors fill many
-chunks. A task reads a chunk, then streams the queries past it in tiles, so its memory is bounded
+chunks by a hash of vec_id, so many equal vectors fill many chunks; a chunk has about ``CHUNK`` vectors at
+most, and fewer where that would give fewer chunks than ``SPREAD`` times the tasks that can run. A task reads a chunk, then streams the queries past it in tiles, so its memory is bounded
 by the chunk whatever the number of queries. Where nothing can be pruned, each query meets each
 chunk and the result is still exact.
 
@@ -24,18 +24,20 @@ first of them in byte order. A candidate with the query's vec_id is not listed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.textkit import settle
+from granary.llm.textkit import free, settle
 
 SCALE, K = 1024.0, 10
-#: Vectors to a chunk, to a cell on average, cells at most, and vectors that the pivots are fitted on.
-CHUNK, PER_CELL, MAX_CELLS, SAMPLE = 65_536, 4096, 256, 4096
+#: Vectors to a chunk at most and at least, chunks to a task slot, cells at most, and vectors that the pivots are fitted on.
+CHUNK, LEAST_CHUNK, SPREAD, MAX_CELLS, SAMPLE = 65_536, 512, 4, 512, 8192
 #: Scores held at once.
 TILE = 1 << 21
 _LONG = np.iinfo(np.int64)
@@ -45,25 +47,32 @@ _ROW = "vec_id long, dim int, v binary, cell int, norm double, resid double"
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     """Rows of float64 from packed vectors of one length: float32 where that is exact, else float64."""
     out = np.empty((len(column), dim))
-    for i, b in enumerate(column.to_pylist()):
-        out[i] = np.frombuffer(b, dtype=np.float32 if len(b) == 4 * dim else np.float64)
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
+    for kind in (np.float32, np.float64):
+        at = np.flatnonzero(sizes == np.dtype(kind).itemsize * dim)
+        if dim and len(at):
+            out[at] = np.frombuffer(b"".join(column.take(pa.array(at)).to_pylist()), dtype=kind).reshape(-1, dim)
     return out
 
 
 def _quantised(scale: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, dims, packed = [], [], []
-            for vec_id, x in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
-                if vec_id is None or x is None or None in x:
-                    continue
-                v = np.floor(scale * np.array(x, dtype=np.float64)) + 0.0  # no -0.0: equal vectors have equal bytes
-                if np.isfinite(v).all():
-                    small = not len(v) or np.abs(v).max() < 1 << 24
-                    ids.append(vec_id)
-                    dims.append(len(v))
-                    packed.append((v.astype(np.float32) if small else v).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(packed, pa.binary())], ["vec_id", "dim", "v"])
+            batch = batch.filter(pc.and_(pc.is_valid(batch.column("vec_id")), pc.is_valid(batch.column("embedding"))))
+            lists, ids = batch.column("embedding"), batch.column("vec_id")
+            dims = lists.value_lengths().to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                flat = lists.take(pa.array(at)).flatten()
+                x = pc.fill_null(flat, np.nan).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim)
+                v = np.floor(scale * x) + 0.0  # no -0.0: equal vectors have equal bytes
+                good = np.isfinite(v).all(axis=1)
+                small = (np.abs(v) < 1 << 24).all(axis=1)
+                for pick, kind in ((good & small, np.float32), (good & ~small, np.float64)):
+                    part = np.flatnonzero(pick)
+                    if len(part):
+                        packed = [r.tobytes() for r in v[part].astype(kind)]
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[part])), pa.array(np.full(len(part), dim, np.int32)), pa.array(packed, pa.binary())], ["vec_id", "dim", "v"])
 
     return rows
 
@@ -78,14 +87,13 @@ def fit_pivots(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
-def _pivots(base: DataFrame, cells: int | None) -> dict[int, np.ndarray]:
-    """dim -> pivots, from at most SAMPLE rows, the first by a hash of vec_id."""
-    count = base.count()
-    cells = min(MAX_CELLS, cells or max(1, count // PER_CELL))
+def _pivots(base: DataFrame, count: int, cells: int | None) -> dict[int, np.ndarray]:
+    """dim -> pivots, from at most SAMPLE rows, the first by a hash of vec_id; some sqrt(count) cells for each dim."""
+    cells = min(MAX_CELLS, cells or max(1, math.isqrt(count)))
     picked = base.select("dim", "v").orderBy(F.xxhash64("vec_id", "v")).limit(SAMPLE).toArrow()
     out = {}
     for dim in sorted(set(picked["dim"].to_pylist())):
-        rows = picked.filter(pa.compute.equal(picked["dim"], dim))
+        rows = picked.filter(pc.equal(picked["dim"], dim))
         out[dim] = fit_pivots(_vectors(rows["v"].combine_chunks(), dim), cells)
     return out
 
@@ -251,13 +259,17 @@ def _by_cell(values: dict[int, int], column: str = "cell") -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in sorted(values.items()) for x in pair]), F.col(column))
 
 
-def knn_join(vectors: DataFrame, queries: Column, k: int = K, scale: float = SCALE, cells: int | None = None, chunk: int = CHUNK) -> DataFrame:
+def knn_join(vectors: DataFrame, queries: Column, k: int = K, scale: float = SCALE, cells: int | None = None, chunk: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best of each row of vectors (vec_id, embedding) for which ``queries`` holds."""
     spark = vectors.sparkSession
-    plain = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-    base = settle(plain.mapInArrow(_quantised(scale), "vec_id long, dim int, v binary"))
-    pivots = _pivots(base, cells)
-    base = settle(base.mapInArrow(_assigned(pivots), _ROW))
+    base = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    base = settle(base.mapInArrow(_quantised(scale), "vec_id long, dim int, v binary"))
+    count = base.count()
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    chunk = chunk or min(CHUNK, max(LEAST_CHUNK, -(-count // (SPREAD * tasks))))
+    pivots = _pivots(base, count, cells)
+    plain, base = base, settle(base.mapInArrow(_assigned(pivots), _ROW))
+    free(plain)
     # One row per cell: at most MAX_CELLS for each length of vectors.
     summary = base.groupBy("cell").agg(F.count("*").alias("n"), F.max("resid").alias("r")).collect()
     if not summary:

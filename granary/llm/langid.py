@@ -6,11 +6,14 @@ given to the codeword with the least weighted loss: each bit's logistic loss cou
 the bit's classifier was right on that language in training. Errors of single classifiers are so
 outvoted, and a small gap between the two best codewords marks a text as ambiguous.
 
-Training reads at most ``PER_LANGUAGE`` rows of each language (in expectation; chosen by a hash
-of doc_id), featurised where they lie; scoring reads every whole text once, without a shuffle.
+Training uses at most ``PER_LANGUAGE`` distinct rows of each language and ``MAX_ROWS`` of all languages
+(in expectation; chosen by a hash of doc_id and text; twice MAX_ROWS is the hard bound), featurised where they
+lie; scoring reads every whole text once, without a shuffle.
 
 A text that is null or has no letter is ``und`` with score 0. Without any training row every text
-is ``und``; with one language every text with a letter is in it.
+is ``und``; with one language every text with a letter is in it. Of two codewords at the same loss the first
+language by name is taken. Rows that repeat a doc_id are read each on its own, equal ones count once in
+training. Columns other than doc_id, text and lang are not read, so their names do not matter.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from granary.llm.sparse import Features, unpacked, weighted
 FEATURES = Features(buckets=1 << 12, grams=(1, 2, 3), lower=True)
 PER_LANGUAGE, EPOCHS, BATCH, RATE, SHARPNESS = 800, 30, 32, 300.0, 4.0
 AMBIGUOUS = 0.2
+#: Training rows of all languages, and rows that are unpacked at once.
+MAX_ROWS, SLAB = 8000, 512
 
 
 def codewords(n: int) -> np.ndarray:
@@ -50,21 +55,26 @@ def fit(rows: list[tuple[bytes, bytes]], labels: list[str]) -> dict:
     if not langs:
         return {"langs": []}
     code = codewords(len(langs))
-    y = np.array([langs.index(x) for x in labels])
-    x = unpacked(rows, FEATURES.buckets)
+    place = {x: i for i, x in enumerate(langs)}
+    y = np.array([place[x] for x in labels])
     w, b = np.zeros((FEATURES.buckets, code.shape[1]), dtype=np.float32), np.zeros(code.shape[1], dtype=np.float32)
     rng, steps, step = np.random.default_rng(11), EPOCHS * -(-len(y) // BATCH), 0
     for _ in range(EPOCHS):
         order = rng.permutation(len(y))
-        for i in range(0, len(order), BATCH):
-            pick, rate = order[i : i + BATCH], 1 - step / steps
-            target, xs = code[y[pick]], x[pick]
-            grad = -target / (1 + np.exp(target * (xs @ w + b))) / len(pick)
-            w -= RATE * rate * (xs.T @ grad)
-            b -= 0.5 * rate * grad.sum(axis=0)
-            step += 1
-    right = np.sign(x @ w + b) == code[y]
-    trust = np.array([right[y == k].mean(axis=0) for k in range(len(langs))]) + 1e-3
+        for start in range(0, len(order), SLAB):
+            slab = order[start : start + SLAB]
+            dense = unpacked([rows[k] for k in slab], FEATURES.buckets)
+            for i in range(0, len(slab), BATCH):
+                target, xs, rate = code[y[slab[i : i + BATCH]]], dense[i : i + BATCH], 1 - step / steps
+                grad = -target / (1 + np.exp(target * (xs @ w + b))) / len(xs)
+                w -= xs.T @ (RATE * rate * grad)
+                b -= 0.5 * rate * grad.sum(axis=0)
+                step += 1
+    hits = np.zeros(code.shape, dtype=np.float64)
+    for start in range(0, len(y), SLAB):
+        some = y[start : start + SLAB]
+        np.add.at(hits, some, np.sign(unpacked(rows[start : start + SLAB], FEATURES.buckets) @ w + b) == code[some])
+    trust = hits / np.bincount(y, minlength=len(langs))[:, None] + 1e-3
     return {"langs": langs, "code": code, "weights": w, "bias": b, "trust": (trust / trust.sum(axis=1, keepdims=True)).astype(np.float32)}
 
 
@@ -85,11 +95,12 @@ def train(docs: DataFrame, remainder: int = 0, modulus: int = 5, per_language: i
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row per language
     if not counts:
         return fit([], [])
-    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, per_language / n))])
-    lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    got = featurised(known.where(lot < share[F.col("lang")]), FEATURES, "lang").toArrow()
-    rows = sorted(zip(got["places"].to_pylist(), got["values"].to_pylist(), got["label"].to_pylist(), strict=True))
-    return fit([r[:2] for r in rows], [r[2] for r in rows])
+    wanted = min(per_language, MAX_ROWS / len(counts))
+    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, wanted / n))])
+    lot = F.xxhash64("doc_id", "text")
+    picked = known.where(F.pmod(lot, F.lit(1 << 20)) / (1 << 20) < share[F.col("lang")])
+    got = featurised(picked, FEATURES, "lang", lot).distinct().orderBy("lot", "label", "places", "values").limit(2 * MAX_ROWS).toArrow()
+    return fit(list(zip(got["places"].to_pylist(), got["values"].to_pylist(), strict=True)), got["label"].to_pylist())
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:

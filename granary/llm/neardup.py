@@ -4,22 +4,27 @@ A text's set holds its distinct shingles of SHINGLE consecutive words (words sta
 space, A-Z lowered); a text of fewer words is one shingle.
 A signature keeps ``SYMBOLS`` MinHash values of 16 bits. It is cut into chunks of ``WIDTH``
 symbols. By the pigeonhole principle two signatures that differ in at most
-``(ERRORS + 1) * chunks - 1`` symbols agree on all but ERRORS symbols of some chunk, so each
-chunk is indexed once for every way to leave ERRORS symbols out: signatures under that
-distance always share a key, and every pair that shares one is a candidate, with more
-differing symbols. A pair at Jaccard 0.8 differs in a fifth of its symbols and misses
-all chunks with a probability of 0.263 ** 10, about 2e-6. Candidates are confirmed on full sets.
+``(ERRORS + 1) * chunks - 1`` symbols (19 here) agree on all but ERRORS symbols of some chunk, so each
+chunk is indexed once for every way to leave ERRORS symbols out: signatures up to that
+distance always share a key. A pair with more differing symbols is found if any chunk has at most ERRORS of
+them, and compared on full sets up to DISTANCE (26), beyond which a pair at 0.8 is one in millions. A pair at
+Jaccard 0.8 differs in a fifth of its symbols and misses all chunks with a probability of 0.263 ** 10, about
+2e-6. Candidates are confirmed on full sets.
 
 Groups are never expanded into pairs. Texts with equal sets are one node, and each key links its
 members to its smallest one, its hub. Pairs whose signatures differ in more than DISTANCE of the
-symbols are left out (one in millions at a similarity of 0.8), the others compared on full sets, and
+symbols are left out, the others compared on full sets, and
 the components of these links found. What is left are members of a key outside the component of its
 hub. All keys with hubs in one component form a family; each such member is compared with every
 member of its family, in blocks, so in the end each two nodes that share a key were compared or are
-connected. Of several links from a node into one component a block keeps one.
-
-Null and empty texts, and texts without words, have an empty set and are linked with nothing.
-Rows that repeat a doc_id are one document. Rows with a null doc_id are kept and linked with nothing.
+connected. Of several links from a node into one component a block keeps one. A block holds some
+BLOCK shingles of each side, however long the texts, so a set is sent to as many blocks as its family's sets fill.
+
+Null and empty texts, and texts without words, have an empty set and are linked with nothing; a text of any
+length is one set. Rows that repeat a doc_id with other texts are each a document that shares the id; rows
+that repeat id and text are equal. Rows with a null doc_id are kept and linked with nothing. The smallest
+doc_id decides between documents that are alike. Columns of any name stay in drop_near_duplicates(); an empty
+table gives none.
 """
 
 from __future__ import annotations
@@ -33,16 +38,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.textkit import NOT_SPACE, Words, mix64, pieces, settle, window_hashes
+from granary.llm.textkit import NOT_SPACE, Words, free, fresh, mix64, pieces, settle, window_hashes
 
 SYMBOLS, WIDTH, ERRORS = 50, 5, 1
 #: Words to a shingle, and the least similarity in percent.
 SHINGLE, PERCENT = 5, 80
 #: Largest number of differing symbols of a pair that is compared on full sets.
 DISTANCE = 26
-#: Members of a family outside its component, and members of any kind, that one block compares.
-APART_BLOCK, MEMBER_BLOCK = 256, 4096
-#: Shingle matches that are counted at once.
+#: Shingles, and sets, of a side of a block: the members of a family outside its component, and its members of any kind.
+BLOCK, BLOCK_SETS = 1 << 18, 4096
+#: Shingle matches, and pairs, that are counted at once.
 MATCHES = 1 << 21
 
 
@@ -81,7 +86,7 @@ def _features(width: int):
                 n.append(len(s))
                 fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sig.append(signature(s, co).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "fp", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "version", "n_shingles", "fp", "sig"])
 
     return rows
 
@@ -92,7 +97,7 @@ def _sets(width: int):
             sets = list(shingle_sets(batch.column("text"), width))
             offsets = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
             values = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(offsets, values)], ["node", "shingles"])
 
     return rows
 
@@ -118,13 +123,19 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(node)], ["key", "node"])
 
 
+def versioned(docs: DataFrame) -> DataFrame:
+    """doc_id, text and version, a hash of the text that tells rows of one doc_id apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("version"))
+
+
 def features(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, fp (128-bit hash of the set; null if empty), sig."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_features(width), "doc_id long, n_shingles long, fp binary, sig binary")
+    """doc_id, version, n_shingles, fp (128-bit hash of the set; null if empty), sig."""
+    return versioned(docs).mapInArrow(_features(width), "doc_id long, version long, n_shingles long, fp binary, sig binary")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of links (a, b): the smallest node that each can reach.
+    """(node, component) for the nodes of links (a, b) but the smallest of each component: the smallest node that each can reach.
 
     Alternating star contraction: every node links its larger neighbours, then its smaller
     ones, to its smallest neighbour, until nothing changes; the number of rounds grows with
@@ -141,7 +152,9 @@ def components(links: DataFrame) -> DataFrame:
         after = settle(small.where("u <> v").distinct())
         # A star forest: every node has one smaller neighbour, and those have none.
         if after.groupBy("u").count().where("count > 1").isEmpty() and after.join(after.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            free(edges)
             return after.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        free(edges)
         edges = after
 
 
@@ -176,7 +189,8 @@ class Block:
         ends = np.cumsum(np.bincount(owner, weights=self.count[at], minlength=len(nodes)))
         start = 0
         while start < len(nodes):
-            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + MATCHES, side="right")))
+            stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + MATCHES, side="right"))
+            stop = max(start + 1, min(stop, start + MATCHES // width))
             part = slice(*np.searchsorted(owner, [start, stop]))
             n = self.count[at[part]]
             skip = np.repeat(self.first[at[part]] - (np.cumsum(n) - n), n)
@@ -224,53 +238,69 @@ def _compare(percent: int):
 def family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): similar pairs of an apart member and a member of another component of the same family.
 
-    members is (family, node, comp, apart). Families of any size are cut into blocks.
+    members is (family, node, n_shingles, comp, apart). Families of any size are cut into blocks.
     """
-    count = members.groupBy("family").agg(F.ceil(F.count("*") / MEMBER_BLOCK).cast("int").alias("mbs"), F.ceil(F.count_if("apart") / APART_BLOCK).cast("int").alias("abs"))
+    n, apart = F.col("n_shingles"), F.col("apart")
+    blocks = lambda shingles, sets: F.greatest(F.ceil(shingles / BLOCK), F.ceil(sets / BLOCK_SETS)).cast("int")
+    count = members.groupBy("family").agg(blocks(F.sum(n), F.count("*")).alias("mbs"), blocks(F.sum(F.when(apart, n).otherwise(0)), F.count_if(apart)).alias("abs"))
     sized = members.join(settle(count), "family")
     lot = F.xxhash64("node")
     ab, mb = F.pmod(lot, F.col("abs")).cast("int"), F.pmod(lot, F.col("mbs")).cast("int")
-    one = sized.where("apart").select("family", ab.alias("ab"), F.explode(F.sequence(F.lit(0), F.col("mbs") - 1)).alias("mb"), F.lit(0).alias("side"), "node", "comp")
+    one = sized.where(apart).select("family", ab.alias("ab"), F.explode(F.sequence(F.lit(0), F.col("mbs") - 1)).alias("mb"), F.lit(0).alias("side"), "node", "comp")
     two = sized.select("family", F.explode(F.sequence(F.lit(0), F.col("abs") - 1)).alias("ab"), mb.alias("mb"), F.lit(1).alias("side"), "node", "comp")
     block = ["family", "ab", "mb"]
-    dealt = one.union(two).join(sets.withColumnRenamed("doc_id", "node"), "node").select(*block, "side", "node", "comp", "shingles")
+    dealt = one.union(two).join(sets, "node").select(*block, "side", "node", "comp", "shingles")
     return dealt.repartition(*block).sortWithinPartitions(*block, "side").mapInArrow(_compare(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
-
-    docs has doc_id and text; other columns are not read.
-    """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def classes(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
+    """doc_id, version (hash of the text), n_shingles, component_id, kept for every row of docs."""
     feats = settle(features(docs, width))
-    nodes = settle(feats.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")))
+    of_fp = feats.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "version")).alias("at"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    # A node is a set, numbered when it is written; a row with the smallest doc_id that has it gives its text.
+    nodes = settle(of_fp.select("fp", "at.doc_id", "at.version", "sig", "n_shingles", F.monotonically_increasing_id().alias("node")))
     keys = settle(_shared(nodes.select("node", "sig").mapInArrow(_keys, "key long, node long")))
     pairs = keys.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     signed = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
     pairs = settle(signed.select("a", "b", "sa", "sb").mapInArrow(_close, "a long, b long").distinct())
     several = keys.where("members > 2").select("node")
     used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(several).distinct()
-    # A node stands for all texts with its set; a doc_id that repeats with other texts has a set for each.
-    sets = settle(docs.join(used.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles array<long>").where(F.size("shingles") > 0))
+    used = nodes.select("node", "doc_id", "version").join(used, "node")
+    texts = versioned(docs).join(used, ["doc_id", "version"]).select("node", "text")
+    sets = settle(texts.mapInArrow(_sets(width), "node long, shingles array<long>").dropDuplicates(["node"]))
+    size = nodes.select("node", "n_shingles")
     hubs = pairs.select(F.col("a").alias("family"), F.col("a").alias("node")).distinct().withColumn("apart", F.lit(True))
     others = pairs.select(F.col("a").alias("family"), F.col("b").alias("node"), F.lit(False).alias("apart"))
-    links = settle(family_links(hubs.union(others).withColumn("comp", F.col("node")), sets, percent))
+    links = settle(family_links(hubs.union(others).withColumn("comp", F.col("node")).join(size, "node"), sets, percent))
     comps = components(links)
     hub_comp = comps.select(F.col("node").alias("hub"), F.col("component").alias("family"))
     member = keys.where("members > 2").select("hub", "node").distinct().join(comps, "node", "left").join(hub_comp, "hub", "left")
     member = member.select(F.coalesce("family", "hub").alias("family"), "node", F.coalesce("component", "node").alias("comp")).distinct()
-    member = settle(member.withColumn("apart", F.col("family") != F.col("comp")))
+    member = settle(member.join(size, "node").withColumn("apart", F.col("family") != F.col("comp")))
     mixed = settle(member.where("apart").select("family").distinct())
     more = settle(family_links(member.join(mixed, "family", "left_semi"), sets, percent))
     if not more.isEmpty():
         comps = components(links.union(more))
-    of_set = nodes.select("fp", "node").join(comps, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    out = feats.select("doc_id", "n_shingles", "fp").join(of_set, "fp", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    free(keys, pairs, sets, links, member, mixed, more)
+    whole = comps.union(comps.select("component", "component").distinct())
+    linked = nodes.select("node", "doc_id").join(whole, "node")
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_node = linked.join(least, "component").select("node", "component_id")
+    of_set = nodes.select("fp", "node", "doc_id").join(of_node, "node", "left").select("fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = feats.select("doc_id", "version", "n_shingles", "fp").join(of_set, "fp", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    out = out.select("doc_id", "version", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
+
+    docs has doc_id and text; other columns are not read.
+    """
+    return classes(docs, percent, width).drop("version")
+
+
 def _shared(keys: DataFrame) -> DataFrame:
     """key, node, hub, members for the keys of more than one node; hub is a key's smallest node."""
     # Written first: a join of two plain tables is one whose large keys Spark can split.
@@ -279,6 +309,15 @@ def _shared(keys: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
-    """docs without the documents that are not the smallest doc_id of their component; all columns stay."""
-    gone = near_duplicates(docs, percent, width).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows that do not have the smallest doc_id of their component; all columns stay.
+
+    Of rows that repeat both id and text, and have words and an id, one stays. Which of them is open, as their other columns may differ.
+    """
+    decided = classes(docs, percent, width).where("doc_id is not null and (n_shingles > 0 or not kept)")
+    each = decided.groupBy("doc_id", "version").agg(F.first("kept").alias("kept"), F.count("*").alias("n")).where("n > 1 or not kept")
+    i, v, kept = fresh(docs.columns, "of_id", "of_version", "kept")
+    each = settle(each.select(F.col("doc_id").alias(i), F.col("version").alias(v), F.col("kept").alias(kept)))
+    match = (F.col("doc_id").cast("long") == F.col(i)) & (F.xxhash64(F.col("text").cast("string")) == F.col(v))
+    rest = docs.join(each, match, "left_anti")
+    repeated = docs.join(each.where(F.col(kept)), match).dropDuplicates([i, v]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rest.unionByName(repeated)

@@ -14,8 +14,11 @@ logistic span classifier is trained on those likelihoods with the votes and the
 features. A tight candidate is added if it reaches ``THRESHOLD`` and overlaps no other span.
 
 Everything on rows is DataFrame functions: texts are read once, and the table that is kept for the
-second look has offsets and votes, not texts. Offsets count code points. A null text is empty; rows
-that repeat a doc_id are looked at each on its own.
+second look has offsets and votes, not texts. A text without the signs that a pattern needs (an at sign, a
+plus, enough digits) is not searched with it. Offsets count code points. A null text is empty, a text of any
+length is searched whole. Rows that repeat a doc_id, or have none, are looked at each on its own. Of two
+added spans that overlap the kind listed first stays. Columns of any name stay in masked(); an empty table
+gives none.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.textkit import settle
+from granary.llm.textkit import free, settle
 
 KINDS = ("email", "ip", "card", "phone")
 THRESHOLD, EM_ROUNDS, FIT_ROUNDS = 0.9, 50, 300
@@ -59,9 +62,17 @@ FOR = {
 AGAINST = r"(?i)\b(?:token|sha\d*|md5|hash|isbn|version|build|order|invoice|key|uuid|id)\W*$"
 
 
-def _matches(text: Column, pattern: str) -> Column:
+#: What a text must hold to have a match of a pattern at all.
+NEEDS = {
+    "b_email": "@", "b_ip": r"[0-9]\.[0-9]", "b_card": r"(?:[0-9][\x20-]?){15}[0-9]", "b_phone": r"\+[0-9]",
+    "t_email": r"(?i)[\[(]at[\])]", "t_ip": r"(?::[0-9A-Fa-f]{1,4}){7}", "t_card": r"(?:[0-9][\x20-]?){14}[0-9]", "t_phone": r"\([0-9]{2,4}\)",
+}
+
+
+def _matches(text: Column, pattern: str, needed: str) -> Column:
     """Pieces and matches of the pattern by turns: matches are the 2nd, 4th, ... element. text has no U+0001 and U+0002."""
-    return F.split(F.regexp_replace(text, f"({pattern})", "\u0001$1\u0002"), "[\u0001\u0002]", -1)
+    found = F.split(F.regexp_replace(text, f"({pattern})", "\u0001$1\u0002"), "[\u0001\u0002]", -1)
+    return F.when(text.contains(needed) if needed == "@" else text.rlike(needed), found).otherwise(F.array(text))
 
 
 def _spans(parts: str, kind: int, base: bool) -> Column:
@@ -194,17 +205,17 @@ def fit_classifier(yes: dict[str, float], counts: dict[str, float], rounds: int
     return scores
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """docs' doc_id and found: kind, start, end, base, votes of every base span and every tight candidate that overlaps none."""
+def candidates(docs: DataFrame, kept: list[str]) -> DataFrame:
+    """row (a struct of the columns ``kept`` of docs) and found: kind, start, end, base, votes of every base span and every tight candidate that overlaps none."""
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\u0001\u0002", "\u0003\u0003")
-    rows = docs.select(F.col("doc_id"), text.alias("t"))
-    rows = rows.select("doc_id", *[_matches(F.col("t"), p).alias(f"{name}_{k}") for name, group in (("b", BASE), ("t", TIGHT)) for k, p in group.items()])
-    rows = rows.select("doc_id", *[F.filter(_spans(f"{name}_{k}", i, name == "b"), _valid).alias(f"{name}_{k}") for name in "bt" for i, k in enumerate(KINDS)])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), text.alias("t"))
+    rows = rows.select("row", *[_matches(F.col("t"), p, NEEDS[f"{name}_{k}"]).alias(f"{name}_{k}") for name, group in (("b", BASE), ("t", TIGHT)) for k, p in group.items()])
+    rows = rows.select("row", *[F.filter(_spans(f"{name}_{k}", i, name == "b"), _valid).alias(f"{name}_{k}") for name in "bt" for i, k in enumerate(KINDS)])
     base, tight = F.concat(*[F.col(f"b_{k}") for k in KINDS]), F.concat(*[F.col(f"t_{k}") for k in KINDS])
-    rows = rows.select("doc_id", base.alias("base"), tight.alias("tight"))
+    rows = rows.select("row", base.alias("base"), tight.alias("tight"))
     apart = F.filter("tight", lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    rows = rows.select("doc_id", F.concat("base", F.when(F.size("tight") > 0, apart).otherwise(F.col("tight"))).alias("found"))
-    return rows.select("doc_id", F.transform("found", lambda x: F.struct(x["kind"], x["start"], x["end"], x["base"], _votes(x).alias("votes"))).alias("found"))
+    rows = rows.select("row", F.concat("base", F.when(F.size("tight") > 0, apart).otherwise(F.col("tight"))).alias("found"))
+    return rows.select("row", F.transform("found", lambda x: F.struct(x["kind"], x["start"], x["end"], x["base"], _votes(x).alias("votes"))).alias("found"))
 
 
 def train(found: DataFrame) -> dict[int, dict[str, float]]:
@@ -223,17 +234,22 @@ def train(found: DataFrame) -> dict[int, dict[str, float]]:
     return model
 
 
-def personal_data(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and spans: kind (place in KINDS), start, end, base, by kind and start, for every row of docs."""
-    found = settle(candidates(docs))
-    good = sorted(f"{kind}:{p}" for kind, scores in train(found).items() for p, s in scores.items() if s >= threshold)
+def _decided(found: DataFrame, model: dict[int, dict[str, float]], threshold: float) -> DataFrame:
+    """row and spans (kind, start, end, base, by kind and start) of candidates()."""
+    good = sorted(f"{kind}:{p}" for kind, scores in model.items() for p, s in scores.items() if s >= threshold)
     wanted = F.array(*[F.lit(g) for g in good]) if good else F.array().cast("array<string>")
     key = lambda x: F.concat(x["kind"].cast("string"), F.lit(":"), x["votes"])
     kept = F.filter("found", lambda x: x["base"] | F.array_contains(wanted, key(x)))
     added = F.filter(kept, lambda x: ~x["base"])
     # Two added spans of different kinds may overlap: the kind listed first stays.
     apart = F.filter(kept, lambda x: x["base"] | ~F.exists(added, lambda y: (y["kind"] < x["kind"]) & (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    return found.select("doc_id", F.array_sort(F.transform(apart, lambda x: F.struct(x["kind"], x["start"], x["end"], x["base"]))).alias("spans"))
+    return found.select("row", F.array_sort(F.transform(apart, lambda x: F.struct(x["kind"], x["start"], x["end"], x["base"]))).alias("spans"))
+
+
+def personal_data(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id and spans: kind (place in KINDS), start, end, base, by kind and start, for every row of docs."""
+    found = settle(candidates(docs, ["doc_id"]))
+    return _decided(found, train(found), threshold).select("row.doc_id", "spans")
 
 
 def _listed(spans: Column) -> Column:
@@ -246,25 +262,30 @@ def _only(kind: int):
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256 and spans (all, as kind:start:end)."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all, as kind:start:end), n_spans (all) and n_added."""
     rows = personal_data(docs).select("doc_id", "spans", F.filter("spans", lambda x: x["base"]).alias("base"))
     kinds = F.col("base.kind")
     counts = [F.size(F.array_remove(F.transform(kinds, _only(i)), F.lit(-1))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return rows.select("doc_id", *counts, F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    n = F.size("spans").cast("long")
+    return rows.select("doc_id", *counts, F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), n.alias("n_spans"), (n - F.size("base")).alias("n_added"))
 
 
-def masked(docs: DataFrame) -> DataFrame:
-    """docs with every span of text replaced by its kind in brackets; doc_id must be unique."""
-    found = personal_data(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.array_sort(F.transform("spans", lambda x: F.struct(x["start"], x["end"], x["kind"]))).alias("__spans"))
-    names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
+def masked(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with every span of text replaced by its kind in brackets; each row by its own spans, so ids may repeat or be null."""
+    # The texts are searched again rather than written: the model needs all votes before the first row can be cut.
+    seen = settle(candidates(docs, ["doc_id"]))
+    model = train(seen)
+    free(seen)
+    names, text = F.array(*[F.lit(f"[{k}]") for k in KINDS]), F.col("row")["text"]
+    rows = _decided(candidates(docs, docs.columns), model, threshold)
+    rows = rows.select("row", F.array_sort(F.transform("spans", lambda x: F.struct(x["start"], x["end"], x["kind"]))).alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["pos"] + 1, x["start"] - acc["pos"])
-        grown = F.struct(x["end"].alias("pos"), F.concat(acc["out"], gap, F.element_at(names, x["kind"] + 1)).alias("out"))
+        gap = F.substring(text, acc["pos"] + 1, x["start"] - acc["pos"])
+        grown = F.struct(x["end"].alias("pos"), F.concat(acc["out"], F.array(gap, F.element_at(names, x["kind"] + 1))).alias("out"))
         return F.when(x["start"] >= acc["pos"], grown).otherwise(acc)
 
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    cut = F.aggregate("__spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["pos"] + 1, F.length("text"))))
-    joined = docs.join(found, F.col("doc_id") == F.col("__id"), "left")
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut)
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
+    cut = F.aggregate("spans", zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["pos"] + 1, F.length(text))))
+    new = F.when(F.size("spans") == 0, text).otherwise(cut)
+    return rows.select(*[new.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -4,13 +4,14 @@ Each word and each character n-gram of a text is hashed to a row of an embedding
 rows are averaged with their counts, and a softmax layer over the average gives the score. The
 table and the layer are trained together by stochastic gradient descent in numpy.
 
-Training reads at most ``SAMPLE`` labelled rows, the first by a hash of their doc_id, whatever
-the size of the corpus; their features, not their texts, come to the driver, and are as wide for
-a long text as for a short one. Scoring reads every whole text once, without a shuffle.
+Training uses at most ``SAMPLE`` labelled rows, the first by a hash of doc_id and text, whatever
+the size of the corpus and however often an id repeats; their features, not their texts, come to the
+driver, and are as wide for a long text as for a short one. Scoring reads every whole text once, without a shuffle.
 
 Texts that are null, empty or without features get the score of the bias alone. Repeated label
-rows count as often as they occur; null labels and ids are left out. Without any label the score
-is 0.5; with one class only it tends to that class.
+rows count as often as they occur, rows that repeat a doc_id get its label each; null labels and ids are
+left out. Equal scores are equal decisions. Without any label the score is 0.5; with one class only it
+tends to that class. Columns of any name stay; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -24,28 +25,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm.sparse import Features, packed, unpacked, weighted
+from granary.llm.textkit import fresh
 
 FEATURES = Features(buckets=1 << 14, grams=(2, 3, 4), words=True)
 SAMPLE, DIM, EPOCHS, BATCH, RATE = 3000, 16, 40, 32, 40.0
+#: Rows that are unpacked at once, a multiple of BATCH.
+SLAB = 512
 THRESHOLD = 0.7
-#: The column that score() adds.
-SCORE = "__score"
-
 
 def id_remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def featurised(df: DataFrame, features: Features, label: str) -> DataFrame:
-    """label (as string), places, values: the packed frequency row of each text."""
+def featurised(df: DataFrame, features: Features, label: str, lot: Column) -> DataFrame:
+    """label (as string), lot (a long), places, values: the packed frequency row of each text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = [packed(x) for _, xs in features.frequencies(batch.column("text")) for x in xs]
             places, values = zip(*pairs, strict=True) if pairs else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(places, pa.binary()), pa.array(values, pa.binary())], ["label", "places", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("lot"), pa.array(places, pa.binary()), pa.array(values, pa.binary())], ["label", "lot", "places", "values"])
 
-    return df.select(F.col(label).cast("string").alias("label"), F.col("text").cast("string")).mapInArrow(rows, "label string, places binary, values binary")
+    text = F.col("text").cast("string")
+    return df.select(F.col(label).cast("string").alias("label"), lot.alias("lot"), text.alias("text")).mapInArrow(rows, "label string, lot long, places binary, values binary")
 
 
 def fit(rows: list[tuple[bytes, bytes]], labels: np.ndarray, features: Features = FEATURES, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -60,22 +62,22 @@ def fit(rows: list[tuple[bytes, bytes]], labels: np.ndarray, features: Features
     steps, step = EPOCHS * max(1, -(-len(rows) // BATCH)), 0
     for _ in range(EPOCHS if len(rows) else 0):
         order = rng.permutation(len(rows))
-        for i in range(0, len(order), BATCH):
-            pick, rate = order[i : i + BATCH], 1 - step / steps
-            x = unpacked([rows[k] for k in pick], features.buckets)
-            used = np.flatnonzero(x.any(axis=0))
-            x = x[:, used]
-            hidden = x @ table[used]
-            z = hidden @ out + bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(pick)), labels[pick]] -= 1
-            p /= len(pick)
-            grad = p @ out.T
-            out -= 0.5 * rate * (hidden.T @ p)
-            bias -= 0.5 * rate * p.sum(axis=0)
-            table[used] -= RATE * rate * (x.T @ grad)
-            step += 1
+        for start in range(0, len(order), SLAB):
+            slab = order[start : start + SLAB]
+            dense = unpacked([rows[k] for k in slab], features.buckets)
+            for i in range(0, len(slab), BATCH):
+                pick, x, rate = slab[i : i + BATCH], dense[i : i + BATCH], 1 - step / steps
+                hidden = x @ table
+                z = hidden @ out + bias
+                p = np.exp(z - z.max(axis=1, keepdims=True))
+                p /= p.sum(axis=1, keepdims=True)
+                p[np.arange(len(pick)), labels[pick]] -= 1
+                p /= len(pick)
+                grad = p @ out.T
+                out -= 0.5 * rate * (hidden.T @ p)
+                bias -= 0.5 * rate * p.sum(axis=0)
+                table -= x.T @ (RATE * rate * grad)
+                step += 1
     return table @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
 
 
@@ -85,35 +87,36 @@ def train(docs: DataFrame, labels: DataFrame, remainder: int = 2, modulus: int =
     known = known.where(id_remainder(F.col("doc_id"), modulus) != remainder)
     # At most ``sample`` rows of two numbers, so this side can be broadcast.
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id")
-    got = featurised(texts, FEATURES, "quality").toArrow()
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")
+    # Ids may repeat, so the bound is set again on what the join gives; the order has the label, so that it does not hang on tasks.
+    got = featurised(texts, FEATURES, "quality", F.xxhash64("doc_id", "text")).orderBy("lot", "label", "places", "values").limit(sample).toArrow()
     rows = list(zip(got["places"].to_pylist(), got["values"].to_pylist(), strict=True))
-    order = sorted(range(len(rows)), key=lambda i: rows[i])  # the result must not hang on the order of tasks
-    return fit([rows[i] for i in order], np.array([int(got["label"][i].as_py()) for i in order], dtype=np.int64))
+    return fit(rows, np.array([int(x) for x in got["label"].to_pylist()], dtype=np.int64))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of docs (doc_id) and __score, the probability of class 1, for every row of docs."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns ``keep`` of docs (doc_id) and ``name``, the probability of class 1, for every row of docs."""
     keep = keep or ["doc_id"]
-    docs = docs.select(*[F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in dict.fromkeys([*keep, "text"])])
+    docs = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, c = shared.value
         for batch in batches:
             odds = np.concatenate([weighted(x, w) + c for _, x in FEATURES.frequencies(batch.column("text"))] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(1 / (1 + np.exp(-odds.astype(np.float64))))], [*keep, SCORE])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(1 / (1 + np.exp(-odds.astype(np.float64))))], [*keep, name])
 
-    return docs.mapInArrow(rows, T.StructType([docs.schema[c] for c in keep]).add(SCORE, "double"))
+    return docs.mapInArrow(rows, T.StructType([docs.schema[c] for c in keep]).add(name, "double"))
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out (its row was barred from training), score, predicted (score >= THRESHOLD)."""
     scored = score(docs, train(docs, labels))
     held = F.coalesce(id_remainder(F.col("doc_id"), 4) == 2, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that are predicted 0; all columns stay."""
-    return score(docs, train(docs, labels), docs.columns).where(F.col(SCORE) >= THRESHOLD).drop(SCORE)
+    (name,) = fresh(docs.columns, "score")
+    return score(docs, train(docs, labels), docs.columns, name).where(F.col(name) >= THRESHOLD).drop(name)

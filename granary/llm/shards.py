@@ -5,8 +5,10 @@ the least ``-ln(u) / weight``. The choice for a key compares each pair on its ow
 only takes records into itself (the share of its weight) and a removed one only gives its own away.
 Within a shard records get gapless slots from 0, in the order of their keys' hashes.
 
-A null key is a key of its own. Repeated rows share key and shard and get slots of their own. A
-null text has no bytes: size 1 and checksum 0.
+A null key is a key of its own. Repeated rows share key and shard and get slots of their own, in the
+order of the table they are read from; they may be a third of all rows, as a shard is numbered by ranges. A
+null text has no bytes: size 1 and checksum 0; a text of any length is one value. Columns named shard or
+slot are replaced, all others stay whatever their names. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.textkit import hex_bucket, running_sum
+from granary.llm.textkit import fresh, running_sum
 
 _TOP = 1 << 52
 
@@ -37,11 +39,11 @@ def shard_of(key: Column, weights: list[float]) -> Column:
 
 def with_shards(docs: DataFrame, weights: list[float], key: str = "doc_id") -> DataFrame:
     """docs with shard and slot in place of columns of these names."""
-    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null")).cast("binary"))
-    at = docs.drop("shard", "slot").select("*", shard_of(F.col(key), weights).alias("shard"), digest.alias("__hash"), F.lit(1).alias("__one"))
-    at = at.withColumn("__bucket", hex_bucket(F.col("__hash")))
-    out = running_sum(at, ["shard"], "__bucket", [F.col("__hash"), F.col(key)], {"slot": "__one"})
-    return out.drop("__hash", "__one", "__bucket")
+    rest = docs.drop("shard", "slot")
+    digest, one, tie = fresh([*rest.columns, "shard", "slot"], "digest", "one", "tie")
+    order = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null")).cast("binary"))
+    at = rest.select("*", shard_of(F.col(key), weights).alias("shard"), order.alias(digest), F.lit(1).alias(one), F.monotonically_increasing_id().alias(tie))
+    return running_sum(at, ["shard"], [digest, tie], {"slot": one}).drop(digest, one, tie)
 
 
 def write_sharded(docs: DataFrame, path: str, weights: list[float], key: str = "doc_id") -> None:

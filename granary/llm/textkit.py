@@ -8,14 +8,17 @@ is a piece of its own), which bounds the memory of a task by its longest text.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.operators.tables import free, fresh, settle, shared_folder
+
+__all__ = ["ALNUM", "NOT_SPACE", "Words", "free", "fresh", "mix64", "pieces", "running_sum", "settle", "shared_folder", "span_hashes", "window_hashes"]
+
 PIECE = 1 << 19
 
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -103,50 +106,23 @@ def pieces(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, list[by
         yield first, held
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a local one only in local mode."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="spark-granary-")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage ends there, and a lost executor costs no recomputation."""
-    path = f"{checkpoint_dir(df.sparkSession)}/granary-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def running_sum(df: DataFrame, group: list[str], order: list[str], values: dict[str, str]) -> DataFrame:
+    """Exclusive running sums of each group, without putting a group, or the rows of one key, into one task.
 
-
-def running_sum(df: DataFrame, group: list[str], bucket: str, order: list[Column], values: dict[str, str]) -> DataFrame:
-    """Exclusive running sums within each group, without putting a group into one task.
-
-    bucket is a column that is monotone in ``order`` and splits each group into parts of
-    moderate size; values maps new column names to the columns they sum. The parts are
-    summed first, the few part totals get offsets by a window, and each part is then summed
-    on its own, so the largest sort is that of a part.
+    values maps new column names to the columns they sum. The rows are dealt into ranges of (group, order) and
+    written; ``order`` must end with a column in which rows of one key differ, so that a key of any size spreads over
+    ranges. The totals of the ranges, one row for each range and group in it, get offsets by a window, and each
+    range is then summed on its own.
     """
-    keys = [*group, bucket]
-    parts = df.groupBy(*keys).agg(*[F.sum(v).alias(f"__{k}") for k, v in values.items()])
-    ahead = Window.partitionBy(*[F.col(g) for g in group]).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys],
-        *[F.coalesce(F.sum(f"__{k}").over(ahead), F.lit(0)).alias(f"__{k}") for k in values],
-    )
+    part, *sums = fresh(df.columns + list(values), "range", *[f"sum_{i}" for i in range(len(values))])
+    dealt = settle(df.repartitionByRange(*group, *order).withColumn(part, F.spark_partition_id()))
+    keys = [*group, part]
+    other = dict(zip(keys, fresh([*dealt.columns, *values, *sums], *[f"key_{i}" for i in range(len(keys))]), strict=True))
+    totals = dealt.groupBy(*keys).agg(*[F.sum(v).alias(s) for s, v in zip(sums, values.values(), strict=True)])
+    ahead = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    # Written, so that its size is known: it is broadcast below Spark's own threshold only.
+    offsets = settle(totals.select(*[F.col(k).alias(other[k]) for k in keys], *[F.coalesce(F.sum(s).over(ahead), F.lit(0)).alias(s) for s in sums]))
     within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.select("*", *[F.coalesce(F.sum(v).over(within), F.lit(0)).alias(k) for k, v in values.items()])
-    matched = df.join(parts, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
-    rest = [c for c in df.columns if c not in values]
-    return matched.select(*rest, *[(F.col(k) + F.col(f"__{k}")).alias(k) for k in values])
-
-
-def hex_bucket(column: Column, digits: int = 3) -> Column:
-    """The first hex digits of a hex hash as the bucket of running_sum()."""
-    return F.conv(F.substring(column, 1, digits), 16, 10).cast("int")
+    summed = dealt.select("*", *[F.coalesce(F.sum(v).over(within), F.lit(0)).alias(k) for k, v in values.items()])
+    matched = summed.join(offsets, [F.col(k).eqNullSafe(F.col(other[k])) for k in keys])
+    return matched.select(*df.columns, *[(F.col(k) + F.col(s)).alias(k) for k, s in zip(values, sums, strict=True)])

@@ -6,7 +6,9 @@ histogram, running sums give for every context limit how many documents are long
 all, the tokens left when each text is cut at the limit, and the quantile of each length. The histogram has one
 row per distinct length, far fewer than documents.
 
-Null and empty texts have length 0. Repeated rows count each.
+Null and empty texts have length 0. Repeated rows count each; equal lengths are one row. A column named
+n_tokens is replaced, others stay; an empty table has an empty histogram. The caller passes the path of the
+vocabulary; executors get its content by broadcast and read no file.
 """
 
 from __future__ import annotations
@@ -64,8 +66,8 @@ def histogram(lengths: DataFrame) -> DataFrame:
 def limits(hist: DataFrame) -> DataFrame:
     """For each length L of hist: documents of L and above L, tokens of all at most L, tokens when cut at L, quantile."""
     hist = settle(hist)
-    rows = hist.select("*", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.lit(0).alias("all"), (F.col("n_tokens") / 256).cast("long").alias("range"))
-    run = running_sum(rows, ["all"], "range", [F.col("n_tokens")], {"docs_below": "n_docs", "tokens_below": "tokens"})
+    rows = hist.select("*", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.lit(0).alias("all"))
+    run = running_sum(rows, ["all"], ["n_tokens"], {"docs_below": "n_docs", "tokens_below": "tokens"})
     docs, tokens = hist.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum(F.col("n_docs") * F.col("n_tokens")), F.lit(0))).first()
     run = run.withColumns({"total_docs": F.lit(docs).cast("long"), "total_tokens": F.lit(tokens).cast("long")})
     upto = F.col("docs_below") + F.col("n_docs")

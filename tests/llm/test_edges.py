@@ -34,6 +34,24 @@ def nothing(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+#: Names that operators use inside, and some that they used once.
+INSIDE = """row digest one tie range sum_0 key_0 key_1 place content before copies source_size target taken n_tokens n_docs found hits listed h at words ids of starts covered spans
+base tight score_ kept n of_id of_version version node fp sig slot_ __hash __one __bucket __source __before __id __gone __score __found __row __spans __k_doc_id label lot places""".split()
+
+
+@pytest.fixture(scope="module")
+def clashing(docs):
+    """docs with a column of each inner name, whose values tell their row."""
+    mark = F.monotonically_increasing_id().cast("string")
+    return docs.select("*", *[F.concat(F.lit(f"{name}:"), mark).alias(name) for name in INSIDE])
+
+
+def untouched(got, want, *changed):
+    """The rows of got, without columns that an operator sets, as a sorted list of texts; they must be rows of want."""
+    columns = [c for c in want.columns if c not in changed]
+    return sorted(map(repr, got.select(*columns).collect())), sorted(map(repr, want.select(*columns).collect()))
+
+
 def labels(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
@@ -78,8 +96,8 @@ def test_near_duplicates(spark, docs, nothing, width):
 
 
 def test_near_copies_of_one_text_in_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "APART_BLOCK", 8)
-    monkeypatch.setattr(neardup, "MEMBER_BLOCK", 16)
+    monkeypatch.setattr(neardup, "BLOCK", 1500)
+    monkeypatch.setattr(neardup, "BLOCK_SETS", 16)
     rng = np.random.default_rng(3)
     base = [f"word{i}" for i in range(120)]
     rows = []
@@ -104,6 +122,63 @@ def test_sharding(spark, docs, nothing):
         shards.shard_of(docs["doc_id"], [0.0])
 
 
+def test_columns_of_any_name_keep_their_values(spark, clashing):
+    bench = items(spark, [(1, "second line of it third line of it other")])
+    some = labels(spark, [(1, 1, 0), (6, 1, 0), (8, 1, 0)])
+    for got in (shards.with_shards(clashing, [1.0, 2.0]), linedup.deduplicated(clashing), pii.masked(clashing), decontaminate.remove_spans(clashing, bench)):
+        a, b = untouched(got, clashing, "text", "shard", "slot")
+        assert a == b
+    for got in (quality.drop_rejected(clashing, some), decontaminate.drop_contaminated(clashing, bench), neardup.drop_near_duplicates(clashing), mixing.mixed(clashing)):
+        assert got.columns == clashing.columns
+        a, b = untouched(got, clashing)
+        assert a and set(a) <= set(b)
+    joined = decontaminate.scan(clashing, bench, clashing.columns, max_windows=0, name="f2").drop("f2")
+    a, b = untouched(joined, clashing)
+    assert a == b
+
+
+def test_a_third_of_all_rows_under_one_id(spark):
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") + 100).alias("doc_id"), F.lit("same text of some words").alias("text"), F.lit("a").alias("source"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = shards.with_shards(rows, [1.0] * 3)
+        slots = out.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+        assert all(r["n"] == r["d"] == r["m"] + 1 for r in slots)
+        dealt = rows.select("source", "doc_id", F.monotonically_increasing_id().alias("tie")).repartitionByRange("source", "doc_id", "tie")
+        largest = dealt.groupBy(F.spark_partition_id()).count().agg({"count": "max"}).first()[0]
+        assert largest < 2000
+        taken = {r["doc_id"]: r["taken"] for r in mixing.mixture(rows.limit(0).union(rows)).collect()}
+        assert sum(r["taken"] for r in mixing.mixture(rows).collect()) == 6000 * 5 and taken[7] == 5
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_near_duplicates_tell_rows_of_one_id_apart(spark):
+    words = [f"word{i}" for i in range(60)]
+    near = " ".join([*words[:-1], "other"])
+    rows = [(1, " ".join(words), "a"), (2, near, "b"), (2, "a clean text that nothing else resembles at all", "c"), (2, "a clean text that nothing else resembles at all", "d"), (3, " ".join(words), "e"), (None, near, "f"), (4, "", "g"), (4, "", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    kept = sorted(r["mark"] for r in neardup.drop_near_duplicates(df).collect())
+    assert kept in (["a", "c", "f", "g", "h"], ["a", "d", "f", "g", "h"])
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in neardup.near_duplicates(df).collect())
+    assert got == [(0, 0, True), (1, 1, True), (2, 1, False), (2, 2, True), (2, 2, True), (3, 1, False), (4, 4, True), (4, 4, True)]
+
+
+def test_line_dedup_is_linear_in_lines(spark):
+    import time
+
+    def seconds(n):
+        text = "\n".join(f"line {i}" for i in range(n))
+        df = spark.createDataFrame([(1, text), (2, "head\n" + text + "\ntail")], "doc_id long, text string")
+        began = time.time()
+        got = {r["doc_id"]: r for r in linedup.deduplicated(df).collect()}
+        assert got[2]["text"] == "head\ntail" and got[2]["n_removed"] == n and got[1]["text"] == text
+        return time.time() - began
+
+    seconds(1000)
+    assert seconds(160_000) < 3 * seconds(80_000) + 5
+
+
 def test_weights_decide_shares(spark):
     keys = spark.range(20_000).withColumnRenamed("id", "doc_id")
     counts = {r["shard"]: r["count"] for r in shards.with_shards(keys, [1.0, 3.0]).groupBy("shard").count().collect()}
@@ -139,6 +214,27 @@ def test_nearest(spark):
     assert knn.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_nearest_goes_through_cells_and_bounds(spark):
+    rng = np.random.default_rng(2)
+    centres = 5 * rng.normal(size=(8, 8))
+    rows = [(i, [float(x) for x in centres[i % 8] + 0.01 * rng.normal(size=8)]) for i in range(500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    base = df.mapInArrow(knn._quantised(knn.SCALE), "vec_id long, dim int, v binary")
+    pivots = knn._pivots(base, 500, None)
+    cells = base.mapInArrow(knn._assigned(pivots), knn._ROW)
+    summary = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("resid").alias("r")).collect()
+    assert len(summary) > 4
+    radius, parts = {x["cell"]: x["r"] for x in summary}, {x["cell"]: 1 for x in summary}
+    asked = cells.where("vec_id % 100 = 0").withColumn("floor", F.lit(None).cast("long"))
+    best = {r["query_id"]: r["score"] for r in knn.nearest(df).where("rank = 10").collect()}
+    floors = spark.createDataFrame(list(best.items()), "vec_id long, floor long")
+    columns = ["vec_id", "dim", "v", "cell", "norm", "floor"]
+    route = lambda q: q.select(columns).mapInArrow(knn._router(pivots, radius, parts), "chunk long, vec_id long, dim int, v binary, floor long").count()
+    everywhere, pruned = route(asked), route(asked.drop("floor").join(floors, "vec_id"))
+    assert everywhere == 5 * (len(summary) - 1) and pruned < everywhere / 2
+    assert sorted(tuple(r) for r in knn.nearest(df).collect()) == sorted(brute.nearest(rows))
+
+
 def test_personal_data(spark, docs, nothing):
     got = {r["doc_id"]: r for r in pii.report(docs).collect()}
     assert len(pii.report(docs).collect()) == len(ROWS) and pii.report(nothing).count() == 0
@@ -150,6 +246,8 @@ def test_personal_data(spark, docs, nothing):
     assert f"card:{first}:{first + 19}" in spans and f"card:{first + 20}:{first + 39}" in spans
     masked = {r["doc_id"]: r["text"] for r in pii.masked(docs).collect()}
     assert "jane" not in masked[8] and "[email]" in masked[8] and masked[1] == ROWS[0][1]
+    odd = spark.createDataFrame([(None, "to a@b.org now"), (5, "x@y.com"), (5, "and then, later, z@w.net or 10.0.0.1"), (6, None)], "doc_id long, text string")
+    assert sorted(str(r["text"]) for r in pii.masked(odd).collect()) == ["None", "[email]", "and then, later, [email] or [ip]", "to [email] now"]
     many = " ".join(f"u{i}@h{i}.org" for i in range(1000))
     row = pii.report(spark.createDataFrame([(1, many)], "doc_id long, text string")).first()
     assert row["n_email"] == 1000 and row["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b in brute.base_spans(many))
@@ -171,6 +269,31 @@ def test_language(spark, docs, nothing):
     assert langid.codewords(12).shape[0] == 12
 
 
+def test_many_languages(spark):
+    """Fifty invented languages, each of its own letters in part: distinct codewords, bounded training, right answers."""
+    code = langid.codewords(50)
+    assert len({tuple(w) for w in code.tolist()}) == 50
+    assert min(int((a != b).sum()) for i, a in enumerate(code) for b in code[:i]) >= 10
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(50):
+        letters = [chr(0x4E00 + 40 * k + j) if j < 8 else chr(97 + (3 * k + j) % 26) for j in range(14)]
+        rows += [(60 * k + i, " ".join("".join(rng.choice(letters, 5)) for _ in range(12)), f"l{k}") for i in range(60)]
+    rows += [(99_999, rows[0][1], "l0")] * 500
+    got = langid.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("held_out and doc_id < 3000").collect()
+    right = {r[0]: r[2] for r in rows}
+    assert sum(r["lang_pred"] == right[r["doc_id"]] for r in got) / len(got) > 0.95
+
+
+def test_quality_bounds_what_repeated_ids_bring(spark, monkeypatch):
+    seen = []
+    whole = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows, labels, **k: seen.append(len(rows)) or whole(rows, labels, **k))
+    docs = spark.createDataFrame([(1, f"text number {i} of a repeated id") for i in range(300)] + [(3, "good words here")], "doc_id long, text string")
+    quality.train(docs, labels(spark, [(1, 1, 0), (3, 0, 0)]), sample=50)
+    assert seen == [50]
+
+
 def test_token_counts(spark, docs, nothing):
     ranks = tokencount.read_ranks(spark)
     table = tokencount.limits(tokencount.histogram(tokencount.token_lengths(docs, ranks)))
