@@ -56,13 +56,95 @@ def host(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1)), r"^(www|m)\.", "")
 
 
+def plain_path(path: Column) -> Column:
+    """A path without empty and dot segments, ".." taken up; a slash at its end stays, and so do two at its start."""
+    parts = F.filter(F.split(path, "/", -1), lambda x: ~x.isin("", "."))
+    up = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))))
+    out = F.concat(F.when(path.rlike("^//(?!/)"), "//").otherwise("/"), F.array_join(up, "/"))
+    return F.when(path.endswith("/") & ~out.endswith("/"), F.concat(out, F.lit("/"))).otherwise(out)
+
+
+def _parts(url: Column) -> tuple[Column, Column, Column, Column, Column]:
+    """Scheme and authority in lower case, port, path and query (with its sign)."""
+    plain = F.regexp_replace(url, r"(?s)#.*$", "")
+    scheme = F.lower(F.regexp_extract(plain, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    authority = F.lower(F.regexp_extract(plain, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)", 1))
+    rest = F.substring(plain, F.length(scheme) + F.length(authority) + 4, F.length(plain))
+    return scheme, F.regexp_replace(authority, r":[0-9]*$", ""), F.regexp_extract(authority, r":([0-9]*)$", 1), F.regexp_extract(rest, r"^([^?]*)", 1), F.regexp_extract(rest, r"(?s)(\?.*)$", 1)
+
+
 def normalised_url(url: Column) -> Column:
-    """Scheme and host in lower case, no fragment, no default port, no trailing slash of the path, query kept."""
-    plain = F.regexp_replace(url, r"#.*$", "")
-    front = F.lower(F.regexp_extract(plain, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1))
-    rest = F.substring(plain, F.length(front) + 1, F.length(plain))
-    path = F.regexp_replace(F.regexp_extract(rest, r"^([^?]*)", 1), r"/+$", "")
-    return F.concat(F.regexp_replace(front, r":(80|443)$", ""), path, F.regexp_extract(rest, r"(\?.*)$", 1))
+    """Scheme and host in lower case, no fragment, dot segments resolved, a slash at the end and the query kept.
+
+    Null for what is not an absolute http(s) url, has credentials or a port that is not its scheme's own.
+    """
+    scheme, name, port, path, query = _parts(url)
+    own = F.when(scheme == "https", "443").otherwise("80")
+    ok = scheme.isin("http", "https") & (name != "") & ~name.contains("@") & ((port == "") | (port == own))
+    return F.when(ok, F.concat(scheme, F.lit("://"), name, plain_path(F.when(path == "", "/").otherwise(path)), F.when(query == "?", "").otherwise(query)))
+
+
+def in_scope(url: Column, hosts: list[str], prefixes: list[str]) -> Column:
+    """Whether the host is one of ``hosts`` and the decoded path lies at or below one of ``prefixes``."""
+    _, name, _, path, _ = _parts(url)
+    at = plain_path(F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path))
+    below = F.lit(False)
+    for prefix in prefixes:
+        stem = "/" + prefix.strip("/")
+        below = below | (F.lit(True) if stem == "/" else (at == stem) | at.startswith(stem + "/"))
+    return name.isin(hosts) & below
+
+
+#: Languages that a url's path, or the end of its file name, may name.
+PATH_LANGUAGES, SUFFIX_LANGUAGES = "de|fr|it|en|rm|ar|sq|tr|uk|ru|es|pt", "de|fr|it|en|rm|ar|sq|tr|uk|ru|es|pt|so|ta|ti|sr|hr|bs|pl|el"
+
+
+def language_hint(url: Column) -> Column:
+    """The language that a url names, by the suffix of a file name before a folder; null if none."""
+    suffix = F.lower(F.regexp_extract(url, rf"(?i)[-_]({SUFFIX_LANGUAGES})(?:\.pdf|[-_])", 1))
+    folder = F.lower(F.regexp_extract(url, rf"(?i)/({PATH_LANGUAGES})(?:/|[-_])", 1))
+    return F.when(suffix != "", suffix).when(folder != "", folder)
+
+
+def language_policy(declared: Column, hint: Column, named: Column, detected: Column, confidence: Column, sample: Column) -> Column:
+    """Struct (language, method, flags): what the publisher says comes before what a detector gives.
+
+    named (a language's name in the path) replaces declared and hint; a detected language counts from a confidence of
+    0.9 on more than 100 characters, and needs review.
+    """
+    said = F.element_at(F.split(F.lower(F.regexp_replace(F.coalesce(F.when(declared != "", declared), hint, F.lit("")), "_", "-")), "-"), 1)
+    said = F.coalesce(named, F.when(said != "", said))
+    sure = said.isNull() & detected.isNotNull() & (confidence >= 0.9) & (F.char_length(sample) > 100)
+    method = F.when(said.isNotNull(), "published-language-metadata").when(sure, "statistical-detection").otherwise("undetermined")
+    flags = F.array_compact(F.array(F.when(said != detected, "declared_differs_from_detected"), F.when(sure, "inferred_language_requires_review")))
+    return F.struct(F.coalesce(said, F.when(sure, detected)).alias("language"), method.alias("method"), flags.alias("flags"))
+
+
+def encoding(raw: Column) -> Column:
+    """The encoding of bytes: by their mark, UTF-8 if they are, the charset they declare, else windows-1252; null if that can't hold them."""
+    head, latin = F.hex(F.substring(raw, 1, 3)), F.decode(raw, "ISO-8859-1")
+    stated = F.lower(F.regexp_extract(F.substring(latin, 1, 8192), r"""charset\s*=\s*["']?([a-zA-Z0-9_-]+)""", 1))
+    return (
+        F.when(head == "EFBBBF", "utf-8-sig").when(F.substring(head, 1, 4).isin("FFFE", "FEFF"), "utf-16").when(F.is_valid_utf8(raw.cast("string")), "utf-8")
+        .when(stated.isin("utf-8", "utf8", "ascii", "us-ascii"), F.lit(None)).when(stated != "", stated)
+        .when(latin.rlike("[\u0081\u008d\u008f\u0090\u009d]"), F.lit(None)).otherwise("windows-1252")
+    )
+
+
+def strict_json(text: Column) -> Column:
+    """The value of a JSON text as a variant; null for text that is not JSON or repeats a key, which other parsers let pass."""
+    return F.try_parse_json(text)
+
+
+def content_reason(path: Column, furniture: list[str], contact: list[str], news: list[str] | None = None) -> Column:
+    """Why a section under the heading path ("a > b") is left out: embedded_news, page_furniture_heading, or null to keep it.
+
+    A page whose only heading is one of ``contact`` is kept; ``news`` counts below the first heading only.
+    """
+    parts = F.transform(F.split(path, " > ", -1), key)
+    alone = (F.size(parts) == 1) & parts[0].isin(contact)
+    late = F.exists(F.slice(parts, 2, 1 << 20), lambda x: x.isin(news or []))
+    return F.when(late, "embedded_news").when(~alone & F.exists(parts, lambda x: x.isin(furniture)), "page_furniture_heading")
 
 
 def redacted_query(url: Column) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.operators.tables import settle
+
 
 def _rows(df: DataFrame, rule: str, key: str) -> DataFrame:
     return df.select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"))
@@ -28,6 +30,44 @@ def broken(rule: str, df: DataFrame, key: str, condition: str) -> DataFrame:
     return _rows(df.where(f"not coalesce({condition}, false)"), rule, key)
 
 
+def broken_rules(df: DataFrame, key: str, rules: dict[str, str]) -> DataFrame:
+    """rule and key of each row and rule that does not hold for it, in one pass over the rows."""
+    bad = F.array_compact(F.array(*[F.when(F.expr(f"not coalesce({c}, false)"), F.lit(k)) for k, c in rules.items()]))
+    return df.select(F.explode(bad).alias("rule"), F.col(key).cast("string").alias("key"))
+
+
+def overlapping(rule: str, df: DataFrame, group: str, member: str, most: int = 1) -> DataFrame:
+    """Members that stand in more than ``most`` groups."""
+    return _rows(df.select(group, member).distinct().groupBy(member).count().where(F.col("count") > most), rule, member)
+
+
+def mixed(rule: str, df: DataFrame, group: list[str], value: str, most: int = 1) -> DataFrame:
+    """Groups with more than ``most`` values of a column."""
+    found = df.select(*group, value).where(F.col(value).isNotNull()).distinct().groupBy(*group).count().where(F.col("count") > most)
+    return found.select(F.lit(rule).alias("rule"), F.concat_ws(":", *group).alias("key"))
+
+
+def tree_errors(nodes: DataFrame) -> DataFrame:
+    """tree and errors (joined by commas) of trees given as rows (tree, node, parent); the root's parent is null.
+
+    What the roots reach is found a level at a time over all trees at once.
+    """
+    parents = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there")).distinct()
+    n = nodes.join(parents, ["tree", "parent"], "left")
+    counted = n.groupBy("tree").agg(
+        F.count("*").alias("nodes"), F.count_if(F.col("parent").isNull()).alias("roots"), (F.count("*") - F.count_distinct("node")).alias("repeated"), F.count_if(F.col("parent").isNotNull() & F.col("there").isNull()).alias("dangling")
+    )
+    front = settle(nodes.where("parent is null").select("tree", "node").distinct())
+    known = front
+    while not front.isEmpty():
+        step = nodes.join(front.withColumnRenamed("node", "parent"), ["tree", "parent"]).select("tree", "node").distinct()
+        front = settle(step.join(known, ["tree", "node"], "left_anti"))
+        known = known.union(front)
+    out = counted.join(known.groupBy("tree").agg(F.count("*").alias("reached")), "tree", "left")
+    found = [("duplicate ids", F.col("repeated") > 0), ("root", F.col("roots") != 1), ("dangling", F.col("dangling") > 0), ("unconnected", F.coalesce("reached", F.lit(0)) < F.col("nodes") - F.col("repeated"))]
+    return out.select("tree", F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in found])), ",").alias("errors"))
+
+
 def violations(*checks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 

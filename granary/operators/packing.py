@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def bins(df: DataFrame, group: list[str], order: list[str], size: int) -> DataFrame:
@@ -12,16 +16,35 @@ def bins(df: DataFrame, group: list[str], order: list[str], size: int) -> DataFr
     return df.withColumn("bin", F.floor(at / size).cast("long"))
 
 
-def batches(weights: Column, limit: int) -> Column:
-    """For an ordered array of weights the number of the batch of each: a new batch begins where the limit would be passed."""
-    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("batch"), F.expr("cast(array() as array<bigint>)").alias("out"))
-
-    def step(acc: Column, w: Column) -> Column:
-        new = (acc["sum"] > 0) & (acc["sum"] + w > limit)
-        batch = acc["batch"] + F.when(new, 1).otherwise(0)
-        return F.struct(F.when(new, w).otherwise(acc["sum"] + w).cast("long").alias("sum"), batch.cast("long").alias("batch"), F.concat(acc["out"], F.array(batch.cast("long"))).alias("out"))
-
-    return F.aggregate(weights, zero, step, lambda acc: acc["out"])
+def batches(df: DataFrame, group: list[str], order: list[str], limits: dict[str, float], breaks: list[str] = (), name: str = "batch") -> DataFrame:
+    """df with ``name``: rows of a group in order, packed greedily; a batch ends before the row that would pass one of the limits.
+
+    limits maps columns of weights to the most that a batch may hold; a single row above a limit is a batch of its own. A
+    batch also ends where one of ``breaks`` changes. Null weights count nothing. Rows stream by in order and only
+    running sums are held, so a group may be of any length.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
+
+    def walk(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last, sums, batch = None, None, [], 0
+        for frame in frames:
+            keys = zip(*[frame.column(c).to_pylist() for c in group], strict=True)
+            marks = zip(*[frame.column(c).to_pylist() for c in breaks], strict=True) if breaks else [()] * frame.num_rows
+            weights = zip(*[frame.column(c).to_pylist() for c in limits], strict=True)
+            out = []
+            for key, mark, row in zip(keys, marks, weights, strict=True):
+                row = [w or 0 for w in row]
+                if key != at:
+                    at, batch, sums = key, 0, row
+                elif mark != last or any(s + w > most for s, w, most in zip(sums, row, limits.values(), strict=True)):
+                    batch, sums = batch + 1, row
+                else:
+                    sums = [s + w for s, w in zip(sums, row, strict=True)]
+                last = mark
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(out, pa.int64())], schema.names)
+
+    return df.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(walk, schema)
 
 
 def round_robin(df: DataFrame, group: str, order: list[str]) -> DataFrame:

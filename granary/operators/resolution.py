@@ -259,10 +259,11 @@ def resolve(release: Release, requests: DataFrame, now: Column | None = None, sc
     free = eligible(excerpts.join(closed, ["request_id", "evidence_id"], "left_anti"), F.lit(False)).select("request_id", "evidence_id")
     candidates = free.union(support.select("request_id", "evidence_id")).distinct()
 
-    details = ready.select("request_id", "p_max_age_days", F.least("limit", F.lit(release.max_evidence)).alias("cap"), F.flatten(F.transform("terms", lambda t: tokens(t["text"]))).alias("words"))
-    rows = candidates.join(details, "request_id").join(release.evidence.select("evidence_id", "text", "language", "accessed_at"), "evidence_id")
+    details = ready.select("request_id", "p_max_age_days", F.least("limit", F.lit(release.max_evidence)).alias("cap"), F.array_distinct(F.flatten(F.transform("terms", lambda t: tokens(t["text"])))).alias("words"))
+    spoken = settle(release.evidence.select("evidence_id", tokens(c("text")).alias("said"), "language", "accessed_at"))
+    rows = candidates.join(details, "request_id").join(spoken, "evidence_id")
     if scores is None:
-        rows = rows.withColumn("score", overlap(F.array_distinct("words"), tokens(c("text"))).cast("double")).withColumn("bucket", c("evidence_id"))
+        rows = rows.withColumn("score", overlap(c("words"), c("said")).cast("double")).withColumn("bucket", c("evidence_id"))
     else:
         rows = rows.join(scores.select("request_id", "evidence_id", "score"), ["request_id", "evidence_id"]).join(groups.select("evidence_id", "group_id"), "evidence_id", "left")
         rows = rows.withColumn("bucket", F.coalesce(F.concat(F.lit("group "), "group_id"), F.concat(F.lit("evidence "), "evidence_id")))

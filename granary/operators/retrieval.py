@@ -6,20 +6,97 @@ is keyed by request: windows and groups spread over requests.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import tokens
 
 
-def lexical_scores(requests: DataFrame, evidence: DataFrame) -> DataFrame:
-    """request_id, evidence_id, score: how many distinct tokens of the request the evidence has, if any.
+#: Rows of request tokens, and numbers of request vectors, that are broadcast.
+MAX_TOKENS, MAX_NUMBERS = 1_000_000, 8_000_000
+#: Parts that a token's rows are dealt into where the requests are too many to broadcast.
+PARTS = 64
+
+
+def lexical_scores(requests: DataFrame, evidence: DataFrame, labels: DataFrame | None = None, weight: int = 1) -> DataFrame:
+    """request_id, evidence_id, score: how many distinct tokens of the request the evidence has, if any, and ``weight`` times those of its labels.
 
-    Tokens of evidence that no request has are dropped before they are joined or grouped.
+    The requests are the small side: up to MAX_TOKENS of their tokens are broadcast, so a text's tokens are matched and
+    counted where it lies and only its scores move. Beyond that both sides are joined by token and a part of the
+    evidence, the requests copied to each part, so that a common word is not one key.
     """
     asked = requests.select("request_id", F.explode(tokens(F.col("text"))).alias("token"))
-    said = evidence.select("evidence_id", F.explode(tokens(F.col("text"))).alias("token"))
-    return asked.join(said, "token").groupBy("request_id", "evidence_id").agg(F.count("*").alias("score"))
+    said = evidence.select("evidence_id", F.explode(tokens(F.col("text"))).alias("token"), F.lit(1).alias("w"))
+    if labels is not None:
+        said = said.union(labels.select("evidence_id", F.explode(tokens(F.col("text"))).alias("token"), F.lit(weight).alias("w")))
+    if asked.count() <= MAX_TOKENS:
+        both = said.join(F.broadcast(asked), "token")
+    else:
+        part = F.pmod(F.xxhash64("evidence_id"), F.lit(PARTS)).cast("int")
+        spread = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        both = said.withColumn("part", part).join(spread, ["token", "part"])
+    return both.groupBy("request_id", "evidence_id").agg(F.sum("w").alias("score"))
+
+
+def vector_scores(asked: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """request_id, evidence_id, score: inner products of each request's vectors (request_id, v) with vectors (evidence_id, v), the best of its own for each, if above 0.
+
+    The requests' numbers go to every task while they are at most MAX_NUMBERS; more are asked in several passes. Each
+    task multiplies blocks and keeps its k best of each request, so that k rows of a task move and not all pairs.
+    """
+    rows = asked.select("request_id", "v").where("v is not null").orderBy("request_id").toArrow()  # the requests, a stated query set
+    if not rows.num_rows:
+        return asked.sparkSession.createDataFrame([], "request_id long, evidence_id long, score double")
+    ids, values = rows["request_id"].to_numpy(), np.array(rows["v"].to_pylist(), dtype=np.float64)
+    # A pass takes whole requests.
+    step, parts = max(1, MAX_NUMBERS // values.shape[1]), []
+    _, first = np.unique(ids, return_index=True)
+    cuts, prior = [0], 0
+    for at in [*first[1:].tolist(), len(ids)]:
+        if at - cuts[-1] > step and prior > cuts[-1]:
+            cuts.append(prior)
+        prior = at
+    for low, high in zip(cuts, [*cuts[1:], len(ids)], strict=True):
+        parts.append(_best(asked, vectors, ids[low:high], values[low:high], k))
+    return reduce(DataFrame.union, parts)
+
+
+def _best(asked: DataFrame, vectors: DataFrame, ids: np.ndarray, values: np.ndarray, k: int) -> DataFrame:
+    shared = asked.sparkSession.sparkContext.broadcast((*np.unique(ids, return_index=True), values))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, first, q = shared.value
+        held_id = np.zeros((len(names), 0), dtype=np.int64)
+        held = np.zeros((len(names), 0))
+        for batch in batches:
+            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                v = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                s = np.maximum.reduceat(q @ v.T, first, axis=0)
+                held = np.concatenate([held, s], axis=1)
+                held_id = np.concatenate([held_id, np.tile(part.column("evidence_id").to_numpy(), (len(names), 1))], axis=1)
+                order = np.lexsort((held_id, -held), axis=1)[:, :k]
+                held, held_id = np.take_along_axis(held, order, axis=1), np.take_along_axis(held_id, order, axis=1)
+        r, c = np.nonzero(held > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(names[r]), pa.array(held_id[r, c]), pa.array(held[r, c])], ["request_id", "evidence_id", "score"])
+
+    rows = vectors.where(F.size("v") == values.shape[1]).select("evidence_id", F.col("v").cast("array<double>").alias("v"))
+    return rows.mapInArrow(score, "request_id long, evidence_id long, score double")
+
+
+def within_references(scored: DataFrame, references: int, most: int) -> DataFrame:
+    """The rows (request_id, evidence_id, ref, score) that a greedy walk by falling score takes while it holds at most ``references`` refs, at most ``most`` of each request.
+
+    With one ref to a row the walk takes what belongs to the refs that come first, so no request is gathered into one row.
+    """
+    best = F.max(F.struct("score", (-F.col("evidence_id")).alias("i"))).alias("best")
+    order = Window.partitionBy("request_id").orderBy(F.col("best").desc())
+    held = scored.groupBy("request_id", "ref").agg(best).withColumn("n", F.row_number().over(order)).where(F.col("n") <= references)
+    return top_k(scored.join(held.select("request_id", "ref"), ["request_id", "ref"]), most)
 
 
 def top_k(scored: DataFrame, k: int, by: str = "request_id", item: str = "evidence_id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +15,12 @@ _WHEN = "array<struct<field:string,operator:string,values:array<string>>>"
 _FIELDS = "array<struct<name:string,kind:string,required:boolean,allowed:array<string>,minimum:double,maximum:double,min_length:int,max_length:int>>"
 
 
-def _release(spark: SparkSession, sf_dir: str, known: str = "n_nationkey < 20", topics: int = 20) -> R.Release:
-    """Topics are the known nations below their regions, each with one concept; evidence is the benchmark texts, dealt over ``topics``."""
+def _release(spark: SparkSession, sf_dir: str, topics: int = 25) -> R.Release:
+    """Topics are the nations below their regions, each with one concept; evidence is the benchmark texts, dealt over ``topics``."""
     strings = lambda *x: F.array(*x).cast("array<string>")
     text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
     null, n, r = F.lit(None).cast("string"), F.col("n_nationkey"), F.col("n_regionkey")
-    nations = table(spark, sf_dir, "nation").where(known).select(n, r)
+    nations = table(spark, sf_dir, "nation").select(n, r)
     entry = lambda i, kind, up: [i.alias("entry_id"), F.lit(kind).alias("kind"), up.alias("parent_ids"), F.lit("CURATED").alias("lifecycle")]
     entries = spark.range(1).select(*entry(F.lit("s"), "space", strings())).union(nations.select(r).distinct().select(*entry(text("r", r), "domain", strings(F.lit("s")))))
     entries = entries.union(nations.select(*entry(text("t", n), "topic", strings(text("r", r))))).union(nations.select(*entry(text("src", n), "concept", strings(text("t", n)))))
@@ -58,46 +60,45 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""with d as (select doc_id, lang, case when source in (select concat('src', cast(n_nationkey as varchar)) from nation where n_nationkey < 20) then cast(substr(source, 4) as bigint) end as k from documents),
+@query("""with d as (select doc_id, lang, case when source in (select concat('src', cast(n_nationkey as varchar)) from nation) then cast(substr(source, 4) as bigint) end as k from documents),
 w as (select *, case when k is null then 'unknown_id' when k % 2 = 1 and doc_id % 2 = 0 then 'jurisdiction_not_covered' when k % 5 = 0 and doc_id % 3 <> 0 then 'date_outside_coverage' when lang is null then 'missing_context' end as reason from d),
 n as (select doc_id, count(*) filter (item_id % 40 < 20) as facts, count(*) filter (item_id % 40 < 20 and item_id % 7 <> 0 and (item_id % 3 <> 0 or lang = 'de')) as held,
-  count(*) filter (item_id % 7 <> 0 and not (item_id % 40 < 20 and item_id % 3 = 0 and lang <> 'de')) as evidence from w left join benchmark on item_id % 20 = k where reason is null group by 1)
+  count(*) filter (item_id % 7 <> 0 and not (item_id % 40 < 20 and item_id % 3 = 0 and lang <> 'de')) as evidence from w left join benchmark on item_id % 25 = k where reason is null group by 1)
 select doc_id as request_id, case when reason = 'unknown_id' then 'INVALID_ARGUMENT' when reason = 'missing_context' then 'NEEDS_CONTEXT' when reason is not null then 'OUT_OF_COVERAGE'
  when held = 0 then 'INSUFFICIENT_VERIFIED_EVIDENCE' when held = facts then 'SUPPORTED' else 'PARTIALLY_SUPPORTED' end as status, reason, coalesce(held, 0)::int as n_facts, least(coalesce(evidence, 0), 20)::int as n_evidence
 from w left join n using (doc_id)""")
 def batch_resolution(spark, sf_dir):
-    """2K, P2, C1-C4, C9, B5-B11, D8, D10, D11, F5, H1, H3: one request for each document, all resolved by one batch.
-
-    The release has the first twenty nations only, so that some requests name an unknown id.
-    """
+    """2K, P2, C1-C3, C9, B5-B11, D8, D11, F5, H1, H3: one request for each document, all resolved by one batch."""
     answers = R.resolve(_release(spark, sf_dir), _requests(spark, sf_dir), F.lit("2021-06-10").cast("timestamp"))
     return answers.select("request_id", "status", "reason", F.size("fact_ids").alias("n_facts"), F.size("evidence_ids").alias("n_evidence"))
 
 
-@query("""select 't' || n_nationkey as topic_id, ['requirements'] as intents, 1 as concepts, 1 as places from nation where n_nationkey < 20""")
+@query("""select 't' || n_nationkey as topic_id, ['requirements'] as intents, 1 as concepts, 1 as places from nation""")
 def release_coverage(spark, sf_dir):
-    """What the approved profiles of a release of the first twenty nations publish for each topic."""
+    """What the approved profiles of a release publish for each topic."""
     return R.coverage(_release(spark, sf_dir))
 
 
-def _whole(spark: SparkSession, sf_dir: str) -> R.Release:
-    return _release(spark, sf_dir, "true", 25)
-
-
-@query("""with d as (select doc_id, lang, case when source in (select concat('src', cast(n_nationkey as varchar)) from nation) then cast(substr(source, 4) as bigint) end as k from documents),
-w as (select *, case when k is null then 'unknown_id' when k % 2 = 1 and doc_id % 2 = 0 then 'jurisdiction_not_covered' when k % 5 = 0 and doc_id % 3 <> 0 then 'date_outside_coverage' when lang is null then 'missing_context' end as reason from d),
+@query("""with d as (select doc_id, lang, case when source in (select concat('src', cast(n_nationkey as varchar)) from nation) then cast(substr(source, 4) as bigint) end as k, case when doc_id % 3 > 0 then doc_id % 25 + 1 end as asked from documents),
+w as (select *, least(coalesce(asked, 20), 20) as cap, case when k is null then 'unknown_id' when asked > 20 then 'evidence_limit' when k % 2 = 1 and doc_id % 2 = 0 then 'jurisdiction_not_covered' when k % 5 = 0 and doc_id % 3 <> 0 then 'date_outside_coverage' when lang is null then 'missing_context' end as reason from d),
 n as (select doc_id, count(*) filter (item_id % 40 < 20) as facts, count(*) filter (item_id % 40 < 20 and item_id % 7 <> 0 and (item_id % 3 <> 0 or lang = 'de')) as held,
   count(*) filter (item_id % 7 <> 0 and not (item_id % 40 < 20 and item_id % 3 = 0 and lang <> 'de')) as evidence from w left join benchmark on item_id % 25 = k where reason is null group by 1)
-select doc_id as request_id, case when reason = 'unknown_id' then 'INVALID_ARGUMENT' when reason = 'missing_context' then 'NEEDS_CONTEXT' when reason is not null then 'OUT_OF_COVERAGE'
- when held = 0 then 'INSUFFICIENT_VERIFIED_EVIDENCE' when held = facts then 'SUPPORTED' else 'PARTIALLY_SUPPORTED' end as status, reason, coalesce(held, 0)::int as n_facts, least(coalesce(evidence, 0), 20)::int as n_evidence
+select doc_id as request_id, case when reason in ('unknown_id', 'evidence_limit') then 'INVALID_ARGUMENT' when reason = 'missing_context' then 'NEEDS_CONTEXT' when reason is not null then 'OUT_OF_COVERAGE'
+ when held = 0 then 'INSUFFICIENT_VERIFIED_EVIDENCE' when least(held, cap) = facts then 'SUPPORTED' else 'PARTIALLY_SUPPORTED' end as status, reason, least(coalesce(held, 0), cap)::int as n_facts, least(coalesce(evidence, 0), cap)::int as n_evidence
 from w left join n using (doc_id)""")
 def whole_batch_resolution(spark, sf_dir):
-    """2K, P2: batch_resolution on a release of all nations, so that an id is unknown only if no nation has it."""
-    answers = R.resolve(_whole(spark, sf_dir), _requests(spark, sf_dir), F.lit("2021-06-10").cast("timestamp"))
+    """2K, P2, F3, F5: batch_resolution with limits of evidence that the requests state, some above what a release allows."""
+    doc = F.col("request_id")
+    requests = _requests(spark, sf_dir).withColumn("max_evidence", F.when(doc % 3 > 0, doc % 25 + 1).cast("int"))
+    answers = R.resolve(_release(spark, sf_dir), requests, F.lit("2021-06-10").cast("timestamp"))
     return answers.select("request_id", "status", "reason", F.size("fact_ids").alias("n_facts"), F.size("evidence_ids").alias("n_evidence"))
 
 
-@query("""select 't' || n_nationkey as topic_id, ['requirements'] as intents, 1 as concepts, 1 as places from nation""")
+@query("""select 't' || n_nationkey as topic_id, case n_nationkey % 3 when 0 then ['deadlines', 'requirements'] else ['requirements'] end as intents, 1 as concepts, case when n_nationkey % 3 = 0 then 2 else 1 end as places from nation""")
 def whole_release_coverage(spark, sf_dir):
-    """release_coverage of a release of all nations."""
-    return R.coverage(_whole(spark, sf_dir))
+    """The coverage of a release in which every third topic has a second profile, of another intent and place, and a draft that does not count."""
+    release = _release(spark, sf_dir)
+    topic = F.regexp_replace("topic_id", "t", "").cast("int")
+    more = release.profiles.where(topic % 3 == 0).withColumns({"intent": F.lit("deadlines"), "canton": F.lit("K9")})
+    drafts = release.profiles.withColumns({"intent": F.lit("costs"), "approval": F.lit("DRAFT")})
+    return R.coverage(replace(release, profiles=release.profiles.union(more).union(drafts)))

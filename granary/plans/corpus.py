@@ -13,7 +13,7 @@ from granary.sources import pages as P
 
 @query()
 def html_block_rows(spark, sf_dir):
-    """Blocks of every page with kind, heading path, region and offsets."""
+    """A12-A14, A16 in part: blocks of every page with kind, heading path, region and offsets."""
     return P.html_blocks(table(spark, sf_dir, "pages"))
 
 
@@ -34,23 +34,48 @@ def span_check(spark, sf_dir):
     return back.agg(F.count("*").alias("lines"), F.count_if(F.col("again") == F.col("part")).alias("intact"))
 
 
-@query(r"""select page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) as declared, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, 'ordinary' as kind, strlen(html)::bigint as bytes from pages""")
-def page_facts(spark, sf_dir):
-    """Declared language, title, kind and size of each page."""
-    html = F.col("html")
-    title = F.regexp_extract(html, r"<title>([^<]*)</title>", 1)
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(html, r'<html lang="([^"]*)"', 1).alias("declared"), title.alias("title"), P.page_kind(html, title).alias("kind"), F.octet_length(html).cast("long").alias("bytes"))
+#: The tables have ordinary pages only: every fifth and so on gets another title or body, by rule.
+_KINDS = """case page_id % 9 when 1 then 'Seite nicht gefunden' when 2 then '404: Not Found' when 3 then 'Terror and error' when 4 then 'Planned maintenance' when 5 then 'Fedlex' else regexp_extract(html, '<title>([^<]*)</title>', 1) end"""
 
 
-@query(r"""with u as (select page_id, regexp_replace(url, '#.*$', '') as p, url from pages), f as (select *, lower(regexp_extract(p, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) as front from u), r as (select *, substr(p, length(front) + 1) as rest from f)
-select page_id, regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]+)', 1), '^(www|m)\.', '') as host, concat(regexp_replace(front, ':(80|443)$', ''), regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/+$', ''), regexp_extract(rest, '(\?.*)$', 1)) as normalised,
-sha256(p) as url_id, regexp_replace(url, '\?[^#]*', '?***') as redacted from r""")
+@query(rf"""with t as (select page_id, html, {_KINDS} as title from pages)
+select page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) as declared, title, case when regexp_full_match(title, '(?i)\s*(Error Page\s*\(404\)|404(\s*[-:]?\s*(Not Found|Page not found))?|Page not found|Not Found|Seite nicht gefunden|Page introuvable|Pagina non trovata|Access Denied|Forbidden)\s*') or page_id % 9 = 7 then 'error_page'
+ when regexp_matches(title, '(?i)maintenance') then 'maintenance_page' when lower(title) = 'fedlex' or page_id % 9 = 6 then 'application_shell' else 'ordinary_page' end as kind, strlen(html)::bigint as bytes from t""")
+def page_facts(spark, sf_dir):
+    """B15, B25 in part: declared language, title, kind and size of each page."""
+    html, page = F.col("html"), F.col("page_id") % 9
+    title = F.when(page == 1, "Seite nicht gefunden").when(page == 2, "404: Not Found").when(page == 3, "Terror and error").when(page == 4, "Planned maintenance").when(page == 5, "Fedlex").otherwise(F.regexp_extract(html, r"<title>([^<]*)</title>", 1))
+    body = F.when(page == 6, F.concat(html, F.lit("<app-root></app-root>"))).otherwise(html)
+    headings = F.when(page == 7, F.array(F.lit("Access denied"))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, sf_dir, "pages").select("page_id", "html", title.alias("title"), body.alias("body"), headings.alias("headings"))
+    return rows.select("page_id", F.regexp_extract(html, r'<html lang="([^"]*)"', 1).alias("declared"), "title", P.page_kind(F.col("body"), F.col("title"), F.col("headings")).alias("kind"), F.octet_length(html).cast("long").alias("bytes"))
+
+
+@query(r"""with u as (select page_id, url, regexp_replace(url, '#.*$', '') as p from pages),
+f as (select *, lower(regexp_extract(p, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) as scheme, lower(regexp_extract(p, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)) as auth from u),
+g as (select *, regexp_replace(auth, ':[0-9]*$', '') as name, regexp_extract(auth, ':([0-9]*)$', 1) as port, substr(p, length(scheme) + length(auth) + 4) as rest from f),
+k as (select *, case when regexp_extract(rest, '^([^?]*)', 1) = '' then '/' else regexp_extract(rest, '^([^?]*)', 1) end as path, regexp_extract(rest, '(\?.*)$', 1) as q from g),
+n as (select *, list_reduce(list_concat([''], list_filter(string_split(path, '/'), lambda x: x not in ('', '.'))), lambda a, x: case when x = '..' then regexp_replace(a, '/[^/]*$', '') else a || '/' || x end) as walked from k)
+select page_id, regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]+)', 1), '^(www|m)\.', '') as host,
+case when scheme in ('http', 'https') and name <> '' and not contains(name, '@') and port in ('', case scheme when 'https' then '443' else '80' end)
+ then scheme || '://' || name || case when walked = '' then '/' when path like '%/' then walked || '/' else walked end || case when q = '?' then '' else q end end as normalised,
+sha256(p) as url_id, regexp_replace(url, '\?[^#]*', '?***') as redacted from n""")
 def url_facts(spark, sf_dir):
-    """Host, normalised url, id and url without its query."""
+    """Host, normalised url, id and url without its query."""
     url = F.col("url")
     return table(spark, sf_dir, "pages").select("page_id", T.host(url).alias("host"), T.normalised_url(url).alias("normalised"), F.sha2(F.regexp_replace(url, r"#.*$", "").cast("binary"), 256).alias("url_id"), T.redacted_query(url).alias("redacted"))
 
 
+@query(r"""with u as (select page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) as host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) as path from pages)
+select page_id, (ends_with(host, '.example.com') and (path = '/en' or starts_with(path, '/en/') or path = '/fr' or starts_with(path, '/fr/'))) as in_scope from u""")
+def url_scope(spark, sf_dir):
+    """Whether a url's host is one of the allowed, and its decoded path below an allowed prefix; the hosts are those of the tables below one domain."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    name = F.lower(F.regexp_extract("url", r"^[a-z]+://([^/?#:]+)", 1))
+    hosts = [r[0] for r in pages.select(name.alias("h")).where("endswith(h, '.example.com')").distinct().collect()]  # a source's hosts, its configuration
+    return pages.select("page_id", T.in_scope(F.col("url"), hosts, ["/en", "/fr/"]).alias("in_scope"))
+
+
 @query(r"""with h as (select page_id, regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]+)', 1), '^(www|m)\.', '') as host from pages)
 select page_id, host, row_number() over (partition by host order by page_id) as turn from h""")
 def host_turns(spark, sf_dir):
@@ -138,13 +163,36 @@ def turn_offsets(spark, sf_dir):
 
 @query("""with recursive n as (select conv_id, turn, length(text) as len, row_number() over (partition by conv_id order by turn) as i from conversations),
 w as (select conv_id, turn, i, len as total, 0::bigint as batch from n where i = 1 union all
-select n.conv_id, n.turn, n.i, case when total + len > 400 then len else total + len end, case when total > 0 and total + len > 400 then batch + 1 else batch end from w join n on n.conv_id = w.conv_id and n.i = w.i + 1)
+select n.conv_id, n.turn, n.i, case when total + len > 400 then len else total + len end, case when total + len > 400 then batch + 1 else batch end from w join n on n.conv_id = w.conv_id and n.i = w.i + 1)
 select conv_id, turn, batch from w""")
 def greedy_batches(spark, sf_dir):
-    """F7, F13 (one of its three limits), E10, M2: turns packed in order into batches of at most 400 characters."""
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").cast("long").alias("len")))).alias("x"))
-    packed = turns.select("conv_id", F.arrays_zip(F.col("x.turn").alias("turn"), packing.batches(F.col("x.len"), 400).alias("batch")).alias("z"))
-    return packed.select("conv_id", F.explode("z").alias("z")).select("conv_id", "z.turn", "z.batch")
+    """F7, M2 in part: turns packed in order into batches of at most 400 characters."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("len"))
+    return packing.batches(turns, ["conv_id"], ["turn"], {"len": 400}).drop("len")
+
+
+@query("""with recursive p as (select page_id % 7 as run, page_id, length(html) as chars, 1 + page_id % 3 as requests, row_number() over (partition by page_id % 7 order by url, page_id) as i from pages),
+w as (select run, page_id, i, 1 as n, chars, requests, 0::bigint as batch from p where i = 1 union all
+select p.run, p.page_id, p.i, case when x then 1 else w.n + 1 end, case when x then p.chars else w.chars + p.chars end, case when x then p.requests else w.requests + p.requests end, case when x then batch + 1 else batch end
+ from w join p on p.run = w.run and p.i = w.i + 1, lateral (select w.n + 1 > 5 or w.chars + p.chars > 9000 or w.requests + p.requests > 8 as x) t)
+select run, page_id, batch from w""")
+def planned_runs(spark, sf_dir):
+    """Pages of a run in order of url, in batches under three limits at once: of pages, characters and requests."""
+    page = F.col("page_id")
+    rows = table(spark, sf_dir, "pages").select((page % 7).alias("run"), "page_id", "url", F.lit(1).alias("pages"), F.length("html").alias("chars"), (1 + page % 3).alias("requests"))
+    return packing.batches(rows, ["run"], ["url", "page_id"], {"pages": 5, "chars": 9000, "requests": 8}).select("run", "page_id", "batch")
+
+
+@query("""with recursive l as (select l_orderkey, l_linenumber, l_returnflag, l_quantity as q, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) as i from lineitem),
+w as (select l_orderkey, l_linenumber, l_returnflag, i, q as total, 0::bigint as grp from l where i = 1 union all
+select l.l_orderkey, l.l_linenumber, l.l_returnflag, l.i, case when l.l_returnflag <> w.l_returnflag or total + l.q > 60 then l.q else total + l.q end, case when l.l_returnflag <> w.l_returnflag or total + l.q > 60 then grp + 1 else grp end
+ from w join l on l.l_orderkey = w.l_orderkey and l.i = w.i + 1)
+select l_orderkey, grp, count(*) as n, min(l_linenumber) as first from w group by all""")
+def section_groups(spark, sf_dir):
+    """Consecutive rows of one key in groups, ended where the key changes or the span would pass a limit."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", F.col("l_quantity").cast("double").alias("q"))
+    grouped = packing.batches(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "q", "l_returnflag"], {"q": 60}, ["l_returnflag"], "grp")
+    return grouped.groupBy("l_orderkey", "grp").agg(F.count("*").alias("n"), F.min("l_linenumber").alias("first"))
 
 
 @query("""select source, bin, count(*) as n, min(doc_id) as first, max(doc_id) as last from (select *, (row_number() over (partition by source order by doc_id) - 1) // 50 as bin from documents) group by all""")

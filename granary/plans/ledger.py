@@ -6,6 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import integrity_hash
+from granary.operators import dedup
 from granary.plans.registry import query, table
 
 
@@ -33,16 +34,16 @@ def classified_targets(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(first_match(F.col("url"), rules, "plain").alias("category")).agg(F.count("*").alias("n"))
 
 
-@query(r"""select min(doc_id) as first, count(*) as n, array_to_string(list_sort(list(doc_id)), ',') as ids from documents where text is not null and length(text) < 200 group by md5(regexp_replace(text, '\s+', '', 'g'))""")
+@query(r"""select min(doc_id) over (partition by md5(regexp_replace(text, '\s+', '', 'g'))) as job, doc_id from documents where text is not null""")
 def work_list(spark, sf_dir):
-    """One job for each short content, with all documents that wait for it."""
-    docs = table(spark, sf_dir, "documents").where("text is not null and length(text) < 200")
-    return docs.groupBy(integrity_hash(F.col("text")).alias("h")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("doc_id")), ",").alias("ids")).drop("h")
+    """One job for each content, as rows of the job and a document that waits for it."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", integrity_hash(F.col("text")).alias("h"))
+    return dedup.duplicate_of(docs, F.col("h"), "doc_id").select(F.col("first").alias("job"), "doc_id")
 
 
 @query("""select doc_id, k as chunk, k * 450 as start, least(k * 450 + 500, length(text)) as "end" from (select doc_id, text, unnest(range(0, greatest(1, ceil((length(text) - 50) / 450.0)::bigint))) as k from documents where length(text) > 0)""")
 def overlapping_chunks(spark, sf_dir):
-    """Windows of 500 code points that overlap by 50."""
+    """I8 in part: windows of 500 code points that overlap by 50; overlapping_pieces ends them at spaces."""
     n = F.char_length("text")
     count = F.greatest(F.lit(1), F.ceil((n - 50) / 450))
     rows = table(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", n.cast("long").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1)).alias("chunk"))
@@ -52,7 +53,7 @@ def overlapping_chunks(spark, sf_dir):
 @query(r"""with s as (select doc_id, unnest(regexp_extract_all(text, '[^.!?\n]+[.!?]*')) as t from documents)
 select doc_id, count(*) as sentences, max(length(t)) as longest, count(*) filter (length(t) > 500) as too_long from s group by 1""")
 def sentence_catalogue(spark, sf_dir):
-    """Sentences of each document and which are too long for evidence."""
+    """Sentences of each document and which are too long for evidence."""
     s = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^.!?\n]+[.!?]*"), F.lit(0))).alias("t"))
     n = F.char_length("t")
     return s.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.max(n).cast("long").alias("longest"), F.count_if(n > 500).alias("too_long"))
@@ -62,7 +63,7 @@ def sentence_catalogue(spark, sf_dir):
 r as (select tree, count(*) as nodes, count(*) filter (parent is null) as roots from t group by 1)
 select tree, nodes, case when roots = 1 then 'valid' else 'several roots' end as verdict from r""")
 def condition_trees(spark, sf_dir):
-    """Trees of conditions must have one root."""
+    """H5 in part: trees of conditions must have one root; tree_verdicts tests the rest."""
     by = Window.partitionBy("o_custkey")
     at = F.row_number().over(by.orderBy("o_orderkey"))
     trees = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("tree"), F.when(at > 1 + F.col("o_custkey") % 2, F.min("o_orderkey").over(by)).alias("parent"))

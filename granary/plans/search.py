@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions.text import tokens
-from granary.functions.vectors import dot, quantised
+from granary.functions.text import TOKEN, tokens
+from granary.functions.vectors import quantised
 from granary.operators import eligibility, retrieval
 from granary.plans.registry import query, table
 
@@ -90,15 +90,15 @@ ranked as (select * from (select *, row_number() over (partition by request_id,
 fused as (select request_id, bucket, round(sum(1 / (60 + r)::double), 9) as score from ranked group by all)
 select * from (select *, row_number() over (partition by request_id order by score desc, bucket) as rank from fused) where rank <= 20""")
 def hybrid_retrieval(spark, sf_dir):
-    """2J, C4, C5, C7, C8, D5-D7, E1, E2: lexical, concept and vector channels, one row per equivalence bucket and channel, fused by reciprocal rank."""
+    """2J in part, C7, C8, D7, E1, E2: lexical, concept and vector channels, one row per equivalence bucket and channel, fused by reciprocal rank."""
     requests = _requests(spark, sf_dir)
     lexical = _lexical(spark, sf_dir).select("request_id", F.lit("lexical").alias("channel"), "evidence_id", F.col("score").cast("double"))
     sources = requests.select("request_id", F.concat(F.lit("src"), (F.col("request_id") % 20).cast("string")).alias("source"))
     concept = sources.join(table(spark, sf_dir, "documents"), "source").select("request_id", F.lit("concept"), F.col("doc_id"), F.lit(1.0))
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("evidence_id"), quantised(F.col("embedding"), 1000).alias("v"))
-    asked = requests.join(vectors, F.col("request_id") == F.col("evidence_id")).select("request_id", F.col("v").alias("q"))
-    # Every request is scored against every vector, as exact search asks; the requests are the small, stated side.
-    scored = vectors.join(asked).select("request_id", F.lit("vector"), "evidence_id", dot(F.col("q"), F.col("v")).alias("score")).where("score > 0")
+    asked = requests.join(vectors, F.col("request_id") == F.col("evidence_id")).select("request_id", "v")
+    # A bucket has two members at most, so the forty best hold the twenty best buckets.
+    scored = retrieval.vector_scores(asked, vectors, 40).select("request_id", F.lit("vector"), "evidence_id", "score")
     return retrieval.fused(lexical.union(concept).union(scored), F.floor(F.col("evidence_id") / 2), 20, 20)
 
 
@@ -181,21 +181,17 @@ def profile_resolution(spark, sf_dir):
 ranked as (select request_id, evidence_id, row_number() over (partition by request_id order by score desc, evidence_id) as n from lexical join eligible using (request_id, evidence_id)),
 walk as (select request_id, 0::bigint as n, []::bigint[] as ids, []::bigint[] as refs from (select distinct request_id from ranked)
  union all select w.request_id, w.n + 1, case when ok then list_append(ids, r.evidence_id) else ids end, case when ok then joined else refs end
- from walk w join (select *, evidence_id // 3 as ref from ranked where n <= 50) r on r.request_id = w.request_id and r.n = w.n + 1,
- lateral (select list_distinct(list_append(w.refs, r.ref)) as joined, len(list_distinct(list_append(w.refs, r.ref))) <= 8 as ok) x)
+ from walk w join (select *, evidence_id // 3 as ref from ranked) r on r.request_id = w.request_id and r.n = w.n + 1,
+ lateral (select list_distinct(list_append(w.refs, r.ref)) as joined, len(list_distinct(list_append(w.refs, r.ref))) <= 8 and len(w.ids) < 50 as ok) x)
 select request_id, len(ids) as n_selected, list_sum(ids)::bigint as id_sum, case when len(ids) >= 8 then 'supported' else 'partial' end as status
 from (select *, max(n) over (partition by request_id) as last from walk) where n = last""")
 def grounded_selection(spark, sf_dir):
-    """2K, F5, D11: the first 50 eligible documents by score, taken greedily while their distinct references stay within eight."""
+    """2K, F5, D11: eligible documents by score, taken greedily while their distinct references stay within eight, at most fifty of them."""
     requests, evidence = _places(spark, sf_dir)
     pairs = _eligible(requests.drop("text"), evidence).select("request_id", "evidence_id")
-    ranked = retrieval.top_k(_lexical(spark, sf_dir).join(pairs, ["request_id", "evidence_id"]), 50)
-    ref = F.array(F.floor(F.col("evidence_id") / 3).cast("long"))
-    ordered = ranked.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("evidence_id").alias("id"), ref.alias("refs")))).alias("items"))
-    ids = ordered.select("request_id", retrieval.greedy(F.col("items"), 8).alias("ids"))
-    n = F.size("ids")
-    total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
-    return ids.select("request_id", n.cast("long").alias("n_selected"), total.alias("id_sum"), F.when(n >= 8, "supported").otherwise("partial").alias("status"))
+    scored = _lexical(spark, sf_dir).join(pairs, ["request_id", "evidence_id"]).withColumn("ref", F.floor(F.col("evidence_id") / 3).cast("long"))
+    taken = retrieval.within_references(scored, 8, 50).groupBy("request_id").agg(F.count("*").alias("n_selected"), F.sum("evidence_id").alias("id_sum"))
+    return taken.withColumn("status", F.when(F.col("n_selected") >= 8, "supported").otherwise("partial"))
 
 
 @query("""with terms as (select item_id, unnest(string_split(lower(text), ' ')) as w from benchmark), alias as (select r_regionkey, lower(r_name) as name from region)
@@ -208,6 +204,42 @@ def term_expansion(spark, sf_dir):
     return out.agg(F.count("*").alias("n_words"), F.count_distinct("w").alias("n_distinct"), F.count("name").alias("n_alias"))
 
 
+@query(f"""with label as (select doc_id as evidence_id, unnest({TOKENS.format("string_split(text, chr(10))[1]")}) as token from documents), body as (select doc_id as evidence_id, unnest({TOKENS.format("text")}) as token from documents),
+q as (select item_id as request_id, unnest({TOKENS.format("text")}) as token from benchmark),
+s as (select request_id, evidence_id, 3 as w from q join label using (token) union all select request_id, evidence_id, 1 from q join body using (token)),
+t as (select request_id, evidence_id, sum(w)::bigint as score from s group by all)
+select * from (select *, row_number() over (partition by request_id order by score desc, evidence_id) as rank from t) where rank <= 10""")
+def label_body_search(spark, sf_dir):
+    """the ten best by three times the tokens shared with the label and once those shared with the body."""
+    docs = table(spark, sf_dir, "documents")
+    labels = docs.select(F.col("doc_id").alias("evidence_id"), F.element_at(F.split("text", "\n", -1), 1).alias("text"))
+    return retrieval.top_k(retrieval.lexical_scores(_requests(spark, sf_dir), _evidence(spark, sf_dir), labels, 3), 10)
+
+
+@query("""with v as (select vec_id, list_transform(embedding, lambda x: floor(x::double * 1000)) as v from embeddings),
+q as (select item_id as request_id, unnest([item_id, item_id + 1, item_id + 7]) as vec_id from benchmark), a as (select request_id, v from q join v using (vec_id)),
+s as (select request_id, v.vec_id as evidence_id, max(list_dot_product(a.v, v.v)) as score from a, v group by all having max(list_dot_product(a.v, v.v)) > 0)
+select * from (select *, row_number() over (partition by request_id order by score desc, evidence_id) as rank from s) where rank <= 10""")
+def several_vectors(spark, sf_dir):
+    """Requests of three query vectors each; evidence counts by the best of them."""
+    item = F.col("item_id")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("evidence_id"), quantised(F.col("embedding"), 1000).alias("v"))
+    asked = table(spark, sf_dir, "benchmark").select(item.alias("request_id"), F.explode(F.array(item, item + 1, item + 7)).alias("evidence_id")).join(vectors, "evidence_id").select("request_id", "v")
+    return retrieval.top_k(retrieval.vector_scores(asked, vectors, 10), 10)
+
+
+@query("""with d as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) as w from documents where text is not null),
+a as (select item_id as alias_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')[1:2] as t from benchmark where regexp_matches(text, '[\\p{L}\\p{N}_]'))
+select doc_id, count(*) as n_alias, min(alias_id)::bigint as first from d join a on list_has_all(w, t) group by 1""")
+def alias_expansion(spark, sf_dir):
+    """Aliases of two tokens that a text has whole: joined on their first token, the rest tested as a subset."""
+    names = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("alias_id"), F.slice(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)), 1, 2).alias("t")).where(F.size("t") > 0)
+    alias = names.select("alias_id", F.col("t")[0].alias("token"), F.slice("t", 2, 9).alias("rest"))
+    words = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", tokens(F.col("text")).alias("w"))
+    hit = words.select("doc_id", "w", F.explode("w").alias("token")).join(alias, "token").where(F.size(F.array_except("rest", "w")) == 0)
+    return hit.groupBy("doc_id").agg(F.count("*").alias("n_alias"), F.min("alias_id").alias("first"))
+
+
 @query(rf"""select doc_id, len({TOKENS.format('text')}) as n_tokens from documents where text is not null""")
 def token_sets(spark, sf_dir):
     """Distinct tokens of each document."""

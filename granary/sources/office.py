@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -16,22 +17,32 @@ PARTS = re.compile(r"word/(document|footnotes|endnotes)\.xml|xl/(sharedStrings|w
 ENDS = {"p", "tr", "si", "row"}
 
 
+#: Largest part that is read, unpacked.
+MAX_PART = 256 << 20
+
+
 def paragraphs(content: bytes | None) -> list[str]:
-    """Non-empty paragraphs in file order; none for anything that is not such a file."""
+    """Non-empty paragraphs in file order; none for what is not such a file, and of a damaged or huge part those before the damage."""
     try:
         archive = zipfile.ZipFile(io.BytesIO(content or b""))
     except zipfile.BadZipFile:
         return []
     out = []
-    for name in sorted(n for n in archive.namelist() if PARTS.fullmatch(n)):
+    for info in sorted((i for i in archive.infolist() if PARTS.fullmatch(i.filename)), key=lambda i: i.filename):
         held: list[str] = []
-        for _, node in ElementTree.iterparse(archive.open(name)):
-            tag = node.tag.rpartition("}")[2]
-            if tag == "t" and node.text:
-                held.append(node.text)
-            elif tag in ENDS and held:
-                out.append("".join(held))
-                held = []
+        if info.file_size > MAX_PART:
+            continue
+        try:
+            for _, node in ElementTree.iterparse(archive.open(info)):
+                tag = node.tag.rpartition("}")[2]
+                if tag == "t" and node.text:
+                    held.append(node.text)
+                elif tag in ENDS and held:
+                    out.append("".join(held))
+                    held = []
+                node.clear() if tag in ENDS else None
+        except (ElementTree.ParseError, zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError):
+            continue
     return out
 
 

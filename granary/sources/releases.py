@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.operators.checks import inventory_difference
-from granary.operators.tables import settle
+from granary.operators.tables import free, settle
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*", max_bytes: int = 50 << 20) -> DataFrame:
@@ -26,7 +26,7 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def import_rows(spark: SparkSession, rows: DataFrame, path: str, key: str, content: str) -> DataFrame:
-    """Append the rows whose key is new; returns those whose key is there with other content, and appends nothing if there are any."""
+    """Append the rows whose key is new; returns those whose key is there, or among the rows, with other content, and appends nothing if there are any."""
     try:
         there = spark.read.parquet(path)
     except Exception as e:
@@ -34,12 +34,25 @@ def import_rows(spark: SparkSession, rows: DataFrame, path: str, key: str, conte
             raise
         there = spark.createDataFrame([], rows.schema)
     known = settle(there.select(key, F.col(content).alias("__known")))
-    clash = settle(rows.join(known, key).where(~F.col(content).eqNullSafe(F.col("__known"))).select(rows.columns))
+    new = settle(rows.dropDuplicates([key, content]))
+    twice = new.groupBy(key).count().where("count > 1").select(key)
+    clash = settle(new.join(known, key).where(~F.col(content).eqNullSafe(F.col("__known"))).select(rows.columns).union(new.join(twice, key, "left_semi").select(rows.columns)).distinct())
     if clash.isEmpty():
-        rows.join(known, key, "left_anti").dropDuplicates([key]).write.mode("append").parquet(path)
+        new.join(known, key, "left_anti").select(rows.columns).write.mode("append").parquet(path)
+    free(known)
     return clash
 
 
+def export_bytes(spark: SparkSession, path: str, key: str, value: str, content: str = "content", digest: str = "sha256") -> bytes:
+    """The stored bytes of one row; raises KeyError if it is not there and ValueError if they no longer have the hash they came with."""
+    rows = spark.read.parquet(path).where(F.col(key) == value).select(content, digest, F.sha2(content, 256).alias("now")).limit(1).collect()
+    if not rows:
+        raise KeyError(value)
+    if rows[0]["now"] != rows[0][digest]:
+        raise ValueError(f"{value} does not have its hash")
+    return bytes(rows[0][content])
+
+
 def verify_import(spark: SparkSession, rows: DataFrame, path: str, key: str, content: str) -> DataFrame:
     """What of rows can't be read back as written: empty after a whole import."""
     back = spark.read.parquet(path).join(rows.select(key), key, "left_semi")

@@ -41,7 +41,8 @@ def plain(source: str) -> str:
         skip = 1 if skip < 0 else skip
         if not quiet:
             out.append(said)
-    return "".join(out).strip()
+    # Pairs of surrogates become their character, lone ones a replacement sign.
+    return "".join(out).encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace").strip()
 
 
 def rtf_text(content: Column) -> Column:
