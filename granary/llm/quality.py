@@ -88,10 +88,11 @@ def train(docs: DataFrame, labels: DataFrame, remainder: int = 2, modulus: int =
     # At most ``sample`` rows of two numbers, so this side can be broadcast.
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")
-    # Ids may repeat, so the bound is set again on what the join gives; the order has the label, so that it does not hang on tasks.
-    got = featurised(texts, FEATURES, "quality", F.xxhash64("doc_id", "text")).orderBy("lot", "label", "places", "values").limit(sample).toArrow()
-    rows = list(zip(got["places"].to_pylist(), got["values"].to_pylist(), strict=True))
-    return fit(rows, np.array([int(x) for x in got["label"].to_pylist()], dtype=np.int64))
+    got = featurised(texts, FEATURES, "quality", F.xxhash64("doc_id", "text"))
+    if texts.select("doc_id").count() > sample:  # ids repeat, so the bound is set again on what the join gives
+        got = got.orderBy("lot", "label", "places", "values").limit(sample)
+    rows = sorted(zip(*[x.to_pylist() for x in got.toArrow().columns], strict=True), key=lambda r: (r[1], r[0], r[2], r[3]))  # not in the order of tasks
+    return fit([r[2:] for r in rows], np.array([int(r[0]) for r in rows], dtype=np.int64))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str] | None = None, name: str = "score") -> DataFrame:
