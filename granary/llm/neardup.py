@@ -92,8 +92,16 @@ def _features(width: int):
 
 
 def _sets(width: int):
+    """node and shingles of rows (node, text); of rows of one node that follow each other only the first is read."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
+            node = batch.column("node").to_numpy()
+            if not len(node):
+                continue
+            new = np.append(node[0] != last, node[1:] != node[:-1])
+            batch, last = batch.filter(pa.array(new)), node[-1]
             sets = list(shingle_sets(batch.column("text"), width))
             offsets = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
             values = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
@@ -265,9 +273,10 @@ def classes(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> Da
     pairs = settle(signed.select("a", "b", "sa", "sb").mapInArrow(_close, "a long, b long").distinct())
     several = keys.where("members > 2").select("node")
     used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(several).distinct()
+    # A merge join at every size: the texts move once, and rows that repeat a text stand beside each other.
     used = nodes.select("node", "doc_id", "version").join(used, "node")
-    texts = versioned(docs).join(used, ["doc_id", "version"]).select("node", "text")
-    sets = settle(texts.mapInArrow(_sets(width), "node long, shingles array<long>").dropDuplicates(["node"]))
+    texts = versioned(docs).join(used.hint("merge"), ["doc_id", "version"]).select("node", "text")
+    sets = settle(texts.mapInArrow(_sets(width), "node long, shingles array<long>"))
     size = nodes.select("node", "n_shingles")
     hubs = pairs.select(F.col("a").alias("family"), F.col("a").alias("node")).distinct().withColumn("apart", F.lit(True))
     others = pairs.select(F.col("a").alias("family"), F.col("b").alias("node"), F.lit(False).alias("apart"))
