@@ -287,10 +287,12 @@ def classes(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> Da
     member = member.select(F.coalesce("family", "hub").alias("family"), "node", F.coalesce("component", "node").alias("comp")).distinct()
     member = settle(member.join(size, "node").withColumn("apart", F.col("family") != F.col("comp")))
     mixed = settle(member.where("apart").select("family").distinct())
-    more = settle(family_links(member.join(mixed, "family", "left_semi"), sets, percent))
-    if not more.isEmpty():
-        comps = components(links.union(more))
-    free(keys, pairs, sets, links, member, mixed, more)
+    if not mixed.isEmpty():  # without a family of several components the sets need not move again
+        more = settle(family_links(member.join(mixed, "family", "left_semi"), sets, percent))
+        if not more.isEmpty():
+            comps = components(links.union(more))
+        free(more)
+    free(keys, pairs, sets, links, member, mixed)
     whole = comps.union(comps.select("component", "component").distinct())
     linked = nodes.select("node", "doc_id").join(whole, "node")
     least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
