@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.textkit import fresh, running_sum
+from granary.llm.textkit import fresh, numbered
 
 _TOP = 1 << 52
 
@@ -40,10 +40,10 @@ def shard_of(key: Column, weights: list[float]) -> Column:
 def with_shards(docs: DataFrame, weights: list[float], key: str = "doc_id") -> DataFrame:
     """docs with shard and slot in place of columns of these names."""
     rest = docs.drop("shard", "slot")
-    digest, one, tie = fresh([*rest.columns, "shard", "slot"], "digest", "one", "tie")
+    digest, tie = fresh([*rest.columns, "shard", "slot"], "digest", "tie")
     order = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null")).cast("binary"))
-    at = rest.select("*", shard_of(F.col(key), weights).alias("shard"), order.alias(digest), F.lit(1).alias(one), F.monotonically_increasing_id().alias(tie))
-    return running_sum(at, ["shard"], [digest, tie], {"slot": one}).drop(digest, one, tie)
+    at = rest.select("*", shard_of(F.col(key), weights).alias("shard"), order.alias(digest), F.monotonically_increasing_id().alias(tie))
+    return numbered(at, ["shard"], [digest, tie], "slot").drop(digest, tie)
 
 
 def write_sharded(docs: DataFrame, path: str, weights: list[float], key: str = "doc_id") -> None:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from granary.operators.tables import free, fresh, settle, shared_folder
 
-__all__ = ["ALNUM", "NOT_SPACE", "Words", "free", "fresh", "mix64", "pieces", "running_sum", "settle", "shared_folder", "span_hashes", "window_hashes"]
+__all__ = ["ALNUM", "NOT_SPACE", "Words", "free", "fresh", "mix64", "numbered", "pieces", "running_sum", "settle", "shared_folder", "span_hashes", "window_hashes"]
 
 PIECE = 1 << 19
 
@@ -126,3 +126,23 @@ def running_sum(df: DataFrame, group: list[str], order: list[str], values: dict[
     summed = dealt.select("*", *[F.coalesce(F.sum(v).over(within), F.lit(0)).alias(k) for k, v in values.items()])
     matched = summed.join(offsets, [F.col(k).eqNullSafe(F.col(other[k])) for k in keys])
     return matched.select(*df.columns, *[(F.col(k) + F.col(s)).alias(k) for k, s in zip(values, sums, strict=True)])
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """df with the places 0, 1, ... of its rows in their group, in a new column.
+
+    As running_sum() with a one for each row, but the rows move once: they are sorted inside their ranges before they
+    are written with their row numbers, so that a place is a difference of two numbers and needs no window.
+    """
+    at, first, ahead = fresh([*df.columns, name], "at", "first", "ahead")
+    dealt = settle(df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn(at, F.monotonically_increasing_id()))
+    # The upper bits of a row number are its range, the lower ones count the rows of the range.
+    part = F.shiftright(F.col(at), 33)
+    other = dict(zip(group, fresh([*dealt.columns, name, first, ahead], *[f"key_{i}" for i in range(len(group))]), strict=True))
+    of = fresh([*dealt.columns, name, first, ahead, *other.values()], "of")[0]
+    totals = dealt.groupBy(*[F.col(g).alias(k) for g, k in other.items()], part.alias(of)).agg(F.count("*").alias(ahead), F.min(at).alias(first))
+    before = Window.partitionBy(*other.values()).orderBy(of).rowsBetween(Window.unboundedPreceding, -1)
+    # Written, so that its size is known: it is broadcast below Spark's own threshold only.
+    starts = settle(totals.select(*other.values(), of, first, F.coalesce(F.sum(ahead).over(before), F.lit(0)).alias(ahead)))
+    matched = dealt.join(starts, [*[F.col(g).eqNullSafe(F.col(k)) for g, k in other.items()], part == F.col(of)])
+    return matched.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(at) - F.col(first) + F.col(ahead)).alias(name))
