@@ -329,7 +329,8 @@ def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = S
     i, v, kept = fresh(docs.columns, "of_id", "of_version", "kept")
     each = settle(each.select(F.col("doc_id").alias(i), F.col("version").alias(v), F.col("kept").alias(kept)))
     match = (F.col("doc_id").cast("long") == F.col(i)) & (F.xxhash64(F.col("text").cast("string")) == F.col(v))
-    rest, several = docs.join(each, match, "left_anti"), each.where(F.col(kept))
+    # A merge join at every size: the rows that go grow with docs, and a plan that small tables alone get says nothing of large ones.
+    rest, several = docs.join(each.hint("merge"), match, "left_anti"), each.where(F.col(kept))
     if several.isEmpty():  # no row repeats: no second look at the texts
         return rest
     return rest.unionByName(docs.join(several, match).dropDuplicates([i, v]).select(*[F.col(f"`{c}`") for c in docs.columns]))
