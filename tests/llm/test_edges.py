@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.llm import decontaminate, knn, langid, linedup, mixing, neardup, pii, quality, shards, tokencount
+from granary.llm.textkit import numbered
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, __n long, shard int, size long"
@@ -122,6 +123,17 @@ def test_sharding(spark, docs, nothing):
         shards.shard_of(docs["doc_id"], [0.0])
 
 
+def test_numbered_counts_each_group_without_gaps(spark):
+    rows = [(None if i % 3 else "hot", i * 7919 % 101, i, "x") for i in range(700)] + [("one", 5, 700, "x")]
+    df = spark.createDataFrame(rows, "at string, first long, n long, `a.b` string").repartition(7)
+    out = numbered(df, ["at"], ["first", "n"], "ahead").collect()
+    assert len(out) == len(rows)
+    for group in {None, "hot", "one"}:
+        expected = sorted(r[1:] for r in rows if r[0] == group)
+        assert [tuple(r)[1:] for r in sorted((r for r in out if r["at"] == group), key=lambda r: r["ahead"])] == [(*e, i) for i, e in enumerate(expected)]
+    assert numbered(df.limit(0), ["at"], ["first"], "ahead").count() == 0
+
+
 def test_columns_of_any_name_keep_their_values(spark, clashing):
     bench = items(spark, [(1, "second line of it third line of it other")])
     some = labels(spark, [(1, 1, 0), (6, 1, 0), (8, 1, 0)])
