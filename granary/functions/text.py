@@ -85,14 +85,17 @@ def normalised_url(url: Column) -> Column:
 
 
 def in_scope(url: Column, hosts: list[str], prefixes: list[str]) -> Column:
-    """Whether the host is one of ``hosts`` and the decoded path lies at or below one of ``prefixes``."""
+    """Whether the host is one of ``hosts``, or below one that begins with a dot, and the decoded path lies at or below one of ``prefixes``."""
     _, name, _, path, _ = _parts(url)
     at = plain_path(F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path))
     below = F.lit(False)
     for prefix in prefixes:
         stem = "/" + prefix.strip("/")
         below = below | (F.lit(True) if stem == "/" else (at == stem) | at.startswith(stem + "/"))
-    return name.isin(hosts) & below
+    listed = name.isin([h for h in hosts if h[:1] != "."])
+    for domain in hosts:
+        listed = listed | name.endswith(domain) if domain[:1] == "." else listed
+    return listed & below
 
 
 #: Languages that a url's path, or the end of its file name, may name.

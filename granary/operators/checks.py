@@ -47,6 +47,20 @@ def mixed(rule: str, df: DataFrame, group: list[str], value: str, most: int = 1)
     return found.select(F.lit(rule).alias("rule"), F.concat_ws(":", *group).alias("key"))
 
 
+def incomplete(rule: str, keys: DataFrame, key: str, df: DataFrame, value: str, needed: list[str]) -> DataFrame:
+    """Keys for which df (key, value) lacks one of the needed values."""
+    have = df.where(F.col(value).isin(needed)).groupBy(F.col(key).alias("__key")).agg(F.count_distinct(value).alias("__n"))
+    found = keys.select(F.col(key).alias("__key")).distinct().join(have, "__key", "left")
+    return _rows(found.where(F.coalesce("__n", F.lit(0)) < len(needed)), rule, "__key")
+
+
+def together(rule: str, pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Groups of members (grp, member) that hold both sides of one of pairs (a, b); all joins are by member or by group and member."""
+    first = pairs.join(members.select("grp", F.col("member").alias("a")), "a")
+    both = first.join(members.select("grp", F.col("member").alias("b")), ["grp", "b"])
+    return _rows(both.select("grp").distinct(), rule, "grp")
+
+
 def tree_errors(nodes: DataFrame) -> DataFrame:
     """tree and errors (joined by commas) of trees given as rows (tree, node, parent); the root's parent is null.
 

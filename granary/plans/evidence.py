@@ -199,6 +199,46 @@ def group_problems(spark, sf_dir):
     return checks.violations(checks.overlapping("group overlap", rows, "grp", "member", 3), checks.mixed("group mixed", rows, ["grp", "member"], "kind", 2))
 
 
+_POLICY = ["en", "de", "fr", "it", "rm"]
+
+
+@query(f"""with p as (select case when doc_id % 29 = 1 and l = 1 then -doc_id else doc_id end as doc_id, case when doc_id % 23 = 5 and l = 2 then 'xx' else {_POLICY}[l] end as lang from documents, range(1, 6) r(l) where not (doc_id % 17 = 3 and l = 5)
+ union all select doc_id, 'en' from documents where doc_id % 19 = 7),
+g as (select doc_id // 4 as grp, doc_id as member, lang from documents where doc_id % 4 < 3)
+select 'projection of unknown evidence' as rule, doc_id::varchar as key from (select distinct doc_id from p) where doc_id not in (select doc_id from documents)
+union all select 'projection language', doc_id::varchar from p where lang not in ({", ".join(f"'{x}'" for x in _POLICY)})
+union all select 'repeated projection', doc_id || ':' || lang from p group by doc_id, lang having count(*) > 1
+union all select 'missing projection', d.doc_id::varchar from documents d left join p on p.doc_id = d.doc_id and p.lang <> 'xx' group by d.doc_id having count(distinct p.lang) < 5
+union all select 'vector of unknown evidence', vec_id::varchar from embeddings where vec_id not in (select doc_id from documents)
+union all select 'repeated vector', vec_id::varchar from embeddings group by vec_id having count(*) > 1
+union all select 'invalid vector', vec_id::varchar from embeddings where not coalesce(len(embedding) = 64 and len(list_filter(embedding, lambda x: x <> 0)) > 0, false)
+union all select 'missing vector', doc_id::varchar from documents where doc_id not in (select vec_id from embeddings)
+union all select 'group scope', grp::varchar from g group by grp having count(distinct lang) > 1
+union all select 'joint support', a.grp || ':' || a.member from g a join g b on a.grp = b.grp and b.member = a.member + 2 where a.member % 37 = 0
+union all select distinct 'hidden conflict', a.grp::varchar from g a join g b on a.grp = b.grp and b.member = a.member + 1 where a.member % 31 = 0""")
+def asset_problems(spark, sf_dir):
+    """L2: retrieval assets against the evidence: projections by language and vectors known, single, well formed and complete; groups of one scope that collapse no joint support and hide no conflict.
+
+    Documents stand for evidence and facts; projections, groups, facts of two spans and conflicts are made of their ids by rule, with breaches of each.
+    """
+    docs, doc = table(spark, sf_dir, "documents").select("doc_id", "lang"), F.col("doc_id")
+    made = [F.struct(F.when((doc % 29 == 1) & F.lit(i == 0), -doc).otherwise(doc).alias("doc_id"), F.when((doc % 23 == 5) & F.lit(i == 1), "xx").otherwise(x).alias("lang")) for i, x in enumerate(_POLICY)]
+    shown = F.when(doc % 17 == 3, F.array(*made[:4])).otherwise(F.array(*made))
+    projections = docs.select(F.explode(shown).alias("x")).select("x.*").union(docs.where(doc % 19 == 7).select("doc_id", F.lit("en")))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", (F.size("embedding") == 64).alias("whole"), F.exists("embedding", lambda x: x != 0).alias("some"))
+    groups = docs.where(doc % 4 < 3).select(F.floor(doc / 4).alias("grp"), doc.alias("member"), "lang")
+    facts = docs.where(doc % 37 == 0).select(doc.alias("fact"), F.explode(F.array(doc, doc + 2)).alias("member"))
+    return checks.violations(
+        checks.missing("projection of unknown evidence", projections, "doc_id", docs, "doc_id"),
+        checks.broken("projection language", projections, "doc_id", "lang in ('" + "', '".join(_POLICY) + "')"),
+        checks.repeated("repeated projection", projections.select(F.concat_ws(":", "doc_id", "lang").alias("key")), "key"),
+        checks.incomplete("missing projection", docs, "doc_id", projections, "lang", _POLICY),
+        checks.missing("vector of unknown evidence", vectors, "vec_id", docs, "doc_id"), checks.repeated("repeated vector", vectors, "vec_id"), checks.broken("invalid vector", vectors, "vec_id", "whole and some"),
+        checks.missing("missing vector", docs, "doc_id", vectors, "vec_id"), checks.mixed("group scope", groups, ["grp"], "lang"),
+        checks.mixed("joint support", facts.join(groups, "member"), ["grp", "fact"], "member"), checks.together("hidden conflict", docs.where(doc % 31 == 0).select(doc.alias("a"), (doc + 1).alias("b")), groups),
+    )
+
+
 @query(r"""with p as (select page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) as host from pages)
 select 'repeated url' as rule, url as key from p group by url having count(*) > 1 union all select 'repeated id', page_id::varchar from p group by page_id having count(*) > 1
 union all select 'host', page_id::varchar from p where not regexp_matches(host, '(^|\.)example\.(com|org)$') union all select 'languages', host from (select host, regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)/', 1) as lang from p) group by host having count(distinct lang) > 1""")

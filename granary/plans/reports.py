@@ -103,11 +103,13 @@ def review_batches(spark, sf_dir):
     return rows.groupBy("conv_id", F.floor(F.col("at") / 3).alias("batch")).agg(F.count("*").alias("reviewed"), F.min("turn").alias("first_turn"), F.max(F.col("at") % 3).cast("long").alias("last_local"), total.alias("tokens"))
 
 
-@query("""select 'customer' as name, count(*) as n from customer union all select 'orders', count(*) from orders union all select 'lineitem', count(*) from lineitem union all select 'documents', count(*) from documents""")
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query(" union all ".join(f"select '{n}' as name, count(*) as n from {n}" for n in _TABLES))
 def table_sizes(spark, sf_dir):
-    """D33 (four tables): rows of each table, from the footers of its files."""
-    names = ["customer", "orders", "lineitem", "documents"]
-    return reduce(DataFrame.unionByName, [table(spark, sf_dir, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in names])
+    """Rows of each table, from the footers of its files."""
+    return reduce(DataFrame.unionByName, [table(spark, sf_dir, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in _TABLES])
 
 
 @query(r"""select page_id, case when url like 'http%/%.html' then 'page' when url like '%?%' then 'query' else 'other' end as shape, url like 'http%://%.example.%' as listed from pages where page_id in (select item_id from benchmark) or page_id is null""")

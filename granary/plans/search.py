@@ -116,12 +116,12 @@ def representatives(spark, sf_dir):
 
 @query(f"""with {SCORES}, top as (select * from (select request_id, evidence_id, score, row_number() over (partition by request_id order by score desc, evidence_id) as rank from lexical) where rank <= 5),
 judged as (select request_id, avg(case when evidence_id % 7 = request_id % 7 then 1.0 else 0.0 end) as precision_at_5, max(case when evidence_id % 7 = request_id % 7 then 1 else 0 end) as hit from top group by 1)
-select count(*) as requests, round(avg(precision_at_5), 6) as mean_precision, round(avg(hit), 6) as hit_rate, bool_and(precision_at_5 >= 0) as gate from judged""")
+select count(*) as requests, round(avg(precision_at_5), 6) as mean_precision, round(avg(hit), 6) as hit_rate, coalesce(bool_and(precision_at_5 >= 0.2), false) as gate from judged""")
 def retrieval_metrics(spark, sf_dir):
-    """D20 in part: precision at five and hit rate over the requests with a match; the gate holds always (see retrieval_evaluation)."""
+    """D20 in part: precision at five and hit rate over the requests with a match, and whether each has one good document of five (retrieval_evaluation has all measures)."""
     good = (F.col("evidence_id") % 7 == F.col("request_id") % 7).cast("int")
     judged = retrieval.top_k(_lexical(spark, sf_dir), 5).groupBy("request_id").agg(F.avg(good).alias("p"), F.max(good).alias("hit"))
-    return judged.agg(F.count("*").alias("requests"), F.round(F.avg("p"), 6).alias("mean_precision"), F.round(F.avg("hit"), 6).alias("hit_rate"), F.bool_and(F.col("p") >= 0).alias("gate"))
+    return judged.agg(F.count("*").alias("requests"), F.round(F.avg("p"), 6).alias("mean_precision"), F.round(F.avg("hit"), 6).alias("hit_rate"), F.coalesce(F.bool_and(F.col("p") >= 0.2), F.lit(False)).alias("gate"))
 
 
 @query(f"""with recursive {ELIGIBLE}, {SCORES}, gold as (select request_id, evidence_id, lang as grp, evidence_id % 5 as fact from eligible join evidence using (evidence_id) where evidence_id % 7 = request_id % 7),

@@ -22,6 +22,8 @@ def test_urls(spark):
     assert values(spark, T.normalised_url(F.col("x")), urls) == want
     scope = T.in_scope(F.col("x"), ["a.example"], ["/en", "/de/x/"])
     assert values(spark, scope, ["http://a.example/en", "http://a.example/english", "http://a.example/%65n/b", "http://b.example/en", "http://a.example/de/x/y", "http://a.example/en/../fr"]) == [True, False, True, False, True, False]
+    below = T.in_scope(F.col("x"), [".a.example"], ["/"])
+    assert values(spark, below, ["http://b.a.example/x", "http://a.example/x", "http://ba.example/x", "http://c.b.a.example"]) == [True, False, False, True]
     assert values(spark, T.language_hint(F.col("x")), ["http://a/de/x", "http://a/x-fr.pdf", "http://a/it/doc_en.pdf", "http://a/den/x"]) == ["de", "fr", "en", None]
 
 

@@ -90,6 +90,16 @@ def test_checks_list_every_violation(spark):
     assert sorted(map(tuple, found.collect())) == [("id", "1"), ("ref", "2"), ("ref", "4"), ("small", "1"), ("small", "3")]
 
 
+def test_checks_of_sets_and_pairs(spark):
+    have = spark.createDataFrame([(1, "de"), (1, "fr"), (1, "fr"), (2, "de"), (2, "xx"), (3, None)], "id long, lang string")
+    keys = spark.createDataFrame([(1,), (2,), (3,), (4,), (4,)], "id long")
+    assert sorted(r["key"] for r in checks.incomplete("lang", keys, "id", have, "lang", ["de", "fr"]).collect()) == ["2", "3", "4"]
+    members = spark.createDataFrame([("x", 1), ("x", 2), ("y", 1), ("y", 3), ("z", None)], "grp string, member long")
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (3, 4), (None, None)], "a long, b long")
+    assert [r["key"] for r in checks.together("conflict", pairs, members).collect()] == ["x"]
+    assert checks.together("conflict", pairs.limit(0), members).isEmpty() and checks.incomplete("lang", keys.limit(0), "id", have, "lang", ["de"]).isEmpty()
+
+
 def test_html_blocks_have_exact_offsets(spark):
     html = "<html><head><title>T</title><script>var t='</p>'</script></head><body><nav><ul><li>Home</ul></nav><h1>A &amp; B</h1><p>one <b>two</b><p>three<table><tr><td>x<td>y</table></body>"
     got = pages.html_blocks(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).orderBy("at").collect()
