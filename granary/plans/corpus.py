@@ -17,6 +17,15 @@ def html_block_rows(spark, sf_dir):
     return P.html_blocks(table(spark, sf_dir, "pages"))
 
 
+@query(r"""with n as (select page_id, list_sum(list_transform(regexp_extract_all(html, '(?s)<nav>(.*?)</nav>', 1), lambda x: len(regexp_extract_all(x, '<li>')))) as links, len(regexp_extract_all(html, '<footer>')) as footers, len(regexp_extract_all(html, '<h1>')) as headings from pages)
+select page_id, coalesce(links, 0)::bigint as navigation, footers::bigint as footers, headings::bigint as headings from n""")
+def page_regions(spark, sf_dir):
+    """Blocks of each page that only lead elsewhere, those of its footer, and the headings that its content keeps."""
+    blocks = P.html_blocks(table(spark, sf_dir, "pages")).groupBy("page_id")
+    region = F.col("region")
+    return blocks.agg(F.count_if(region == "nav").alias("navigation"), F.count_if(region == "footer").alias("footers"), F.count_if((region == "main") & (F.col("kind") == "h1")).alias("headings"))
+
+
 @query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as text, unnest(range(len(string_split(text, chr(10))))) as line from documents),
 o as (select doc_id, line, text, coalesce(sum(length(text) + 1) over (partition by doc_id order by line rows between unbounded preceding and 1 preceding), 0) as start from l)
 select doc_id, line, last_value(case when regexp_matches(text, '^\S+$') then text end ignore nulls) over (partition by doc_id order by line rows between unbounded preceding and current row) as heading, text, start::bigint as start, (start + length(text))::bigint as "end" from o""")

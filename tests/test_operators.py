@@ -108,6 +108,17 @@ def test_html_blocks_have_exact_offsets(spark):
     assert all(joined[r["start"] : r["end"]] == r["text"] for r in got) and got[3]["heading_path"] == "A & B"
 
 
+def test_regions_of_html_blocks(spark):
+    html = (
+        '<body><header id="header"><div>menu</div></header><div class="x breadcrumb"><div>home</div><span>now</span></div><div>intro</div>'
+        '<article><header id="header"><h1>title</h1></header><aside>note</aside><p>prose <a href="#" class="icon--power">top</a><p><a href="#" class="icon--power">up</a></p></article>'
+        '<div role="navigation"><nav><p>a</nav>b</div><p><a href="#">c</a></p><header>plain</header><footer><p>foot</p></footer></div></nav>end</body>'
+    )
+    got = pages.html_blocks(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("at").collect()
+    want = [("menu", "nav"), ("home", "nav"), ("now", "nav"), ("intro", "main"), ("title", "main"), ("note", "aside"), ("prose top", "main"), ("up", "nav"), ("a", "nav"), ("b", "nav"), ("c", "main"), ("plain", "header"), ("foot", "footer"), ("end", "main")]
+    assert [(r["text"], r["region"]) for r in got] == want
+
+
 def test_sections_stand_under_their_heading(spark):
     text = "# A\none\n## B\ntwo"
     got = pages.text_sections(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("line").collect()
