@@ -18,12 +18,13 @@ def html_block_rows(spark, sf_dir):
 
 
 @query(r"""with n as (select page_id, list_sum(list_transform(regexp_extract_all(html, '(?s)<nav>(.*?)</nav>', 1), lambda x: len(regexp_extract_all(x, '<li>')))) as links, len(regexp_extract_all(html, '<footer>')) as footers, len(regexp_extract_all(html, '<h1>')) as headings from pages)
-select page_id, coalesce(links, 0)::bigint as navigation, footers::bigint as footers, headings::bigint as headings from n""")
+select page_id, coalesce(links, 0)::bigint as navigation, coalesce(footers, 0)::bigint as footers, coalesce(headings, 0)::bigint as headings from n""")
 def page_regions(spark, sf_dir):
     """Blocks of each page that only lead elsewhere, those of its footer, and the headings that its content keeps."""
-    blocks = P.html_blocks(table(spark, sf_dir, "pages")).groupBy("page_id")
-    region = F.col("region")
-    return blocks.agg(F.count_if(region == "nav").alias("navigation"), F.count_if(region == "footer").alias("footers"), F.count_if((region == "main") & (F.col("kind") == "h1")).alias("headings"))
+    pages, region = table(spark, sf_dir, "pages"), F.col("region")
+    # A page without blocks counts too.
+    rows = P.html_blocks(pages).select("page_id", "region", "kind").union(pages.select("page_id", F.lit(None), F.lit(None)))
+    return rows.groupBy("page_id").agg(F.count_if(region == "nav").alias("navigation"), F.count_if(region == "footer").alias("footers"), F.count_if((region == "main") & (F.col("kind") == "h1")).alias("headings"))
 
 
 @query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as text, unnest(range(len(string_split(text, chr(10))))) as line from documents),
