@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, knn, langid, linedup, mixing, neardup, pii, quality, shards, tokencount
+from granary.llm import audit, decontaminate, imatch, knn, langid, linedup, mixing, neardup, periods, pii, quality, shards, tokencount
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,14 +53,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.limits(tokencount.histogram(lengths.drop("text")))
 
 
+def op11_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.report(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.report(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_quality, op3_near_duplicates, op4_sharding, op5_line_dedup, op6_mixing, op7_nearest, op8_personal_data, op9_language, op10_token_counts)
+    for f in (op1_decontamination, op2_quality, op3_near_duplicates, op4_sharding, op5_line_dedup, op6_mixing, op7_nearest, op8_personal_data, op9_language, op10_token_counts, op11_imatch, op12_periodic_runs, op13_filter_audit)
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-#: Queries 2, 8 and 9 train models, 10 needs a tokenizer and 4 a checksum that SQL lacks; they are tested against plain versions and held-out rows.
+#: Queries 2, 8 and 9 train models, 10 needs a tokenizer, 4 and 11 hashes that SQL lacks, and 12 compares all pairs of words there; they are tested against plain versions and held-out rows.
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": rf"""
 with i as (select item_id::varchar as item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
@@ -101,4 +113,18 @@ select doc_id, size, source_size, target, (size * (floor(target / source_size) +
 with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as q from embeddings)
 select * from (select a.vec_id as query_id, row_number() over (partition by a.vec_id order by list_dot_product(a.q, b.q) desc, b.vec_id) as rank, b.vec_id, list_dot_product(a.q, b.q)::bigint as score
 from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0) where rank <= 10""",
+    "op13_filter_audit": r"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, coalesce(doc_id > min(doc_id) over (partition by t), false) as copied from d),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as bad from labels group by 1),
+m as (select part, (len(ws) < 100)::int + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::int + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::int + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * copied::int as mask,
+ coalesce(good, 0) as good, coalesce(bad, 0) as bad from w left join l using (doc_id)),
+c as (select part, mask, count(*) as n, sum(good) as good, sum(bad) as bad from m group by all),
+f as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) as v(name, bit)),
+o as (select a.name || b.name || c.name || d.name || e.name as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits from f a, f b, f c, f d, f e where a.bit + b.bit + c.bit + d.bit + e.bit = 31 and len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+s as (select filter_order, k::int as step, bits[k] as bit, coalesce(list_sum(bits[1 : k - 1]), 0)::int as before from o, (select unnest(range(1, 6)) as k)),
+r as (select part, filter_order, step, bit, sum(n * (mask & (before | bit) = 0)::int) as kept, sum(n * (mask & bit > 0 and mask & before = 0)::int) as removed, sum(n * (mask & bit > 0 and mask & before > 0)::int) as redundant,
+ sum(n * (mask = bit)::int) as unique_fails, sum(good * (mask & bit > 0 and mask & before = 0)::int) as good_lost, sum(bad * (mask & bit > 0 and mask & before = 0)::int) as toxic_lost from c, s group by all)
+select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+ (sum(removed) over (partition by part, bit))::bigint as shapley from r""",
 }

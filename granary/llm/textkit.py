@@ -12,12 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.operators.tables import free, fresh, settle, shared_folder
 
-__all__ = ["ALNUM", "NOT_SPACE", "Words", "free", "fresh", "mix64", "numbered", "pieces", "running_sum", "settle", "shared_folder", "span_hashes", "window_hashes"]
+__all__ = ["ALNUM", "NOT_SPACE", "Words", "column", "free", "fresh", "mix64", "numbered", "pieces", "running_sum", "settle", "shared_folder", "span_hashes", "window_hashes"]
 
 PIECE = 1 << 19
 
@@ -33,6 +33,11 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x41, 0x5B), *range(0x80, 0x100)]] = True
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser, so that near values give unrelated hashes."""
     x = x ^ (x >> np.uint64(30))
