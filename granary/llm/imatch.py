@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.textkit import column, free, fresh, numbered, settle
+from granary.llm.textkit import column, free, numbered, settle
 
 LOW, HIGH = 1 / 1024, 1 / 8
 SEEDS, LEVELS = 16, 5
@@ -122,52 +122,57 @@ def fingerprinted(docs: DataFrame, lex: DataFrame | None = None) -> DataFrame:
     return signed.select(*[F.col("payload")[c].alias(c) for c in docs.columns if c.lower() != "fingerprint"], "fingerprint")
 
 
+#: What tells documents apart, never null: hashes of doc_id and of the text.
+KEY = ("who", "version")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null as empty), who and version for every row of docs."""
+    return docs.select("doc_id", whole("text").alias("text"), F.xxhash64(F.col("doc_id").cast("string"), F.col("doc_id").isNull()).alias("who"), F.xxhash64(whole("text")).alias("version"))
+
+
 def neighbours(docs: DataFrame) -> tuple[DataFrame, int]:
-    """For each document (distinct doc_id and version, a hash of the text) the next one in ascending order, the one before, and half the length of that; and their number.
+    """For each document (distinct id and text) of keyed() its doc_id, the next one in ascending order, the one before, and half the length of that; and their number.
 
     After the last comes the first.
     """
-    keys = docs.select("doc_id", F.xxhash64(whole("text")).alias("version"), (F.char_length(whole("text")) / 2).cast("long").alias("half")).dropDuplicates(["doc_id", "version"])
+    keys = docs.select("doc_id", *KEY, (F.char_length("text") / 2).cast("int").alias("half")).dropDuplicates([*KEY])
     at = settle(numbered(keys, [], ["doc_id", "version"], "at"))
     n = at.count()
     turn = lambda by: F.pmod(F.col("at") + by, F.lit(max(n, 1)))
-    after = at.select(turn(-1).alias("at"), F.col("doc_id").alias("next_id"), F.col("version").alias("next_version"))
-    before = at.select(turn(1).alias("at"), F.col("doc_id").alias("prev_id"), F.col("version").alias("prev_version"), F.col("half").alias("prev_half"))
+    after = at.select(turn(-1).alias("at"), *[F.col(k).alias(f"next_{k}") for k in KEY])
+    before = at.select(turn(1).alias("at"), *[F.col(k).alias(f"prev_{k}") for k in KEY], F.col("half").alias("prev_half"))
     out = settle(at.join(after, "at").join(before, "at").drop("at", "half"))
     free(at)
     return out, n
 
 
-def _same(a: tuple[str, str], b: tuple[str, str]) -> Column:
-    return F.col(a[0]).eqNullSafe(F.col(b[0])) & (F.col(a[1]) == F.col(b[1]))
-
-
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of docs.
 
     A text is edited by putting the start of the next document in place of its last half. The texts move
-    once by their keys, and the start of each once to the document before.
+    once by their keys, and the start of each once to the document before; what follows stays where that puts it.
     """
-    docs = docs.select("doc_id", whole("text").alias("text"))
+    docs = keyed(docs)
     lex = lexicon(docs)
     around, n = neighbours(docs)
-    around = around.select(*[F.col(c).alias(f"of_{c}" if c in ("doc_id", "version") else c) for c in around.columns])
-    rows = docs.withColumn("version", F.xxhash64("text")).join(around, _same(("doc_id", "version"), ("of_doc_id", "of_version"))).drop("of_doc_id", "of_version")
-    starts = rows.select(F.col("prev_id").alias("to_id"), F.col("prev_version").alias("to_version"), F.left("text", F.col("prev_half").cast("int")).alias("start"))
-    if docs.count() > n:  # rows repeat, and each of them would send its start
-        starts = starts.dropDuplicates(["to_id", "to_version"])
+    repeats = docs.count() > n
+    # doc_id comes from the small side, so that both uses of the texts below are one exchange of the same columns.
+    rows = docs.select("text", *KEY).join(around, [*KEY])
+    starts = rows.select(*[F.col(f"prev_{k}").alias(k) for k in KEY], F.left("text", F.col("prev_half")).alias("start"))
+    if repeats:  # each of the rows would send its start
+        starts = starts.dropDuplicates([*KEY])
     n_chars = F.char_length("text")
-    kept = F.left("text", (n_chars - (n_chars / 2).cast("int")).cast("int"))
-    both = rows.select("doc_id", "version", "text", "next_id", "next_version").join(starts, _same(("doc_id", "version"), ("to_id", "to_version")))
-    both = both.select("doc_id", "version", F.monotonically_increasing_id().alias("row"), "next_id", "next_version", n_chars.cast("long").alias("n_chars"), F.col("text").alias("a"), F.concat(kept, "start").alias("b"))
-    payload = F.struct("next_id", "next_version", "n_chars", F.unhex(F.sha2(F.col("b").cast("binary"), 256)).alias("digest")).alias("payload")
-    signed = settle(_signed(both.select("doc_id", "version", "row", payload, "a", "b"), ["doc_id", "version", "row"], ["a", "b"], "payload", lex))
-    (fp,) = fresh(signed.columns, "next_fp")
-    following = signed.select(F.col("doc_id").alias("n_id"), F.col("version").alias("n_version"), F.col("a").alias(fp))
-    if docs.count() > n:
-        following = following.dropDuplicates(["n_id", "n_version"])
-    flat = signed.select("doc_id", "payload.*", "a", "b").join(following, _same(("next_id", "next_version"), ("n_id", "n_version")))
+    both = rows.select(*KEY, "doc_id", "text", *[f"next_{k}" for k in KEY]).join(starts, [*KEY])
+    edited = F.concat(F.left("text", n_chars - (n_chars / 2).cast("int")), "start")
+    both = both.select(*KEY, F.monotonically_increasing_id().alias("row"), "doc_id", *[f"next_{k}" for k in KEY], n_chars.cast("long").alias("n_chars"), F.col("text").alias("a"), edited.alias("b"))
+    payload = F.struct("doc_id", *[f"next_{k}" for k in KEY], "n_chars", F.unhex(F.sha2(F.col("b").cast("binary"), 256)).alias("digest")).alias("payload")
+    signed = settle(_signed(both.select(*KEY, "row", payload, "a", "b"), [*KEY, "row"], ["a", "b"], "payload", lex))
+    following = signed.select(*[F.col(k).alias(f"next_{k}") for k in KEY], F.col("a").alias("c"))
+    if repeats:
+        following = following.dropDuplicates([f"next_{k}" for k in KEY])
+    flat = signed.select("payload.*", "a", "b").join(following, [f"next_{k}" for k in KEY])
     return flat.select(
         "doc_id", "n_chars", F.lower(F.hex("digest")).alias("edited_sha256"), F.col("a").alias("fingerprint"), F.col("b").alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col(fp)).alias("near_next"),
+        likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"),
     )
