@@ -198,5 +198,8 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     schema = T.StructType().add("part", "string").add("filter_order", "string").add("step", "integer")
     for c in counts:
         schema = schema.add(c, "long")
-    vectors = counted(settle(masks(docs)), labels)
+    masked = settle(masks(docs))
+    if masked.count() != docs.count():  # both from footers of files
+        raise RuntimeError("the rows of documents came in another order when a task was repeated; store them first")
+    vectors = counted(masked, labels)
     return docs.sparkSession.createDataFrame(vectors.flatMap(lambda kv: [(kv[0], *row) for row in interactions(kv[1])]), schema, verifySchema=False)
