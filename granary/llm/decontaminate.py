@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.textkit import ALNUM, Words, fresh, pieces, settle, window_hashes
+from granary.llm.textkit import ALNUM, Words, column, fresh, pieces, settle, window_hashes, with_texts_mapped
 
 WIDTH = 10
 #: Largest number of benchmark windows and of bytes of benchmark text that are broadcast. The index holds some 30
@@ -130,31 +130,26 @@ def scan_piece(texts: list[bytes], index: Index) -> list[tuple[int, int, list[st
     return out
 
 
-def _with_found(columns: dict[str, pa.Array], rows: list, name: str) -> pa.RecordBatch:
+def _found(rows: list) -> pa.StructArray:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), span]
     parts = zip(*rows, strict=True) if rows else ((),) * 4
-    found = pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in zip(parts, kinds, strict=True)], _FOUND.names)
-    return pa.RecordBatch.from_arrays([*columns.values(), found], [*columns, name])
+    return pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in zip(parts, kinds, strict=True)], _FOUND.names)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, width: int = WIDTH, max_windows: int = MAX_WINDOWS, name: str = "found") -> DataFrame:
     """The columns ``keep`` of docs (doc_id) and ``name``: n_words, n_hit, items (sorted ids as strings), spans (byte spans of runs of hit words)."""
     keep = keep or ["doc_id"]
-    docs = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])])
-    schema = T.StructType([docs.schema[c] for c in keep]).add(name, _FOUND)
     items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text")), F.sum(F.size(F.split("text", "[^0-9A-Za-z\\x80-\\x{10FFFF}]+")))).first()
     if (size[0] or 0) > MAX_BYTES or (size[1] or 0) > max_windows:
-        return _scan_joined(docs, items, keep, schema, width)
+        return _scan_joined(docs, items, keep, name, width)
     index = docs.sparkSession.sparkContext.broadcast(build_index([(r[0], r[1].encode().lower()) for r in items.collect()], width))
 
-    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [x for _, texts in pieces(batch.column("text"), lower=True) for x in scan_piece(texts, index.value)]
-            yield _with_found({c: batch.column(c) for c in keep}, rows, name)
+    def scanned(texts: pa.Array) -> pa.Array:
+        return _found([x for _, some in pieces(texts, lower=True) for x in scan_piece(some, index.value)])
 
-    return docs.mapInArrow(scanned, schema)
+    return with_texts_mapped(docs, keep, name, _FOUND, scanned)
 
 
 def _spots(h: np.ndarray, b: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -166,15 +161,13 @@ def _spots(h: np.ndarray, b: np.ndarray, sizes: list[int]) -> Iterator[tuple[int
         yield n, row_of[at], at, w[at]
 
 
-def _scan_joined(docs: DataFrame, items: DataFrame, keep: list[str], schema: T.StructType, width: int) -> DataFrame:
+def _scan_joined(docs: DataFrame, items: DataFrame, keep: list[str], name: str, width: int) -> DataFrame:
     """scan() by joins on windows, for a benchmark too large to broadcast.
 
     Of every window of the texts only its hash is sent, and only hashes that the benchmark has come back; their
     words are then read from the texts and compared. The benchmark's side of each join has one row for each
     window, so a passage that many texts share is joined to one row of it.
     """
-    row, hits, listed = fresh(keep + ["text"], "row", "hits", "listed")
-    name = schema.names[-1]
 
     def item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,8 +205,8 @@ def _scan_joined(docs: DataFrame, items: DataFrame, keep: list[str], schema: T.S
     def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, at = [], 0
-            places, ids = batch.column(hits).to_pylist(), batch.column(listed).to_pylist()
-            for _, texts in pieces(batch.column("text"), lower=True):
+            places, ids = batch.column("hits").to_pylist(), batch.column("listed").to_pylist()
+            for _, texts in pieces(batch.column("kept").field("text"), lower=True):
                 words = Words(texts, ALNUM)
                 row_starts = np.cumsum([0] + [len(t) + 1 for t in texts])
                 for r in range(len(texts)):
@@ -221,16 +214,19 @@ def _scan_joined(docs: DataFrame, items: DataFrame, keep: list[str], schema: T.S
                     hit = np.unique(np.concatenate([np.arange(low + x["at"], low + x["at"] + x["size"]) for x in places[at] or []] or [np.zeros(0, dtype=np.int64)]))
                     rows.append((int(words.bounds[r + 1] - low), len(hit), sorted(set(ids[at] or [])), _merge(hit, words, row_starts[r]) if len(hit) else []))
                     at += 1
-            yield _with_found({c: batch.column(c) for c in keep}, rows, name)
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), _found(rows)], ["kept", "found"])
 
-    numbered = settle(docs.withColumn(row, F.monotonically_increasing_id()))
-    texts = numbered.select(F.col(row).alias("row"), "text")
+    kept = F.struct(*[column(c).cast("string").alias(c) if c == "text" else column(c).alias(c) for c in dict.fromkeys([*keep, "text"])])
+    numbered = settle(docs.select(F.monotonically_increasing_id().alias("row"), kept.alias("kept")))
+    texts = numbered.select("row", F.col("kept")["text"].alias("text"))
     candidates = texts.mapInArrow(hashed, "row long, at int, h long, size int").join(known, ["h", "size"], "left_semi")
     per_row = candidates.groupBy("row").agg(F.collect_list(F.struct("at", "h", "size")).alias("hits"))
     said = texts.join(per_row, "row").mapInArrow(spoken, "row long, at int, h long, size int, words binary")
     found = said.join(windows, ["h", "size", "words"])
-    per_row = found.groupBy(F.col("row").alias(row)).agg(F.collect_set(F.struct("at", "size")).alias(hits), F.array_distinct(F.flatten(F.collect_set("ids"))).alias(listed))
-    return numbered.join(per_row, row, "left").select(*dict.fromkeys([*keep, "text"]), hits, listed).mapInArrow(verdicts, schema)
+    per_row = found.groupBy("row").agg(F.collect_set(F.struct("at", "size")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("listed"))
+    schema = T.StructType().add("kept", numbered.schema["kept"].dataType).add("found", _FOUND)
+    out = numbered.join(per_row, "row", "left").select("kept", "hits", "listed").mapInArrow(verdicts, schema)
+    return out.select(*[F.col("kept")[c].alias(c) for c in keep], F.col("found").alias(name))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.llm.quality import featurised, id_remainder
 from granary.llm.sparse import Features, unpacked, weighted
@@ -90,7 +91,7 @@ def decode(x: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def train(docs: DataFrame, remainder: int = 0, modulus: int = 5, per_language: int = PER_LANGUAGE) -> dict:
     """Fit on rows with a language whose crc32(doc_id as text) mod modulus is not remainder."""
-    known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where("text is not null and lang is not null and doc_id is not null")
+    known = docs.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string")).where("text is not null and lang is not null and doc_id is not null")
     known = known.where(id_remainder(F.col("doc_id"), modulus) != remainder)
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row per language
     if not counts:
@@ -120,7 +121,8 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
                     unsure.append(bool(lead[i] < AMBIGUOUS) if known else True)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())], ["doc_id", "lang_pred", "score", "ambiguous"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    schema = T.StructType().add("doc_id", docs.schema["doc_id"].dataType).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(rows, schema)
 
 
 def languages(docs: DataFrame) -> DataFrame:

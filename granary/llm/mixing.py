@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.textkit import free, running_sum, settle
+from granary.llm.textkit import column, free, running_sum, settle
 
 CAP, SEED = 3, 17
 
@@ -59,7 +59,7 @@ def repetitions(docs: DataFrame, kept: list[str], cap: int = CAP, seed: int = SE
     """row (a struct of the columns ``kept`` of docs), doc_id, size, source_size, target and copies."""
     text, doc_id = F.col("text").cast("string"), F.col("doc_id")
     place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
-    base = docs.select(F.struct(*[docs[f"`{c}`"] for c in kept]).alias("row"), "doc_id", "source", n_words(text).alias("size"), place.alias("place"), F.xxhash64(text).alias("content"), F.monotonically_increasing_id().alias("tie"))
+    base = docs.select(F.struct(*[column(c) for c in kept]).alias("row"), "doc_id", "source", n_words(text).alias("size"), place.alias("place"), F.xxhash64(text).alias("content"), F.monotonically_increasing_id().alias("tie"))
     sources = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = water_fill(ranked_weights(sources), cap).select(F.col("source").alias("of"), "source_size", "target")
     # One row per source: broadcast only below Spark's own threshold.

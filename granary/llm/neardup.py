@@ -37,8 +37,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from granary.llm.textkit import NOT_SPACE, Words, free, fresh, mix64, pieces, settle, window_hashes
+from granary.llm.textkit import NOT_SPACE, Words, column, free, fresh, mix64, pieces, settle, window_hashes
 
 SYMBOLS, WIDTH, ERRORS = 50, 5, 1
 #: Words to a shingle, and the least similarity in percent.
@@ -92,16 +93,10 @@ def _features(width: int):
 
 
 def _sets(width: int):
-    """node and shingles of rows (node, text); of rows of one node that follow each other only the first is read."""
+    """node and shingles of rows (node, text)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
         for batch in batches:
-            node = batch.column("node").to_numpy()
-            if not len(node):
-                continue
-            new = np.append(node[0] != last, node[1:] != node[:-1])
-            batch, last = batch.filter(pa.array(new)), node[-1]
             sets = list(shingle_sets(batch.column("text"), width))
             offsets = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
             values = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
@@ -134,12 +129,13 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def versioned(docs: DataFrame) -> DataFrame:
     """doc_id, text and version, a hash of the text that tells rows of one doc_id apart."""
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("version"))
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("version"))
 
 
 def features(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, version, n_shingles, fp (128-bit hash of the set; null if empty), sig."""
-    return versioned(docs).mapInArrow(_features(width), "doc_id long, version long, n_shingles long, fp binary, sig binary")
+    schema = T.StructType().add("doc_id", docs.schema["doc_id"].dataType).add("version", "long").add("n_shingles", "long").add("fp", "binary").add("sig", "binary")
+    return versioned(docs).mapInArrow(_features(width), schema)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -273,9 +269,10 @@ def classes(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> Da
     pairs = settle(signed.select("a", "b", "sa", "sb").mapInArrow(_close, "a long, b long").distinct())
     several = keys.where("members > 2").select("node")
     used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(several).distinct()
-    # A merge join at every size: the texts move once, and rows that repeat a text stand beside each other.
     used = nodes.select("node", "doc_id", "version").join(used, "node")
-    texts = versioned(docs).join(used.hint("merge"), ["doc_id", "version"]).select("node", "text")
+    texts = versioned(docs).join(used, ["doc_id", "version"]).select("node", "text")
+    if not feats.groupBy("doc_id", "version").count().where("count > 1").isEmpty():  # rows repeat id and text: one is enough
+        texts = texts.dropDuplicates(["node"])
     sets = settle(texts.mapInArrow(_sets(width), "node long, shingles array<long>"))
     size = nodes.select("node", "n_shingles")
     hubs = pairs.select(F.col("a").alias("family"), F.col("a").alias("node")).distinct().withColumn("apart", F.lit(True))
@@ -328,9 +325,8 @@ def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = S
     each = decided.groupBy("doc_id", "version").agg(F.first("kept").alias("kept"), F.count("*").alias("n")).where("n > 1 or not kept")
     i, v, kept = fresh(docs.columns, "of_id", "of_version", "kept")
     each = settle(each.select(F.col("doc_id").alias(i), F.col("version").alias(v), F.col("kept").alias(kept)))
-    match = (F.col("doc_id").cast("long") == F.col(i)) & (F.xxhash64(F.col("text").cast("string")) == F.col(v))
-    # A merge join at every size: the rows that go grow with docs, and a plan that small tables alone get says nothing of large ones.
-    rest, several = docs.join(each.hint("merge"), match, "left_anti"), each.where(F.col(kept))
+    match = (F.col("doc_id") == F.col(i)) & (F.xxhash64(F.col("text").cast("string")) == F.col(v))
+    rest, several = docs.join(each, match, "left_anti"), each.where(F.col(kept))
     if several.isEmpty():  # no row repeats: no second look at the texts
         return rest
-    return rest.unionByName(docs.join(several, match).dropDuplicates([i, v]).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return rest.unionByName(docs.join(several, match).dropDuplicates([i, v]).select(*[column(c) for c in docs.columns]))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.textkit import NOT_SPACE, Words, column, fresh, pieces
+from granary.llm.textkit import NOT_SPACE, Words, column, fresh, pieces, with_texts_mapped
 
 LEAST, REPEATS = 24, 3
 #: Probes that are made at once, and the first chunk of an extension.
@@ -142,18 +142,9 @@ def collapsed(docs: DataFrame) -> DataFrame:
 
 
 def _mapped(docs: DataFrame, kept: list[str], name: str, kind: T.DataType, f) -> DataFrame:
-    """The columns kept of docs, and f(words, first, last, codes) of each text as a column; the row travels as one struct."""
-    row = F.struct(*[column(c) for c in kept])
-    packed = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"))
-    arrow = T.StructType().add("row", packed.schema["row"].dataType).add("value", kind)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = pa.list_(pa.struct([(c, pa.int64()) for c in _RUN.names])) if isinstance(kind, T.ArrayType) else pa.string()
-        for batch in batches:
-            values = [f(*x) for x in _each(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(values, of)], ["row", "value"])
-
-    return packed.mapInArrow(rows, arrow).select(*[F.col("row")[c].alias(c) for c in kept], F.col("value").alias(name))
+    """The columns kept of docs, and f(words, first, last, codes) of each text as a column."""
+    of = pa.list_(pa.struct([(c, pa.int64()) for c in _RUN.names])) if isinstance(kind, T.ArrayType) else pa.string()
+    return with_texts_mapped(docs, kept, name, kind, lambda texts: pa.array([f(*x) for x in _each(texts)], of))
 
 
 _DIGEST = "doc_id {}, n_runs long, start long, length long, period long, exponent_milli long, runs_sha256 string, collapsed_sha256 string"

@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.textkit import free, settle
+from granary.llm.textkit import column, free, settle
 
 KINDS = ("email", "ip", "card", "phone")
 THRESHOLD, EM_ROUNDS, FIT_ROUNDS = 0.9, 50, 300
@@ -208,7 +208,7 @@ def fit_classifier(yes: dict[str, float], counts: dict[str, float], rounds: int
 def candidates(docs: DataFrame, kept: list[str]) -> DataFrame:
     """row (a struct of the columns ``kept`` of docs) and found: kind, start, end, base, votes of every base span and every tight candidate that overlaps none."""
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\u0001\u0002", "\u0003\u0003")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), text.alias("t"))
+    rows = docs.select(F.struct(*[column(c) for c in kept]).alias("row"), text.alias("t"))
     rows = rows.select("row", *[_matches(F.col("t"), p, NEEDS[f"{name}_{k}"]).alias(f"{name}_{k}") for name, group in (("b", BASE), ("t", TIGHT)) for k, p in group.items()])
     rows = rows.select("row", *[F.filter(_spans(f"{name}_{k}", i, name == "b"), _valid).alias(f"{name}_{k}") for name in "bt" for i, k in enumerate(KINDS)])
     base, tight = F.concat(*[F.col(f"b_{k}") for k in KINDS]), F.concat(*[F.col(f"t_{k}") for k in KINDS])

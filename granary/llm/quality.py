@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm.sparse import Features, packed, unpacked, weighted
-from granary.llm.textkit import fresh
+from granary.llm.textkit import fresh, with_texts_mapped
 
 FEATURES = Features(buckets=1 << 14, grams=(2, 3, 4), words=True)
 SAMPLE, DIM, EPOCHS, BATCH, RATE = 3000, 16, 40, 32, 40.0
@@ -83,11 +83,11 @@ def fit(rows: list[tuple[bytes, bytes]], labels: np.ndarray, features: Features
 
 def train(docs: DataFrame, labels: DataFrame, remainder: int = 2, modulus: int = 4, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Fit on labelled rows whose crc32(doc_id as text) mod modulus is not remainder."""
-    known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("doc_id is not null and quality in (0, 1)")
+    known = labels.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), F.col("quality").cast("int")).where("doc_id is not null and quality in (0, 1)")
     known = known.where(id_remainder(F.col("doc_id"), modulus) != remainder)
     # At most ``sample`` rows of two numbers, so this side can be broadcast.
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")
+    texts = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")
     got = featurised(texts, FEATURES, "quality", F.xxhash64("doc_id", "text"))
     if texts.select("doc_id").count() > sample:  # ids repeat, so the bound is set again on what the join gives
         got = got.orderBy("lot", "label", "places", "values").limit(sample)
@@ -97,17 +97,14 @@ def train(docs: DataFrame, labels: DataFrame, remainder: int = 2, modulus: int =
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str] | None = None, name: str = "score") -> DataFrame:
     """The columns ``keep`` of docs (doc_id) and ``name``, the probability of class 1, for every row of docs."""
-    keep = keep or ["doc_id"]
-    docs = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scores(texts: pa.Array) -> pa.Array:
         w, c = shared.value
-        for batch in batches:
-            odds = np.concatenate([weighted(x, w) + c for _, x in FEATURES.frequencies(batch.column("text"))] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(1 / (1 + np.exp(-odds.astype(np.float64))))], [*keep, name])
+        odds = np.concatenate([weighted(x, w) + c for _, x in FEATURES.frequencies(texts)] or [np.zeros(0)])
+        return pa.array(1 / (1 + np.exp(-odds.astype(np.float64))))
 
-    return docs.mapInArrow(rows, T.StructType([docs.schema[c] for c in keep]).add(name, "double"))
+    return with_texts_mapped(docs, keep or ["doc_id"], name, T.DoubleType(), scores)
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:

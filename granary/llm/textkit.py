@@ -8,16 +8,17 @@ is a piece of its own), which bounds the memory of a task by its longest text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.operators.tables import free, fresh, settle, shared_folder
 
-__all__ = ["ALNUM", "NOT_SPACE", "Words", "column", "free", "fresh", "mix64", "numbered", "pieces", "running_sum", "settle", "shared_folder", "span_hashes", "window_hashes"]
+__all__ = ["ALNUM", "NOT_SPACE", "Words", "column", "free", "fresh", "mix64", "numbered", "pieces", "running_sum", "settle", "shared_folder", "span_hashes", "window_hashes", "with_texts_mapped"]
 
 PIECE = 1 << 19
 
@@ -111,6 +112,21 @@ def pieces(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, list[by
         yield first, held
 
 
+def with_texts_mapped(docs: DataFrame, keep: list[str], name: str, kind: T.DataType, f: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """The columns ``keep`` of docs and ``name``: f of the texts of each Arrow batch. The row travels as one struct, so columns may have any name."""
+    wanted = list(dict.fromkeys([*keep, "text"]))
+    at = wanted.index("text")
+    packed = docs.select(F.struct(*[column(c).cast("string").alias(c) if c == "text" else column(c).alias(c) for c in wanted]).alias("row"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column("row")
+            yield pa.RecordBatch.from_arrays([row, f(row.field(at))], ["row", "value"])
+
+    out = packed.mapInArrow(rows, T.StructType().add("row", packed.schema["row"].dataType).add("value", kind))
+    return out.select(*[F.col("row")[c].alias(c) for c in keep], F.col("value").alias(name))
+
+
 def running_sum(df: DataFrame, group: list[str], order: list[str], values: dict[str, str]) -> DataFrame:
     """Exclusive running sums of each group, without putting a group, or the rows of one key, into one task.
 
@@ -130,7 +146,7 @@ def running_sum(df: DataFrame, group: list[str], order: list[str], values: dict[
     within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     summed = dealt.select("*", *[F.coalesce(F.sum(v).over(within), F.lit(0)).alias(k) for k, v in values.items()])
     matched = summed.join(offsets, [F.col(k).eqNullSafe(F.col(other[k])) for k in keys])
-    return matched.select(*df.columns, *[(F.col(k) + F.col(s)).alias(k) for k, s in zip(values, sums, strict=True)])
+    return matched.select(*[column(c) for c in df.columns], *[(F.col(k) + F.col(s)).alias(k) for k, s in zip(values, sums, strict=True)])
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
@@ -150,4 +166,4 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> Da
     # Written, so that its size is known: it is broadcast below Spark's own threshold only.
     starts = settle(totals.select(*other.values(), of, first, F.coalesce(F.sum(ahead).over(before), F.lit(0)).alias(ahead)))
     matched = dealt.join(starts, [*[F.col(g).eqNullSafe(F.col(k)) for g, k in other.items()], part == F.col(of)])
-    return matched.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(at) - F.col(first) + F.col(ahead)).alias(name))
+    return matched.select(*[column(c) for c in df.columns], (F.col(at) - F.col(first) + F.col(ahead)).alias(name))

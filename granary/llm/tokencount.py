@@ -14,14 +14,12 @@ vocabulary; executors get its content by broadcast and read no file.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.textkit import running_sum, settle
+from granary.llm.textkit import running_sum, settle, with_texts_mapped
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public split pattern of this vocabulary.
@@ -47,15 +45,12 @@ def read_ranks(spark: SparkSession, path: str = RANKS) -> bytes:
 def token_lengths(docs: DataFrame, ranks: bytes) -> DataFrame:
     """docs with n_tokens in place of a column of that name; text is encoded as ordinary text."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    rest = docs.drop("n_tokens")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lengths(texts: pa.Array) -> pa.Array:
         encode = encoder(shared.value).encode_ordinary
-        for batch in batches:
-            n = [len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], [*batch.schema.names, "n_tokens"])
+        return pa.array([len(encode(t)) if t else 0 for t in texts.to_pylist()], pa.int64())
 
-    return rest.mapInArrow(rows, T.StructType([*rest.schema, T.StructField("n_tokens", T.LongType())]))
+    return with_texts_mapped(docs, [c for c in docs.columns if c.lower() != "n_tokens"], "n_tokens", T.LongType(), lengths)
 
 
 def histogram(lengths: DataFrame) -> DataFrame:

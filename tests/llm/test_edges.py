@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.llm import decontaminate, knn, langid, linedup, mixing, neardup, pii, quality, shards, tokencount
-from granary.llm.textkit import numbered
+from granary.llm.textkit import column, numbered
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, __n long, shard int, size long"
@@ -37,20 +37,21 @@ def nothing(spark):
 
 #: Names that operators use inside, and some that they used once.
 INSIDE = """row digest one tie range sum_0 key_0 key_1 place content before copies source_size target taken n_tokens n_docs found hits listed h at words ids of starts covered spans
-base tight score_ kept n of_id of_version version node fp sig slot_ __hash __one __bucket __source __before __id __gone __score __found __row __spans __k_doc_id label lot places""".split()
+base tight score_ kept row value payload found_0 p o n of_id of_version version node fp sig slot_ __hash __one __bucket __source __before __id __gone __score __found __row __spans __k_doc_id label lot places""".split()
 
 
 @pytest.fixture(scope="module")
 def clashing(docs):
-    """docs with a column of each inner name, whose values tell their row."""
+    """docs with a column of each inner name, and of names that need quotes, whose values tell their row."""
     mark = F.monotonically_increasing_id().cast("string")
-    return docs.select("*", *[F.concat(F.lit(f"{name}:"), mark).alias(name) for name in INSIDE])
+    return docs.select("*", *[F.concat(F.lit(f"{name}:"), mark).alias(name) for name in [*dict.fromkeys(INSIDE), "a.b", "with space", "tick`ed", "text.x", "ünï"]])
 
 
 def untouched(got, want, *changed):
     """The rows of got, without columns that an operator sets, as a sorted list of texts; they must be rows of want."""
     columns = [c for c in want.columns if c not in changed]
-    return sorted(map(repr, got.select(*columns).collect())), sorted(map(repr, want.select(*columns).collect()))
+    exactly = [column(c) for c in columns]
+    return sorted(map(repr, got.select(*exactly).collect())), sorted(map(repr, want.select(*exactly).collect()))
 
 
 def labels(spark, rows):
@@ -144,6 +145,11 @@ def test_columns_of_any_name_keep_their_values(spark, clashing):
         assert got.columns == clashing.columns
         a, b = untouched(got, clashing)
         assert a and set(a) <= set(b)
+    ranks = tokencount.read_ranks(spark)
+    counted = tokencount.token_lengths(clashing, ranks)
+    assert counted.columns == [*(c for c in clashing.columns if c != "n_tokens"), "n_tokens"]
+    a, b = untouched(counted, clashing, "n_tokens")
+    assert a == b
     joined = decontaminate.scan(clashing, bench, clashing.columns, max_windows=0, name="f2").drop("f2")
     a, b = untouched(joined, clashing)
     assert a == b
@@ -176,6 +182,29 @@ def test_near_duplicates_tell_rows_of_one_id_apart(spark):
     assert got == [(0, 0, True), (1, 1, True), (2, 1, False), (2, 2, True), (2, 2, True), (3, 1, False), (4, 4, True), (4, 4, True)]
 
 
+def test_line_dedup_keeps_lines_that_stand_once(spark):
+    """Rows of one doc_id with other texts are places of their own: only what an earlier place has goes."""
+    lines = lambda words: "\n".join(words.split())
+    rows = [(1, lines("a b c")), (5, lines("a b c own")), (5, lines("x y z own2")), (6, lines("x y z")), (5, None), (5, lines("x y z own2"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"] or "-", r["n_removed"]) for r in linedup.deduplicated(df).collect())
+    assert got == sorted([(1, lines("a b c"), 0), (5, "own", 3), (5, lines("x y z own2"), 0), (5, lines("x y z own2"), 0), (5, "-", 0), (6, "-", 3)])
+
+
+def test_ids_of_other_types(spark, docs):
+    """Ids are texts or integers; every operator keeps their type."""
+    for kind in ("string", "int"):
+        to = lambda c: F.concat(F.lit("id-"), c.cast("string")) if kind == "string" else c.cast("int")  # noqa: E731, B023
+        named = docs.withColumn("doc_id", to(F.col("doc_id")))
+        said = labels(spark, [(1, 1, 0), (2, 0, 0), (6, 1, 0)]).withColumn("doc_id", to(F.col("doc_id")))
+        bench = items(spark, [(1, "second line of it third line of it other")])
+        outs = [quality.assess(named, said), quality.drop_rejected(named, said), neardup.near_duplicates(named), neardup.drop_near_duplicates(named), decontaminate.contamination(named, bench), linedup.deduplicated(named), mixing.mixture(named), pii.report(named), langid.languages(named), shards.placement(named)]
+        for out in outs:
+            assert dict(out.dtypes)["doc_id"] == kind and out.count() <= len(ROWS)
+        same = {str(r["doc_id"]).removeprefix("id-"): r["kept"] for r in neardup.near_duplicates(named).where("doc_id is not null").collect()}
+        assert same == {str(r["doc_id"]): r["kept"] for r in neardup.near_duplicates(docs).where("doc_id is not null").collect()}
+
+
 def test_line_dedup_is_linear_in_lines(spark):
     import time
 
