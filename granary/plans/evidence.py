@@ -63,15 +63,25 @@ def mentions(spark, sf_dir):
     return reduce(DataFrame.unionByName, each).select("doc_id", "kind", "x.start", "x.end")
 
 
-@query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents where text is not null),
-s as (select doc_id, unnest(regexp_extract_all(line, '\S(?:[^.!?]|[.!?]+[^\s.!?])*(?:[.!?]+|$)')) as t from l)
-select doc_id, count(*) as sentences, sum(length(regexp_replace(t, '\s+$', '')))::bigint as chars from s where length(t) <= 500 group by 1""")
+@query(rf"""with recursive d as (select doc_id, text, string_split(text, '') as x from documents where text <> ''),
+c as (select doc_id, generate_subscripts(x, 1) as i, unnest(x) as ch from d),
+w as (select doc_id, i, ch, lead(ch) over (partition by doc_id order by i) as after, lag(ch) over (partition by doc_id order by i) as before from c),
+b as (select doc_id, i - 1 as spot from w where ch = chr(10) union select doc_id, i from w where ch in ('.', '!', '?') and (after is null or regexp_matches(after, '\s')) and not regexp_matches(before, '\s')
+ union select doc_id, 0 from d union select doc_id, len(x) from d),
+s as (select doc_id, spot as first, lead(spot) over (partition by doc_id order by spot) - spot as n from b),
+t as (select doc_id, first, substr(text, first + 1, n) as raw from s join d using (doc_id) where n > 0),
+u as (select doc_id, (first + length(raw) - length(regexp_replace(raw, '^\s+', '')))::bigint as spot, regexp_replace(regexp_replace(raw, '^\s+', ''), '\s+$', '') as said from t),
+k as (select doc_id, spot, said, length(said) as n, 0::bigint as start, 0::bigint as stop from u where said <> ''
+ union all select doc_id, spot, said, n, start, case when n - start <= 500 then n when {_LAST.format(s="s", c=" ")} >= 0 then start + 250 + {_LAST.format(s="s", c=" ")} else start + 500 end
+ from (select doc_id, spot, said, n, stop as start, substr(said, stop + 251, 250) as s from k where stop < n)),
+q as (select doc_id, spot + start as first, substr(said, start + 1, stop - start) as part from k where stop > 0),
+v as (select doc_id, (first + length(part) - length(regexp_replace(part, '^\s+', '')))::bigint as start, trim(part, ' ' || chr(9)) as quote from q)
+select doc_id, concat_ws(':', doc_id, start, start + length(quote)) as evidence_id, start, start + length(quote) as "end", md5(quote) as digest from v where quote <> ''""")
 def evidence_spans(spark, sf_dir):
-    """I9, M6 in part: sentences with absolute offsets, an id made of them, and the quote that they cut; those above the limit come in parts and are left out of this count."""
-    rows = _texts(spark, sf_dir).select("doc_id", "text", F.explode(S.sentences(F.col("text"), 1 << 30)).alias("x")).select("doc_id", "text", "x.*")
-    quote = F.expr("substring(text, cast(start as int) + 1, cast(`end` - start as int))")
-    held = rows.select("doc_id", F.concat_ws(":", "doc_id", "start", "end").alias("evidence_id"), quote.alias("quote")).where(F.char_length("quote") <= 500)
-    return held.groupBy("doc_id").agg(F.count("evidence_id").alias("sentences"), F.sum(F.char_length("quote")).alias("chars"))
+    """I9, M6 in part: each sentence, or part of at most 500 characters of a longer one, with absolute offsets, an id made of them and a digest of its quote."""
+    rows = _texts(spark, sf_dir).select("doc_id", "text", F.explode(S.sentences(F.col("text"))).alias("x")).select("doc_id", "text", "x.*")
+    quote = F.substring("text", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
+    return rows.select("doc_id", F.concat_ws(":", "doc_id", "start", "end").alias("evidence_id"), "start", "end", F.md5(quote.cast("binary")).alias("digest"))
 
 
 @query(r"""with p as (select page_id, case when page_id % 3 = 0 then '' else regexp_extract(html, '<html lang="([^"]*)"', 1) end as declared,
