@@ -11,20 +11,38 @@ from granary.plans.registry import query, table
 from granary.sources import pages as P
 
 
-@query()
+#: Blocks of the pages of the tables: what stands between a block's tag and the next tag that is not of a line.
+_BLOCKS = r"""p as (select page_id, url, regexp_replace(regexp_replace(html, '(?s)^.*?</head>', ''), '(?s)<!--.*?-->', '', 'g') as body from pages),
+f as (select page_id, url, '<(p|h1|li|div|footer)(?: [^>]*)?>((?:[^<]|</?(?:a|b|br)(?: [^>]*)?>)*)' as pattern, body from p),
+g as (select page_id, url, unnest(regexp_extract_all(body, pattern, 1)) as tag, unnest(regexp_extract_all(body, pattern, 2)) as raw, unnest(range(len(regexp_extract_all(body, pattern, 1)))) as k from f),
+h as (select page_id, url, tag, raw, k, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(raw, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) as text from g),
+blocks as (select page_id, row_number() over w - 1 as at_, case tag when 'p' then 'paragraph' when 'h1' then 'heading' when 'li' then 'list_item' else 'text' end as kind, text,
+ case when tag in ('p', 'h1') then coalesce(max(case when tag = 'h1' then text end) over (partition by page_id), '') else '' end as heading_path, case tag when 'li' then 'nav' when 'footer' then 'footer' else 'body' end as region, tag = 'li' as navigation,
+ case when tag = 'li' then regexp_extract(url, '^[a-z]+://[^/?#]+') || regexp_extract(raw, 'href="([^"]*)"', 1) end as link, sum(length(text) + 2) over w - length(text) - 2 as first from h where text <> '' window w as (partition by page_id order by k))"""
+
+
+@query(rf"""with {_BLOCKS} select page_id, at_::int as "at", kind, text, heading_path, region, navigation, link, first::bigint as "start", (first + length(text))::bigint as "end" from blocks""")
 def html_block_rows(spark, sf_dir):
-    """A12-A14, A16 in part: blocks of every page with kind, heading path, region and offsets."""
-    return P.html_blocks(table(spark, sf_dir, "pages"))
+    """A12-A14, A16 in part, E11: blocks of every page with kind, heading path, region, navigation, first link and offsets."""
+    rows = P.html_blocks(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "at", "kind", "text", "heading_path", "region", "navigation", F.get("links", F.lit(0))["url"].alias("link"), "start", "end")
+
+
+@query(rf"""with {_BLOCKS} select page_id, count(*) as blocks, sum(length(text))::bigint as chars, md5(string_agg(text, chr(10) order by at_)) as digest from blocks where region = 'body' group by 1""")
+def page_content(spark, sf_dir):
+    """What each page says: its blocks without furniture, controls and items that are all link, as counts and a digest."""
+    kept = P.substantive(P.html_blocks(table(spark, sf_dir, "pages"))).groupBy("page_id").agg(F.count("*").alias("blocks"), F.sum(F.char_length("text")).alias("chars"), F.array_sort(F.collect_list(F.struct("at", "text")))["text"].alias("x"))
+    return kept.select("page_id", "blocks", "chars", F.md5(F.array_join("x", "\n").cast("binary")).alias("digest"))
 
 
 @query(r"""with n as (select page_id, list_sum(list_transform(regexp_extract_all(html, '(?s)<nav>(.*?)</nav>', 1), lambda x: len(regexp_extract_all(x, '<li>')))) as links, len(regexp_extract_all(html, '<footer>')) as footers, len(regexp_extract_all(html, '<h1>')) as headings from pages)
 select page_id, coalesce(links, 0)::bigint as navigation, coalesce(footers, 0)::bigint as footers, coalesce(headings, 0)::bigint as headings from n""")
 def page_regions(spark, sf_dir):
-    """Blocks of each page that only lead elsewhere, those of its footer, and the headings that its content keeps."""
-    pages, region = table(spark, sf_dir, "pages"), F.col("region")
+    """Blocks of each page that only lead elsewhere, those of its footer, and the headings that its content keeps."""
+    pages = table(spark, sf_dir, "pages")
     # A page without blocks counts too.
-    rows = P.html_blocks(pages).select("page_id", "region", "kind").union(pages.select("page_id", F.lit(None), F.lit(None)))
-    return rows.groupBy("page_id").agg(F.count_if(region == "nav").alias("navigation"), F.count_if(region == "footer").alias("footers"), F.count_if((region == "main") & (F.col("kind") == "h1")).alias("headings"))
+    rows = P.html_blocks(pages).select("page_id", "region", "navigation", "level").union(pages.select("page_id", F.lit(None), F.lit(None), F.lit(None)))
+    return rows.groupBy("page_id").agg(F.count_if("navigation").alias("navigation"), F.count_if(F.col("region") == "footer").alias("footers"), F.count_if(~F.col("navigation") & (F.col("level") == 1)).alias("headings"))
 
 
 @query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as text, unnest(range(len(string_split(text, chr(10))))) as line from documents),

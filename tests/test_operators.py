@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,23 +101,70 @@ def test_checks_of_sets_and_pairs(spark):
     assert checks.together("conflict", pairs.limit(0), members).isEmpty() and checks.incomplete("lang", keys.limit(0), "id", have, "lang", ["de"]).isEmpty()
 
 
+def page_blocks(spark, html, url=None):
+    df = spark.createDataFrame([(1, url, html), (2, url, None), (3, url, "")], "page_id long, url string, html string")
+    return pages.html_blocks(df).where("page_id = 1").orderBy("at").collect()
+
+
 def test_html_blocks_have_exact_offsets(spark):
     html = "<html><head><title>T</title><script>var t='</p>'</script></head><body><nav><ul><li>Home</ul></nav><h1>A &amp; B</h1><p>one <b>two</b><p>three<table><tr><td>x<td>y</table></body>"
-    got = pages.html_blocks(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).orderBy("at").collect()
-    assert [(r["kind"], r["text"], r["region"]) for r in got] == [("title", "T", "main"), ("li", "Home", "nav"), ("h1", "A & B", "main"), ("p", "one two", "main"), ("p", "three", "main"), ("td", "x", "main"), ("td", "y", "main")]
+    got = page_blocks(spark, html)
+    assert [(r["kind"], r["text"], r["region"], r["navigation"]) for r in got] == [("list_item", "Home", "nav", True), ("heading", "A & B", "body", False), ("paragraph", "one two", "body", False), ("paragraph", "three", "body", False), ("table", "x\ty", "body", False)]
     joined = "\n\n".join(r["text"] for r in got)
-    assert all(joined[r["start"] : r["end"]] == r["text"] for r in got) and got[3]["heading_path"] == "A & B"
+    assert all(joined[r["start"] : r["end"]] == r["text"] for r in got) and got[2]["heading_path"] == "A & B"
 
 
 def test_regions_of_html_blocks(spark):
     html = (
         '<body><header id="header"><div>menu</div></header><div class="x breadcrumb"><div>home</div><span>now</span></div><div>intro</div>'
         '<article><header id="header"><h1>title</h1></header><aside>note</aside><p>prose <a href="#" class="icon--power">top</a><p><a href="#" class="icon--power">up</a></p></article>'
-        '<div role="navigation"><nav><p>a</nav>b</div><p><a href="#">c</a></p><header>plain</header><footer><p>foot</p></footer></div></nav>end</body>'
+        '<div role="navigation"><nav><p>a</nav>b</div><p><a href="#">c</a></p><header>plain</header><footer><p>foot</p></footer></nav><div class="mdl-related-content"><p>see also</div>end</body>'
+    )
+    want = [("menu", "header", True), ("home", "body", True), ("now", "body", True), ("intro", "body", False), ("title", "header", False), ("note", "aside", False), ("prose top", "body", False), ("up", "body", True)]
+    want += [("a", "nav", True), ("b", "body", True), ("c", "body", False), ("plain", "header", False), ("foot", "footer", False), ("see also", "body", True), ("end", "body", False)]
+    assert [(r["text"], r["region"], r["navigation"]) for r in page_blocks(spark, html)] == want
+
+
+def test_tables_keep_their_grid(spark):
+    html = "<table><caption>Fees</caption><thead><tr><th rowspan=2>Kind</th><th colspan='2'>Price</th></tr><tr><th>new<th>old</thead><tr><td>A <b>x</b><td>1<td>2 <table><tr><td>in</table></tr><tr><td rowspan=oops>B</td></tr></table>"
+    (row,) = page_blocks(spark, html)
+    cells = [(c["row"], c["column"], c["rowspan"], c["colspan"], c["header"], c["text"]) for c in row["cells"]]
+    assert cells == [(0, 0, 2, 1, True, "Kind"), (0, 1, 1, 2, True, "Price"), (1, 1, 1, 1, True, "new"), (1, 2, 1, 1, True, "old"), (2, 0, 1, 1, False, "A x"), (2, 1, 1, 1, False, "1"), (2, 2, 1, 1, False, "2 in"), (3, 0, 1, 1, False, "B")]
+    assert row["text"] == "Fees\nKind\tPrice\nnew\told\nA x\t1\t2 in\nB" and row["kind"] == "table"
+
+
+def test_blocks_know_lists_links_and_scopes(spark):
+    html = (
+        "<base href='/root/'><body id=top><h1>A</h1><ol><li>one<li><a href='x?y#z'>two</a><ul><li id=deep>three</ul></ol><section><h2>B</h2><p>in B<aside><h3>C</h3><p>beside</aside><p>still B</section>"
+        "<p>after<div hidden>gone</div><div style='display: none'>off</div><p id=fn-1>note<p>mail <a href='mailto:a@b.org'>us</a><pre> two\n  lines</pre><a href='http://[bad'>odd</a></body>"
     )
-    got = pages.html_blocks(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("at").collect()
-    want = [("menu", "nav"), ("home", "nav"), ("now", "nav"), ("intro", "main"), ("title", "main"), ("note", "aside"), ("prose top", "main"), ("up", "nav"), ("a", "nav"), ("b", "nav"), ("c", "main"), ("plain", "header"), ("foot", "footer"), ("end", "main")]
-    assert [(r["text"], r["region"]) for r in got] == want
+    got = {r["text"]: r for r in page_blocks(spark, html, "https://h.example/dir/page")}
+    assert [(x["ordered"], x["position"]) for x in got["three"]["lists"]] == [(True, 2), (False, 1)] and got["three"]["anchor"] == "deep" and got["one"]["anchor"] == "top"
+    assert tuple(got["two"]["links"][0]) == ("two", "x?y#z", "https://h.example/root/x?y#z") and got["odd"]["links"][0]["url"] == "http://[bad"
+    assert [got[t]["heading_path"] for t in ("one", "in B", "beside", "still B", "after")] == ["A", "A > B", "A > B > C", "A > B", "A"]
+    assert got["in B"]["scope"] == got["beside"]["scope"] == got["still B"]["scope"] != got["one"]["scope"] == got["after"]["scope"]
+    assert got["gone"]["hidden"] and got["off"]["hidden"] and not got["after"]["hidden"] and got["note"]["footnote"] and got[" two\n  lines"]["kind"] == "preformatted"
+    assert got["three"]["dom_path"] == "/body[1]/ol[1]/li[2]/ul[1]/li[1]"
+
+
+def test_substantive_blocks(spark):
+    with_main = "<nav>menu</nav><main><h1>T</h1><ul><li><a href=/x>Only a Link</a><li><a href=/x>link</a> and more<li>plain</ul><button>press</button><p>said</main><p>outside<address>Street 1</address><footer>imprint <p>call <a href='tel:+41'>us</a></footer>"
+    without = "<header>top</header><p>said</p><div role=contentinfo>legal</div><aside>note</aside>"
+    df = spark.createDataFrame([(1, with_main), (2, without)], "page_id long, html string")
+    kept = {p: [r["text"] for r in pages.substantive(pages.html_blocks(df)).where(f"page_id = {p}").orderBy("at").collect()] for p in (1, 2)}
+    assert kept == {1: ["T", "link and more", "plain", "said", "Street 1", "call us"], 2: ["said", "note"]}
+
+
+def test_blocks_keep_all_text_of_any_page(spark):
+    import random
+
+    rng, tags = random.Random(3), ["p", "div", "ul", "li", "b", "a", "section", "nav", "h2", "span", "td", "tr", "aside", "article", "br"]
+    for _ in range(150):
+        html = "".join(rng.choice([f"<{rng.choice(tags)}>", f"</{rng.choice(tags)}>", f" w{rng.randrange(99)} ", f"w{rng.randrange(99)}"]) for _ in range(60))
+        said = "".join("".join(b["text"] for b in pages.blocks(html, "")).split())
+        assert said == "".join(re.sub("<[^>]*>", "", html).split()), html
+    deep = "<div>" * 30_000 + "<p>x" + "</div>" * 30_000
+    assert [b["text"] for b in pages.blocks(deep[:60_000] + "<p>x", "")] == ["x"]
 
 
 def test_sections_stand_under_their_heading(spark):
