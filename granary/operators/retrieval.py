@@ -11,16 +11,115 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import tokens
 
 
-#: Rows of request tokens, and numbers of request vectors, that are broadcast.
-MAX_TOKENS, MAX_NUMBERS = 1_000_000, 8_000_000
+#: Rows of request tokens, numbers of request vectors, and held places (requests times k) that go to every task in one pass.
+MAX_TOKENS, MAX_NUMBERS, MAX_HELD = 1_000_000, 8_000_000, 4_000_000
 #: Parts that a token's rows are dealt into where the requests are too many to broadcast.
 PARTS = 64
+#: Pairs of a request and a text, or scores, that a task works on at once.
+PAIRS = 1 << 21
+
+
+class Held:
+    """The k best (score above 0, then smaller id) of each of n requests so far: the memory of a task, whatever it reads."""
+
+    NONE = np.iinfo(np.int64).max
+
+    def __init__(self, n: int, k: int):
+        self.k, self.scores, self.ids = k, np.zeros((n, k)), np.full((n, k), self.NONE)
+
+    def offer(self, request: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        worst, worst_id = self.scores[request, -1], self.ids[request, -1]
+        better = np.flatnonzero((scores > worst) | ((scores == worst) & (scores > 0) & (ids < worst_id)))
+        if not len(better):
+            return
+        request, ids, scores = request[better], ids[better], scores[better]
+        touched = np.unique(request)
+        r = np.concatenate([request, np.repeat(touched, self.k)])
+        s = np.concatenate([scores, self.scores[touched].ravel()])
+        i = np.concatenate([ids, self.ids[touched].ravel()])
+        order = np.lexsort((i, -s, r))
+        r, s, i = r[order], s[order], i[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        kept = place < self.k
+        self.scores[r[kept], place[kept]] = s[kept]
+        self.ids[r[kept], place[kept]] = i[kept]
+
+    def rows(self, names: np.ndarray) -> pa.RecordBatch:
+        r, c = np.nonzero(self.scores > 0)
+        return pa.RecordBatch.from_arrays([pa.array(names[r]), pa.array(self.ids[r, c]), pa.array(self.scores[r, c])], ["request_id", "evidence_id", "score"])
+
+
+_SCORED = "request_id long, evidence_id long, score double"
+
+
+def _passes(asked: DataFrame, n: int) -> list[DataFrame]:
+    """The requests in n parts by a hash of their ids, or as they are."""
+    return [asked.where(F.pmod(F.xxhash64("request_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [asked]
+
+
+def lexical_best(requests: DataFrame, evidence: DataFrame, k: int, weight: int = 1) -> DataFrame:
+    """request_id, evidence_id, score of lexical_scores(), the k best of each request: evidence is (evidence_id, text, and label if labels count), ids unique.
+
+    The requests' tokens are an index from tokens to requests that goes to every task; more than MAX_TOKENS tokens, or
+    MAX_HELD places, are asked in several passes. Texts are scored where they lie, and a task keeps its k best of each
+    request, so k rows of a task move and never one for each pair.
+    """
+    asked = requests.select("request_id", F.explode(tokens(F.col("text"))).alias("token"))
+    n, distinct = asked.agg(F.count("*"), F.count_distinct("request_id")).first()
+    words = [tokens(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("text", "label") if c in evidence.columns]
+    said = evidence.select("evidence_id", *words)
+    parts = [_lexical_pass(part, said, k, weight) for part in _passes(asked, max(1, -(-n // MAX_TOKENS), -(-distinct * k // MAX_HELD)))]
+    return top_k(reduce(DataFrame.union, parts), k).drop("rank").withColumn("score", F.col("score").cast("long"))
+
+
+def _lexical_pass(asked: DataFrame, said: DataFrame, k: int, weight: int) -> DataFrame:
+    rows = asked.toArrow()  # bounded by the passes
+    names, owner = np.unique(rows["request_id"].to_numpy(), return_inverse=True)
+    coded = rows["token"].combine_chunks().dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(code, kind="stable")
+    first = np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1))
+    shared = said.sparkSession.sparkContext.broadcast((names, coded.dictionary, first, owner[order]))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, known, first, owners = shared.value
+        held = Held(len(names), k)
+        for batch in batches:
+            ids = batch.column("evidence_id").to_numpy()
+            row, token, worth = [], [], []
+            for column, w in (("text", 1), ("label", weight)):
+                if column in batch.schema.names:
+                    lists = batch.column(column)
+                    at = pc.index_in(lists.flatten(), value_set=known)
+                    hit = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+                    row.append(np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy())[hit])
+                    token.append(at.to_numpy(zero_copy_only=False)[hit].astype(np.int64))
+                    worth.append(np.full(len(hit), w))
+            row, token, worth = (np.concatenate(x) for x in (row, token, worth))
+            order = np.argsort(row, kind="stable")
+            row, token, worth = row[order], token[order], worth[order]
+            count = first[token + 1] - first[token]
+            ends, low = np.cumsum(count), 0
+            while low < len(row):
+                # Whole texts, of some PAIRS matches together.
+                high = max(int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PAIRS, side="right")), low + 1)
+                high = int(np.searchsorted(row, row[high - 1], side="right"))
+                n = count[low:high]
+                skip = np.repeat(first[token[low:high]] - (np.cumsum(n) - n), n)
+                pair = owners[skip + np.arange(len(skip))] * len(ids) + np.repeat(row[low:high], n)
+                pair, which = np.unique(pair, return_inverse=True)
+                held.offer(pair // len(ids), ids[pair % len(ids)], np.bincount(which, weights=np.repeat(worth[low:high], n)))
+                low = high
+        yield held.rows(names)
+
+    return said.mapInArrow(score, _SCORED)
 
 
 def lexical_scores(requests: DataFrame, evidence: DataFrame, labels: DataFrame | None = None, weight: int = 1) -> DataFrame:
@@ -46,46 +145,43 @@ def lexical_scores(requests: DataFrame, evidence: DataFrame, labels: DataFrame |
 def vector_scores(asked: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """request_id, evidence_id, score: inner products of each request's vectors (request_id, v) with vectors (evidence_id, v), the best of its own for each, if above 0.
 
-    The requests' numbers go to every task while they are at most MAX_NUMBERS; more are asked in several passes. Each
-    task multiplies blocks and keeps its k best of each request, so that k rows of a task move and not all pairs.
+    The requests' numbers go to every task while they are at most MAX_NUMBERS, and their held places MAX_HELD; more are
+    asked in several passes, each of which alone is on the driver. Each task multiplies tiles of requests and vectors and
+    keeps its k best of each request, so that k rows of a task move and not all pairs.
     """
-    rows = asked.select("request_id", "v").where("v is not null").orderBy("request_id").toArrow()  # the requests, a stated query set
-    if not rows.num_rows:
-        return asked.sparkSession.createDataFrame([], "request_id long, evidence_id long, score double")
-    ids, values = rows["request_id"].to_numpy(), np.array(rows["v"].to_pylist(), dtype=np.float64)
-    # A pass takes whole requests.
-    step, parts = max(1, MAX_NUMBERS // values.shape[1]), []
-    _, first = np.unique(ids, return_index=True)
-    cuts, prior = [0], 0
-    for at in [*first[1:].tolist(), len(ids)]:
-        if at - cuts[-1] > step and prior > cuts[-1]:
-            cuts.append(prior)
-        prior = at
-    for low, high in zip(cuts, [*cuts[1:], len(ids)], strict=True):
-        parts.append(_best(asked, vectors, ids[low:high], values[low:high], k))
+    asked = asked.select("request_id", F.col("v").cast("array<double>").alias("v")).where("v is not null")
+    n, distinct, wide = asked.agg(F.count("*"), F.count_distinct("request_id"), F.max(F.size("v"))).first()
+    if not n:
+        return asked.sparkSession.createDataFrame([], _SCORED)
+    asked = asked.where(F.size("v") == wide)
+    parts = [_vector_pass(part, vectors, wide, k) for part in _passes(asked, max(1, -(-n * wide // MAX_NUMBERS), -(-distinct * k // MAX_HELD)))]
     return reduce(DataFrame.union, parts)
 
 
-def _best(asked: DataFrame, vectors: DataFrame, ids: np.ndarray, values: np.ndarray, k: int) -> DataFrame:
-    shared = asked.sparkSession.sparkContext.broadcast((*np.unique(ids, return_index=True), values))
+def _vector_pass(asked: DataFrame, vectors: DataFrame, wide: int, k: int) -> DataFrame:
+    rows = asked.orderBy("request_id").toArrow()  # bounded by the passes
+    q = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, wide)
+    names, first = np.unique(rows["request_id"].to_numpy(), return_index=True)
+    shared = asked.sparkSession.sparkContext.broadcast((names, np.append(first, len(q)), q))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, first, q = shared.value
-        held_id = np.zeros((len(names), 0), dtype=np.int64)
-        held = np.zeros((len(names), 0))
+        held = Held(len(names), k)
         for batch in batches:
             for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
                 v = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                s = np.maximum.reduceat(q @ v.T, first, axis=0)
-                held = np.concatenate([held, s], axis=1)
-                held_id = np.concatenate([held_id, np.tile(part.column("evidence_id").to_numpy(), (len(names), 1))], axis=1)
-                order = np.lexsort((held_id, -held), axis=1)[:, :k]
-                held, held_id = np.take_along_axis(held, order, axis=1), np.take_along_axis(held_id, order, axis=1)
-        r, c = np.nonzero(held > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(names[r]), pa.array(held_id[r, c]), pa.array(held[r, c])], ["request_id", "evidence_id", "score"])
-
-    rows = vectors.where(F.size("v") == values.shape[1]).select("evidence_id", F.col("v").cast("array<double>").alias("v"))
-    return rows.mapInArrow(score, "request_id long, evidence_id long, score double")
+                ids, low = part.column("evidence_id").to_numpy(), 0
+                while low < len(names):
+                    # Whole requests, of some PAIRS scores together.
+                    high = max(int(np.searchsorted(first, first[low] + PAIRS // len(v), side="right")) - 1, low + 1)
+                    s = np.maximum.reduceat(q[first[low] : first[high]] @ v.T, first[low:high] - first[low], axis=0)
+                    r, c = np.nonzero((s > 0) & (s >= held.scores[low:high, -1:]))
+                    held.offer(low + r, ids[c], s[r, c])
+                    low = high
+        yield held.rows(names)
+
+    rows = vectors.where(F.size("v") == wide).select("evidence_id", F.col("v").cast("array<double>").alias("v"))
+    return rows.mapInArrow(score, _SCORED)
 
 
 def within_references(scored: DataFrame, references: int, most: int) -> DataFrame:

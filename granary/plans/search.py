@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from granary.functions.text import TOKEN, tokens
 from granary.functions.vectors import quantised
-from granary.operators import eligibility, retrieval
+from granary.operators import eligibility, hybrid, retrieval
+from granary.operators.tables import settle
 from granary.plans.registry import query, table
 
 TOKENS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
@@ -35,6 +36,10 @@ def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.lexical_scores(_requests(spark, sf_dir), _evidence(spark, sf_dir))
 
 
+def _best(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return retrieval.lexical_best(_requests(spark, sf_dir), _evidence(spark, sf_dir), k)
+
+
 def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     doc, item = F.col("doc_id"), F.col("item_id")
     evidence = table(spark, sf_dir, "documents").select(
@@ -68,7 +73,7 @@ ELIGIBLE = f"""{PLACES}, eligible as (select r.request_id, e.evidence_id, e.cant
 row_number() over (partition by request_id order by score desc, evidence_id) as rank from lexical) where rank <= 10""")
 def lexical_search_topk(spark, sf_dir):
     """The ten documents with the most distinct tokens of each request."""
-    return retrieval.top_k(_lexical(spark, sf_dir), 10)
+    return retrieval.top_k(_best(spark, sf_dir, 10), 10)
 
 
 @query(f"""with {ELIGIBLE} select request_id, count(*) as n, sum(case when municipality is not null then 2 when canton is not null then 1 else 0 end)::bigint as specificity,
@@ -92,16 +97,64 @@ select * from (select *, row_number() over (partition by request_id order by sco
 def hybrid_retrieval(spark, sf_dir):
     """2J in part, C7, C8, D7, E1, E2: lexical, concept and vector channels, one row per equivalence bucket and channel, fused by reciprocal rank."""
     requests = _requests(spark, sf_dir)
-    lexical = _lexical(spark, sf_dir).select("request_id", F.lit("lexical").alias("channel"), "evidence_id", F.col("score").cast("double"))
+    # A bucket has two members at most, so the forty best hold the twenty best buckets.
+    lexical = _best(spark, sf_dir, 40).select("request_id", F.lit("lexical").alias("channel"), "evidence_id", F.col("score").cast("double"))
     sources = requests.select("request_id", F.concat(F.lit("src"), (F.col("request_id") % 20).cast("string")).alias("source"))
-    concept = sources.join(table(spark, sf_dir, "documents"), "source").select("request_id", F.lit("concept"), F.col("doc_id"), F.lit(1.0))
+    # All of a source score alike: its forty smallest ids stand for it, whoever asks.
+    few = retrieval.top_k(table(spark, sf_dir, "documents").select("source", "doc_id", F.lit(1.0).alias("score")), 40, "source", "doc_id")
+    concept = sources.join(few, "source").select("request_id", F.lit("concept"), "doc_id", "score")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("evidence_id"), quantised(F.col("embedding"), 1000).alias("v"))
     asked = requests.join(vectors, F.col("request_id") == F.col("evidence_id")).select("request_id", "v")
-    # A bucket has two members at most, so the forty best hold the twenty best buckets.
     scored = retrieval.vector_scores(asked, vectors, 40).select("request_id", F.lit("vector"), "evidence_id", "score")
     return retrieval.fused(lexical.union(concept).union(scored), F.floor(F.col("evidence_id") / 2), 20, 20)
 
 
+@query(rf"""with docs as (select doc_id, text, lang, source, regexp_extract(source, '[0-9]+')::bigint as concept, {TOKENS.format("text")} as w, {TOKENS.format("string_split(text, chr(10))[1]")} as head,
+  case when count(*) over (partition by text) > 1 then min(doc_id) over (partition by text) end as grp from documents where text is not null),
+alias as (select source, arg_min(regexp_extract(lower(text), '[\p{{L}}\p{{N}}_]+'), doc_id) as name from docs group by 1),
+req as (select item_id as request_id, {TOKENS.format("b.text")} as said, d.lang, d.source from benchmark b join docs d on d.doc_id = item_id),
+vec as (select vec_id, list_transform(embedding, lambda x: floor(x::double * 1000)) as v from embeddings),
+rows as (select request_id, e.doc_id as evidence_id, e.grp is not null as is_group, coalesce(e.grp, e.doc_id) as bucket, e.lang as language, len(list_intersect(said, e.w))::double / greatest(len(e.w), 1) as semantic,
+  (len(list_intersect(said, e.w)) + case when e.lang = r.lang then len(list_intersect(said, e.head)) else 0 end)::double as lexical, (1 + list_contains(said, name)::int + (e.doc_id = request_id)::int)::double as concept,
+  list_dot_product(a.v, b.v) as vector from req r join docs e using (source) join alias using (source) left join vec a on a.vec_id = request_id left join vec b on b.vec_id = e.doc_id),
+long as (select request_id, evidence_id, is_group, bucket, 0 as channel, lexical as score from rows where lexical > 0 union all select request_id, evidence_id, is_group, bucket, 1, concept from rows union all select request_id, evidence_id, is_group, bucket, 2, vector from rows where vector > 0),
+best as (select * from (select *, row_number() over (partition by request_id, channel, is_group, bucket order by score desc, evidence_id) as n from long) where n = 1),
+ranked as (select * from (select *, row_number() over (partition by request_id, channel order by score desc, evidence_id) as r from best) where r <= 20),
+fused as (select request_id, is_group, bucket, coalesce(sum(1 / (60 + r)::double) filter (channel = 0), 0) + coalesce(sum(1 / (60 + r)::double) filter (channel = 1), 0) + coalesce(sum(1 / (60 + r)::double) filter (channel = 2), 0) as total from ranked group by all),
+let_in as (select * from (select *, row_number() over (partition by request_id order by total desc, is_group, bucket) as n from fused) where n <= 20),
+given as (select request_id, evidence_id, semantic as score, is_group, bucket, language from rows join (select request_id, is_group, bucket from let_in) using (request_id, is_group, bucket)),
+shown as (select *, case when is_group then first_value(evidence_id) over (partition by request_id, is_group, bucket order by score desc, language <> 'de', evidence_id) else evidence_id end as representative_id from given)
+select request_id, evidence_id, score, representative_id, case when evidence_id = representative_id then row_number() over (partition by request_id, evidence_id = representative_id order by score desc, evidence_id) end as rank, score >= 0.05 as qualified from shown""")
+def hybrid_retrieval_whole(spark, sf_dir):
+    """2J.1-2J.9, D4, D5, C7, E1-E3: requests and what their source may give them, in three channels, fused, reranked by the share of a text that was asked for, represented by group.
+
+    A request asks in the language and source of the document with its id; texts that are equal are equivalent; a first line is a
+    projection; a source is a concept, known by the first word of its first text.
+    """
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    number = lambda c: F.regexp_extract(c, "[0-9]+", 0).try_cast("long")
+    alike = docs.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("h")).agg(F.min("doc_id").alias("grp"), F.count("*").alias("n")).where("n > 1").drop("n")
+    evidence = docs.withColumn("h", F.sha2(F.col("text").cast("binary"), 256)).join(alike, "h", "left")
+    evidence = evidence.select(F.col("doc_id").alias("evidence_id"), "text", F.array(number("source")).alias("concepts"), "grp", F.col("lang").alias("language"), F.lit(None).cast("int").alias("accessed_day"))
+    projections = docs.select(F.col("doc_id").alias("evidence_id"), F.col("lang").alias("language"), F.element_at(F.split("text", "\n", -1), 1).alias("text"))
+    terminology = docs.groupBy("source").agg(F.min_by(F.regexp_extract(F.lower("text"), TOKEN, 0), "doc_id").alias("name")).select(number("source").alias("concept_id"), F.array("name").alias("aliases"))
+    asked = table(spark, sf_dir, "benchmark").join(docs.select("doc_id", "lang", "source"), F.col("item_id") == F.col("doc_id"))
+    requests = asked.select(
+        F.col("item_id").alias("request_id"), F.array(F.struct("text", F.col("lang").alias("language"))).alias("terms"), F.array(number("source")).alias("selected"), F.array("item_id").alias("required"), F.lit(True).alias("configured"), F.lit(0).alias("oldest_day"),
+    )
+    pairs = settle(asked.select(F.col("item_id").alias("request_id"), "source").join(docs.select(F.col("doc_id").alias("evidence_id"), "source"), "source").drop("source"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", quantised(F.col("embedding"), 1000).alias("v"))
+    near = pairs.join(vectors.select(F.col("vec_id").alias("request_id"), F.col("v").alias("a")), "request_id").join(vectors.select(F.col("vec_id").alias("evidence_id"), F.col("v").alias("b")), "evidence_id")
+    product = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda n, x: n + x)
+    near = settle(near.select("request_id", "evidence_id", product.alias("score")))
+    inputs = (pairs, requests, evidence, projections, terminology, near)
+    settings = hybrid.Settings(60, 20, 20, minimum_semantic=0.05)
+    let_in = hybrid.to_rank(*inputs, settings).join(evidence.select("evidence_id", tokens(F.col("text")).alias("w")), "evidence_id").join(requests.select("request_id", tokens(F.col("terms")[0]["text"]).alias("said")), "request_id")
+    ranking = let_in.select("request_id", "evidence_id", (F.size(F.array_intersect("said", "w")).cast("double") / F.greatest(F.size("w"), F.lit(1))).alias("score"))
+    found = hybrid.retrieve(*inputs, ranking, settings)
+    return found.select("request_id", "evidence_id", "score", "representative_id", "rank", "qualified")
+
+
 @query(f"""with {SCORES}, best as (select request_id, evidence_id // 2 as grp, evidence_id, score, evidence_id % 4 = 0 as stale, lang from lexical join documents on doc_id = evidence_id)
 select request_id, grp, evidence_id as representative, members from (select *, count(*) over (partition by request_id, grp) as members,
 row_number() over (partition by request_id, grp order by stale, score desc, lang <> 'de', evidence_id) as n from best) where n = 1 and members > 1""")
@@ -120,7 +173,7 @@ select count(*) as requests, round(avg(precision_at_5), 6) as mean_precision, ro
 def retrieval_metrics(spark, sf_dir):
     """D20 in part: precision at five and hit rate over the requests with a match, and whether each has one good document of five (retrieval_evaluation has all measures)."""
     good = (F.col("evidence_id") % 7 == F.col("request_id") % 7).cast("int")
-    judged = retrieval.top_k(_lexical(spark, sf_dir), 5).groupBy("request_id").agg(F.avg(good).alias("p"), F.max(good).alias("hit"))
+    judged = retrieval.top_k(_best(spark, sf_dir, 5), 5).groupBy("request_id").agg(F.avg(good).alias("p"), F.max(good).alias("hit"))
     return judged.agg(F.count("*").alias("requests"), F.round(F.avg("p"), 6).alias("mean_precision"), F.round(F.avg("hit"), 6).alias("hit_rate"), F.coalesce(F.bool_and(F.col("p") >= 0.2), F.lit(False)).alias("gate"))
 
 
@@ -142,7 +195,7 @@ def retrieval_evaluation(spark, sf_dir):
     requests, evidence = _places(spark, sf_dir)
     pairs = _eligible(requests.drop("text"), evidence).select("request_id", "evidence_id", "lang")
     gold = pairs.where("evidence_id % 7 = request_id % 7").select("request_id", "evidence_id", F.col("lang").alias("grp"), (F.col("evidence_id") % 5).alias("fact"))
-    each = retrieval.evaluated(requests, retrieval.top_k(_lexical(spark, sf_dir), 20), gold, pairs, 0.2)
+    each = retrieval.evaluated(requests, retrieval.top_k(_best(spark, sf_dir, 20), 20), gold, pairs, 0.2)
     mean = lambda c: F.round(F.avg(c), 6)
     return each.agg(
         F.count("*").alias("requests"), mean("recall").alias("recall_at_20"), mean("fact_recall").alias("fact_recall_at_5"), mean("precision").alias("precision_at_5"), F.sum("leakage").alias("leakage"),
@@ -212,8 +265,8 @@ select * from (select *, row_number() over (partition by request_id order by sco
 def label_body_search(spark, sf_dir):
     """the ten best by three times the tokens shared with the label and once those shared with the body."""
     docs = table(spark, sf_dir, "documents")
-    labels = docs.select(F.col("doc_id").alias("evidence_id"), F.element_at(F.split("text", "\n", -1), 1).alias("text"))
-    return retrieval.top_k(retrieval.lexical_scores(_requests(spark, sf_dir), _evidence(spark, sf_dir), labels, 3), 10)
+    said = docs.select(F.col("doc_id").alias("evidence_id"), "text", F.element_at(F.split("text", "\n", -1), 1).alias("label"))
+    return retrieval.top_k(retrieval.lexical_best(_requests(spark, sf_dir), said, 10, 3), 10)
 
 
 @query("""with v as (select vec_id, list_transform(embedding, lambda x: floor(x::double * 1000)) as v from embeddings),
