@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from granary.operators.ordering import numbered
+
 
 def bins(df: DataFrame, group: list[str], order: list[str], size: int) -> DataFrame:
     """df with bin: consecutive rows of a group, ``size`` to a bin, from 0."""
-    at = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
-    return df.withColumn("bin", F.floor(at / size).cast("long"))
+    return numbered(df, group, order, "bin").withColumn("bin", F.floor(F.col("bin") / size).cast("long"))
 
 
 def batches(df: DataFrame, group: list[str], order: list[str], limits: dict[str, float], breaks: list[str] = (), name: str = "batch") -> DataFrame:
@@ -48,8 +49,9 @@ def batches(df: DataFrame, group: list[str], order: list[str], limits: dict[str,
 
 
 def round_robin(df: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """df with turn: the first of each group before the second of any."""
-    return df.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    """df with turn, the place of a row in its group from 1, and visit: the first of each group before the second of any, groups in order, from 1."""
+    turns = numbered(df, [group], order, "turn").withColumn("turn", F.col("turn") + 1)
+    return numbered(turns, [], ["turn", group, *order], "visit").withColumn("visit", F.col("visit") + 1)
 
 
 def offsets(df: DataFrame, group: list[str], order: list[str], length: Column, gap: int) -> DataFrame:

@@ -102,9 +102,9 @@ def url_scope(spark, sf_dir):
 
 
 @query(r"""with h as (select page_id, regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]+)', 1), '^(www|m)\.', '') as host from pages)
-select page_id, host, row_number() over (partition by host order by page_id) as turn from h""")
+select *, row_number() over (order by turn, host nulls first, page_id) as visit from (select page_id, host, row_number() over (partition by host order by page_id) as turn from h)""")
 def host_turns(spark, sf_dir):
-    """E5: the turn of each page when hosts are visited in rounds."""
+    """E5: the order in which pages are visited when hosts take turns, and each page's turn of its host."""
     hosts = table(spark, sf_dir, "pages").select("page_id", T.host(F.col("url")).alias("host"))
     return packing.round_robin(hosts, "host", ["page_id"])
 

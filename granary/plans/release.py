@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from granary.operators import asof, checks, eligibility, graph
+from granary.operators import asof, checks, eligibility, graph, ordering
 from granary.plans.registry import query, table
 
 #: Every part has two parents, so the catalogue is a graph with several paths.
@@ -139,12 +139,12 @@ def latest_version(spark, sf_dir):
 def latency_statistics(spark, sf_dir):
     """Count, extremes, median and the nearest-rank p90 (banker's rounding) of each kind of call.
 
-    The rank is taken by a window over rows ordered in each kind; no list of values is gathered.
+    A kind may hold most of all calls: its values spread over ranges, and only those at the wanted ranks meet.
     """
-    by = Window.partitionBy("event_type")
-    rows = table(spark, sf_dir, "events").select("event_type", "value").withColumn("n", F.row_number().over(by.orderBy("value"))).withColumn("all", F.count("*").over(by))
-    p90 = F.max(F.when(F.col("n") == F.bround(F.lit(0.9) * (F.col("all") - 1)) + 1, F.col("value")))
-    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.min("value"), 6).alias("least"), F.round(F.percentile("value", 0.5), 6).alias("median"), F.round(p90, 6).alias("p90"), F.round(F.max("value"), 6).alias("most"))
+    events = table(spark, sf_dir, "events").select("event_type", "value")
+    ranks = {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.floor(n / 2), "p90": lambda n: F.bround(F.lit(0.9) * (n - 1)), "least": lambda n: F.lit(0), "most": lambda n: n - 1}
+    rows = ordering.order_statistics(events, "event_type", "value", ranks)
+    return rows.select("event_type", "n", F.round("least", 6).alias("least"), F.round((F.col("low") + F.col("high")) / 2, 6).alias("median"), F.round("p90", 6).alias("p90"), F.round("most", 6).alias("most"))
 
 
 @query("""with k as (select user_id, event_type, count(*) as n, min(event_id) as first from events group by all)
