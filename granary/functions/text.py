@@ -123,17 +123,6 @@ def language_policy(declared: Column, hint: Column, named: Column, detected: Col
     return F.struct(F.coalesce(said, F.when(sure, detected)).alias("language"), method.alias("method"), flags.alias("flags"))
 
 
-def encoding(raw: Column) -> Column:
-    """The encoding of bytes: by their mark, UTF-8 if they are, the charset they declare, else windows-1252; null if that can't hold them."""
-    head, latin = F.hex(F.substring(raw, 1, 3)), F.decode(raw, "ISO-8859-1")
-    stated = F.lower(F.regexp_extract(F.substring(latin, 1, 8192), r"""charset\s*=\s*["']?([a-zA-Z0-9_-]+)""", 1))
-    return (
-        F.when(head == "EFBBBF", "utf-8-sig").when(F.substring(head, 1, 4).isin("FFFE", "FEFF"), "utf-16").when(F.is_valid_utf8(raw.cast("string")), "utf-8")
-        .when(stated.isin("utf-8", "utf8", "ascii", "us-ascii"), F.lit(None)).when(stated != "", stated)
-        .when(latin.rlike("[\u0081\u008d\u008f\u0090\u009d]"), F.lit(None)).otherwise("windows-1252")
-    )
-
-
 def strict_json(text: Column) -> Column:
     """The value of a JSON text as a variant; null for text that is not JSON or repeats a key, which other parsers let pass."""
     return F.try_parse_json(text)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import spans as S
 from granary.functions import text as T
+from granary.functions import unicode as U
 from granary.operators import checks, graph
 from granary.plans.registry import query, table
 
@@ -99,16 +100,11 @@ def page_languages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.language_hint(url).alias("hint"), policy.alias("p")).select("page_id", "hint", "p.language", "p.method", F.size("p.flags").alias("flags"))
 
 
-@query("""select page_id, case page_id % 6 when 0 then 'utf-8' when 1 then 'utf-8-sig' when 2 then 'utf-16' when 3 then 'iso-8859-1' when 4 then 'windows-1252' end as encoding, page_id % 6 = 5 as undecodable from pages""")
+@query(r"""select page_id, 'utf-8' as encoding, lower(regexp_extract(html, 'charset\s*=\s*["'']?([a-zA-Z0-9_-]+)', 1)) as declared, strlen(html)::bigint as bytes from pages""")
 def page_encodings(spark, sf_dir):
-    """I16: the encoding of bytes by mark, validity, declared charset and fallback; the bytes are made of the pages by rule."""
-    k, bad = F.col("page_id") % 6, F.unhex(F.lit("E9"))
-    raw = (
-        F.when(k == 0, F.encode("html", "UTF-8")).when(k == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("html", "UTF-8"))).when(k == 2, F.concat(F.unhex(F.lit("FFFE")), F.encode("html", "UTF-16LE")))
-        .when(k == 3, F.concat(bad, F.encode(F.concat(F.lit("<meta charset='ISO-8859-1'>"), "url"), "UTF-8"))).when(k == 4, F.concat(bad, F.encode("url", "UTF-8"))).otherwise(F.concat(bad, F.unhex(F.lit("81")), F.encode("url", "UTF-8")))
-    )
-    found = T.encoding(raw)
-    return table(spark, sf_dir, "pages").select("page_id", found.alias("encoding"), found.isNull().alias("undecodable"))
+    """I16: the encoding of each page's bytes by mark, validity, declared charset (tried before it is believed) and fallback, and what it declares."""
+    raw = F.col("html").cast("binary")
+    return table(spark, sf_dir, "pages").select("page_id", U.encoding(raw).alias("encoding"), U.charset(raw).alias("declared"), F.octet_length("html").cast("long").alias("bytes"))
 
 
 @query(r"""with f as (select doc_id, case doc_id % 4 when 0 then 'pdf' when 1 then 'html' when 2 then 'TXT' else 'md' end as suffix, text, coalesce(strlen(text), 0) as bytes, doc_id % 11 = 3 as flagged, doc_id % 13 = 5 as broken from documents)

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from granary.functions import spans
+from granary.functions import spans, unicode
 from granary.functions import text as T
 from granary.operators import packing, retrieval
 from granary.sources import office, pages, releases, rich_text
@@ -104,3 +104,14 @@ def test_rtf_surrogates_and_damaged_office_files():
         z.writestr("word/footnotes.xml", "<a><p><t>note</t></p></a>")
     assert "note" in office.paragraphs(held.getvalue())
     assert office.paragraphs(b"no archive") == []
+
+
+def test_declared_charsets_are_tried(spark):
+    bad = b"caf\xe9 "
+    rows = [
+        (b"caf\xc3\xa9", "utf-8"), (b"\xef\xbb\xbfx", "utf-8-sig"), (b"\xff\xfex\x00", "utf-16"), (b"\xfe\xff\x00x", "utf-16"), (b"", "utf-8"), (bad + b"<meta charset='ISO-8859-1'>", "iso-8859-1"), (bad + b"<meta charset=foo>", None),
+        (bad + b"charset=utf-8", None), (bad + b"charset=hex", None), (bad + b"charset=ascii", None), (b"<meta charset=shift_jis>\x83e", "shift_jis"), (b"<meta charset=shift_jis>\x83", None), (bad, "windows-1252"), (bad + b"\x81", None),
+        (bad + b" " * 9000 + b"charset=foo", "windows-1252"), (None, None),
+    ]
+    df = spark.createDataFrame([(bytearray(r) if r is not None else None,) for r, _ in rows], "x binary").coalesce(1)
+    assert [r[0] for r in df.select(unicode.encoding(F.col("x"))).collect()] == [want for _, want in rows]
