@@ -281,16 +281,17 @@ def several_vectors(spark, sf_dir):
     return retrieval.top_k(retrieval.vector_scores(asked, vectors, 10), 10)
 
 
-@query("""with d as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) as w from documents where text is not null),
-a as (select item_id as alias_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')[1:2] as t from benchmark where regexp_matches(text, '[\\p{L}\\p{N}_]'))
-select doc_id, count(*) as n_alias, min(alias_id)::bigint as first from d join a on list_has_all(w, t) group by 1""")
+@query(f"""with d as (select doc_id, {TOKENS.format("text")} as w from documents where text is not null), a as (select item_id as alias_id, {TOKENS.format("text")} as t from benchmark)
+select doc_id, count(*) as n_alias, min(alias_id)::bigint as first from d join a on list_has_all(w, t) where len(t) > 0 group by 1""")
 def alias_expansion(spark, sf_dir):
-    """Aliases of two tokens that a text has whole: joined on their first token, the rest tested as a subset."""
-    names = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("alias_id"), F.slice(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)), 1, 2).alias("t")).where(F.size("t") > 0)
-    alias = names.select("alias_id", F.col("t")[0].alias("token"), F.slice("t", 2, 9).alias("rest"))
+    """Aliases all of whose tokens a text has: only texts with an alias's rarest token are tested as a whole."""
+    names = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("alias_id"), tokens(F.coalesce("text", F.lit(""))).alias("t")).where(F.size("t") > 0)
     words = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", tokens(F.col("text")).alias("w"))
-    hit = words.select("doc_id", "w", F.explode("w").alias("token")).join(alias, "token").where(F.size(F.array_except("rest", "w")) == 0)
-    return hit.groupBy("doc_id").agg(F.count("*").alias("n_alias"), F.min("alias_id").alias("first"))
+    single, wanted = words.select("doc_id", F.explode("w").alias("token")), names.select("alias_id", F.explode("t").alias("token"))
+    n = single.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    rarest = wanted.join(n, "token", "left").groupBy("alias_id").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("token"))
+    met = single.join(rarest, "token").select("doc_id", "alias_id").join(names, "alias_id").join(words, "doc_id")
+    return met.where(F.size(F.array_except("t", "w")) == 0).groupBy("doc_id").agg(F.count("*").alias("n_alias"), F.min("alias_id").alias("first"))
 
 
 @query(rf"""select doc_id, len({TOKENS.format('text')}) as n_tokens from documents where text is not null""")
