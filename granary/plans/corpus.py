@@ -53,6 +53,18 @@ def text_section_rows(spark, sf_dir):
     return P.text_sections(table(spark, sf_dir, "documents"), r"^\S+$")
 
 
+@query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as text, unnest(range(len(string_split(text, chr(10))))) as line from documents),
+v as (select *, case when regexp_matches(text, '^\S+( \S+){0,2}$') then len(string_split(text, ' ')) end as level from l),
+k as (select doc_id, line, last_value(case when level = 1 then text end ignore nulls) over w as t1, max(case when level = 1 then line end) over w as l1, last_value(case when level = 2 then text end ignore nulls) over w as t2,
+ max(case when level = 2 then line end) over w as l2, last_value(case when level = 3 then text end ignore nulls) over w as t3, max(case when level = 3 then line end) over w as l3 from v window w as (partition by doc_id order by line rows between unbounded preceding and current row))
+select doc_id, line, concat_ws(' > ', t1, case when l2 > coalesce(l1, -1) then t2 end, case when l3 > greatest(coalesce(l1, -1), coalesce(l2, -1)) then t3 end) as heading_path from k""")
+def text_heading_paths(spark, sf_dir):
+    """The path of headings above each line of each document; a line of one, two or three words is a heading of that level."""
+    lines = P.text_sections(table(spark, sf_dir, "documents"))
+    level = F.when(F.col("text").rlike(r"^\S+( \S+){0,2}$"), F.size(F.split("text", " ", -1)))
+    return P.heading_paths(lines, "doc_id", "line", level, 3).select("doc_id", "line", "heading_path")
+
+
 @query(r"""select count(*) as lines, count(*) as intact from (select doc_id, unnest(string_split(text, chr(10))) from documents)""")
 def span_check(spark, sf_dir):
     """Every span cut from its document again by its offsets."""

@@ -173,6 +173,14 @@ def test_sections_stand_under_their_heading(spark):
     assert [r["heading"] for r in got] == ["# A", "# A", "## B", "## B"] and all(text[r["start"] : r["end"]] == r["text"] for r in got)
 
 
+def test_heading_paths_drop_deeper_levels(spark):
+    text = "intro\n# A\nx\n### deep\n## B\ny\n# C\nz"
+    lines = pages.text_sections(spark.createDataFrame([(1, text), (2, "no heading"), (3, None)], "doc_id long, text string"))
+    level = F.when(F.col("text").rlike("^#+ "), F.length(F.regexp_extract("text", "^#+", 0)))
+    got = [(r["doc_id"], r["heading_path"]) for r in pages.heading_paths(lines, "doc_id", "line", level).orderBy("doc_id", "line").collect()]
+    assert got == [(1, p) for p in ("", "# A", "# A", "# A > ### deep", "# A > ## B", "# A > ## B", "# C", "# C")] + [(2, "")]
+
+
 def test_imports_are_idempotent_and_refuse_changes(spark, tmp_path):
     path = f"{tmp_path}/assets"
     rows = spark.createDataFrame([("a", "1"), ("b", "2")], "id string, sha string")
