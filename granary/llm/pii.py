@@ -24,6 +24,7 @@ gives none.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -205,6 +206,20 @@ def fit_classifier(yes: dict[str, float], counts: dict[str, float], rounds: int
     return scores
 
 
+def _meets(x: Column, spans: Column) -> Column:
+    """Whether x overlaps one of spans, which are disjoint and in order: the last one that begins before x ends is searched for by halving."""
+    n = F.size(spans)
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.shiftright(acc["low"] + acc["high"], 1)
+        before = F.get(spans, middle)["start"] < x["end"]
+        open_ = acc["low"] < acc["high"]
+        return F.struct(F.when(open_ & before, middle + 1).otherwise(acc["low"]).alias("low"), F.when(open_ & ~before, middle).otherwise(acc["high"]).alias("high"))
+
+    begun = F.aggregate(F.sequence(F.lit(1), F.length(F.bin(n))), F.struct(F.lit(0).alias("low"), n.alias("high")), halve, lambda acc: acc["low"])
+    return F.when(n > 0, F.coalesce(F.get(spans, begun - 1)["end"] > x["start"], F.lit(False))).otherwise(False)
+
+
 def candidates(docs: DataFrame, kept: list[str]) -> DataFrame:
     """row (a struct of the columns ``kept`` of docs) and found: kind, start, end, base, votes of every base span and every tight candidate that overlaps none."""
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\u0001\u0002", "\u0003\u0003")
@@ -212,9 +227,10 @@ def candidates(docs: DataFrame, kept: list[str]) -> DataFrame:
     rows = rows.select("row", *[_matches(F.col("t"), p, NEEDS[f"{name}_{k}"]).alias(f"{name}_{k}") for name, group in (("b", BASE), ("t", TIGHT)) for k, p in group.items()])
     rows = rows.select("row", *[F.filter(_spans(f"{name}_{k}", i, name == "b"), _valid).alias(f"{name}_{k}") for name in "bt" for i, k in enumerate(KINDS)])
     base, tight = F.concat(*[F.col(f"b_{k}") for k in KINDS]), F.concat(*[F.col(f"t_{k}") for k in KINDS])
-    rows = rows.select("row", base.alias("base"), tight.alias("tight"))
-    apart = F.filter("tight", lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    rows = rows.select("row", F.concat("base", F.when(F.size("tight") > 0, apart).otherwise(F.col("tight"))).alias("found"))
+    rows = rows.select("row", *[f"b_{k}" for k in KINDS], tight.alias("tight"))
+    # The base spans of one kind are disjoint and in order, those of several kinds may not be.
+    apart = F.filter("tight", lambda x: ~reduce(Column.__or__, [_meets(x, F.col(f"b_{k}")) for k in KINDS]))
+    rows = rows.select("row", F.concat(base, F.when(F.size("tight") > 0, apart).otherwise(F.col("tight"))).alias("found"))
     return rows.select("row", F.transform("found", lambda x: F.struct(x["kind"], x["start"], x["end"], x["base"], _votes(x).alias("votes"))).alias("found"))
 
 
@@ -239,11 +255,13 @@ def _decided(found: DataFrame, model: dict[int, dict[str, float]], threshold: fl
     good = sorted(f"{kind}:{p}" for kind, scores in model.items() for p, s in scores.items() if s >= threshold)
     wanted = F.array(*[F.lit(g) for g in good]) if good else F.array().cast("array<string>")
     key = lambda x: F.concat(x["kind"].cast("string"), F.lit(":"), x["votes"])
-    kept = F.filter("found", lambda x: x["base"] | F.array_contains(wanted, key(x)))
-    added = F.filter(kept, lambda x: ~x["base"])
-    # Two added spans of different kinds may overlap: the kind listed first stays.
-    apart = F.filter(kept, lambda x: x["base"] | ~F.exists(added, lambda y: (y["kind"] < x["kind"]) & (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    return found.select("row", F.array_sort(F.transform(apart, lambda x: F.struct(x["kind"], x["start"], x["end"], x["base"]))).alias("spans"))
+    good_ones = found.select("row", F.filter("found", lambda x: x["base"] | F.array_contains(wanted, key(x))).alias("kept"))
+    # Two added spans of different kinds may overlap: the kind listed first stays. Those of one kind are disjoint and in order.
+    added = [F.filter("kept", lambda x, i=i: ~x["base"] & (x["kind"] == i)).alias(f"added_{i}") for i in range(len(KINDS) - 1)]
+    rows = good_ones.select("row", "kept", *added)
+    covered = lambda x: reduce(Column.__or__, [(x["kind"] > i) & _meets(x, F.col(f"added_{i}")) for i in range(len(KINDS) - 1)])
+    apart = F.filter("kept", lambda x: x["base"] | ~covered(x))
+    return rows.select("row", F.array_sort(F.transform(apart, lambda x: F.struct(x["kind"], x["start"], x["end"], x["base"]))).alias("spans"))
 
 
 def personal_data(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -373,3 +373,32 @@ def test_scores_depend_on_the_text_alone():
         assert not any(alone[t].any() for t in ("", None, " \n"))
     # Own grams of "A.", with its two edges: 3 of two signs, 2 of three, 1 of four, and the word.
     assert quality.FEATURES.counts(["A."]).sum() == 7
+
+
+def test_overlaps_are_searched_in_order(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(60):
+        ends = np.sort(rng.choice(200, 2 * rng.integers(0, 14), replace=False)).tolist()
+        asked = [(a, a + int(rng.integers(1, 20))) for a in rng.integers(0, 200, 30).tolist()]
+        rows.append((i, list(zip(ends[::2], ends[1::2], strict=True)), asked))
+    span = "array<struct<start:int,end:int>>"
+    frame = spark.createDataFrame(rows, f"i int, spans {span}, asked {span}")
+    got = {r["i"]: r["hit"] for r in frame.select("i", F.transform("asked", lambda x: pii._meets(x, F.col("spans"))).alias("hit")).collect()}
+    for i, spans, asked in rows:
+        assert got[i] == [any(s < b and a < e for s, e in spans) for a, b in asked]
+
+
+def test_many_spans_in_one_text(spark):
+    import time
+
+    def asked(n):
+        text = " ".join(f"call (212) 555-{i % 10000:04d} or write to u{i}@h{i}.org" for i in range(n))
+        began = time.time()
+        row = pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+        assert row["n_email"] == n and row["n_added"] in (0, n)
+        return time.time() - began
+
+    asked(100)
+    half, whole = asked(10_000), asked(20_000)
+    assert whole < 3 * half + 2, (half, whole)
