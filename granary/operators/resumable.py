@@ -97,7 +97,8 @@ def resume(targets: DataFrame, key: str, content: str, extract: Callable[[DataFr
         if before is not None:
             held = before.where(F.col("shard").isin(changed)).join(plan.where("step = 'reused'").select("key"), "key", "left_semi")
             out = out.unionByName(held.select(*out.columns))
-        out.repartition("shard").write.partitionBy("shard").parquet(f"{root}/{folder}")
+        # A shard may be written by several tasks, so that none holds one of them whole.
+        out.hint("rebalance", "shard").write.partitionBy("shard").parquet(f"{root}/{folder}")
         filled = spark.read.parquet(f"{root}/{folder}").groupBy("shard").agg(F.count_if((F.col("run") == run) & F.col("error").isNotNull()).alias("failed")).collect() if not _is_empty(root, folder) else []
         failed = sum(r["failed"] for r in filled)
         holders = {s: r for s, r in state["at"].items() if int(s) not in changed} | {str(r["shard"]): folder for r in filled}
