@@ -33,6 +33,12 @@ _KNOWN = {"type", "enum", "const", "minimum", "maximum", "exclusiveMinimum", "ex
 _NONE = "cast(array() as array<struct<path:string,rule:string>>)"
 
 
+def _seen(value: Column, schema: dict | bool, path: Column) -> Column:
+    """Breaches of a value; the value and its shape are computed once for a row, however often the rules name them."""
+    pair = F.struct(value.alias("v"), F.schema_of_variant(value).alias("shape"))
+    return F.get(F.transform(F.array(pair), lambda x: _joined(_check(x, schema, path))), F.lit(0))
+
+
 def _as(value: Column, kind: str) -> Column:
     return F.try_variant_get(value, "$", kind)
 
@@ -49,9 +55,9 @@ def _form(value: Column) -> Column:
 
 
 def _is(value: Column, name: str) -> Column:
-    shape = F.schema_of_variant(value)
+    shape = value["shape"]
     if name == "integer":
-        number = _as(value, "double")
+        number = _as(value["v"], "double")
         return F.when(shape.rlike(_NUMBER), number == F.floor(number)).otherwise(False)
     if name not in _TYPES:
         raise ValueError(f"no such type: {name}")
@@ -63,7 +69,7 @@ def _step(path: Column, name: str) -> Column:
 
 
 def _check(value: Column, schema: dict | bool, path: Column) -> list[Column]:
-    """Arrays of breaches of a value, which is there."""
+    """Arrays of breaches of a value (v) of a shape, which is there."""
     if isinstance(schema, bool):
         return [] if schema else [F.array(F.struct(path.alias("path"), F.lit("false").alias("rule")))]
     unknown = schema.keys() - _KNOWN - _SILENT
@@ -80,8 +86,8 @@ def _check(value: Column, schema: dict | bool, path: Column) -> list[Column]:
         out.append(breach(~reduce(Column.__or__, [_is(value, n) for n in names]), "type"))
     for word, allowed in (("enum", schema.get("enum")), ("const", [schema["const"]] if "const" in schema else None)):
         if allowed is not None:
-            out.append(breach(~_form(value).isin([_spelled(x) for x in allowed]), word))
-    number, text = F.when(_is(value, "number"), _as(value, "double")), F.when(_is(value, "string"), _as(value, "string"))
+            out.append(breach(~_form(value["v"]).isin([_spelled(x) for x in allowed]), word))
+    number, text = F.when(_is(value, "number"), _as(value["v"], "double")), F.when(_is(value, "string"), _as(value["v"], "string"))
     for word, bad in {"minimum": Column.__lt__, "maximum": Column.__gt__, "exclusiveMinimum": Column.__le__, "exclusiveMaximum": Column.__ge__}.items():
         if word in schema:
             out.append(breach(bad(number, F.lit(float(schema[word]))), word))
@@ -101,11 +107,11 @@ def _check(value: Column, schema: dict | bool, path: Column) -> list[Column]:
 def _check_object(value: Column, schema: dict, path: Column, breach) -> list[Column]:
     if not schema.keys() & {"required", "properties", "additionalProperties"}:
         return []
-    members = F.when(_is(value, "object"), _as(value, "map<string,variant>"))
+    members = F.when(_is(value, "object"), _as(value["v"], "map<string,variant>"))
     names, out, none = F.map_keys(members), [], F.expr(_NONE)
     out += [breach(~F.array_contains(names, n), f"required:{n}") for n in schema.get("required", [])]
     for name, inner in schema.get("properties", {}).items():
-        found = _joined(_check(F.element_at(members, name), inner, _step(path, name)))
+        found = _seen(F.element_at(members, name), inner, _step(path, name))
         out.append(F.when(F.coalesce(F.array_contains(names, name), F.lit(False)), found).otherwise(none))
     rest = schema.get("additionalProperties", True)
     if rest is not True:
@@ -114,7 +120,7 @@ def _check_object(value: Column, schema: dict, path: Column, breach) -> list[Col
         if rest is False:
             out.append(F.coalesce(F.transform(F.array_sort(F.map_keys(others)), lambda k: F.struct(path.alias("path"), F.concat(F.lit("additional:"), k).alias("rule"))), none))
         else:
-            each = F.transform(F.map_entries(others), lambda e: _joined(_check(e["value"], rest, F.concat(path, F.lit("."), e["key"]))))
+            each = F.transform(F.map_entries(others), lambda e: _seen(e["value"], rest, F.concat(path, F.lit("."), e["key"])))
             out.append(F.coalesce(F.flatten(each), none))
     return out
 
@@ -122,7 +128,7 @@ def _check_object(value: Column, schema: dict, path: Column, breach) -> list[Col
 def _check_array(value: Column, schema: dict, path: Column, breach) -> list[Column]:
     if not schema.keys() & {"items", "minItems", "maxItems", "uniqueItems"}:
         return []
-    elements, out = F.when(_is(value, "array"), _as(value, "array<variant>")), []
+    elements, out = F.when(_is(value, "array"), _as(value["v"], "array<variant>")), []
     if "minItems" in schema:
         out.append(breach((F.size(elements) < schema["minItems"]) & elements.isNotNull(), "minItems"))
     if "maxItems" in schema:
@@ -131,7 +137,7 @@ def _check_array(value: Column, schema: dict, path: Column, breach) -> list[Colu
         spelled = F.transform(elements, _form)
         out.append(breach(F.size(F.array_distinct(spelled)) < F.size(spelled), "uniqueItems"))
     if "items" in schema:
-        each = F.transform(elements, lambda x, i: _joined(_check(x, schema["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
+        each = F.transform(elements, lambda x, i: _seen(x, schema["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
         out.append(F.coalesce(F.flatten(each), F.expr(_NONE)))
     return out
 
@@ -156,7 +162,7 @@ def breaches(text: Column, schema: dict) -> Column:
     """Array of (path, rule) for a JSON text; empty if it keeps the schema."""
     value = F.try_parse_json(text)
     wrong = F.array(F.struct(F.lit("$").alias("path"), F.lit("json").alias("rule")))
-    return F.when(text.isNull(), F.expr(_NONE)).when(value.isNull(), wrong).otherwise(_joined(_check(value, schema, F.lit("$"))))
+    return F.when(text.isNull(), F.expr(_NONE)).when(value.isNull(), wrong).otherwise(_seen(value, schema, F.lit("$")))
 
 
 def canonical(text: Column) -> Column:
