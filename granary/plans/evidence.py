@@ -100,11 +100,23 @@ def page_languages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.language_hint(url).alias("hint"), policy.alias("p")).select("page_id", "hint", "p.language", "p.method", F.size("p.flags").alias("flags"))
 
 
-@query(r"""select page_id, 'utf-8' as encoding, lower(regexp_extract(html, 'charset\s*=\s*["'']?([a-zA-Z0-9_-]+)', 1)) as declared, strlen(html)::bigint as bytes from pages""")
+@query(r"""select page_id, case when html is not null then 'utf-8' end as encoding, lower(regexp_extract(html, 'charset\s*=\s*["'']?([a-zA-Z0-9_-]+)', 1)) as declared, strlen(html)::bigint as bytes,
+case when html is not null then case page_id % 6 when 0 then 'utf-8' when 1 then 'utf-8-sig' when 2 then 'utf-16' when 3 then 'iso-8859-1' when 4 then 'windows-1252' end end as made_encoding, html is null or page_id % 6 = 5 as undecodable from pages""")
 def page_encodings(spark, sf_dir):
-    """I16: the encoding of each page's bytes by mark, validity, declared charset (tried before it is believed) and fallback, and what it declares."""
-    raw = F.col("html").cast("binary")
-    return table(spark, sf_dir, "pages").select("page_id", U.encoding(raw).alias("encoding"), U.charset(raw).alias("declared"), F.octet_length("html").cast("long").alias("bytes"))
+    """I16: the encoding of each page's bytes by mark, validity, declared charset (tried before it is believed) and fallback, and what it declares.
+
+    The tables hold UTF-8 only, so the bytes are also made of each whole page by rule, in one of six forms, and found out again.
+    """
+    html, k, bad = F.col("html"), F.col("page_id") % 6, F.unhex(F.lit("E9"))
+    raw = html.cast("binary")
+    # Without a declaration the fallback is tried; it lacks some bytes that UTF-8 has, so these pages keep ASCII only.
+    ascii = F.regexp_replace(F.regexp_replace(html, "(?i)charset", ""), r"[^\x00-\x7F]", "?").cast("binary")
+    made = (
+        F.when(k == 0, raw).when(k == 1, F.concat(F.unhex(F.lit("EFBBBF")), raw)).when(k == 2, F.concat(F.unhex(F.lit("FFFE")), F.encode(html, "UTF-16LE")))
+        .when(k == 3, F.concat(bad, F.encode(F.lit("<meta charset='ISO-8859-1'>"), "UTF-8"), raw)).when(k == 4, F.concat(bad, ascii)).otherwise(F.concat(bad, F.unhex(F.lit("81")), ascii))
+    )
+    found = U.encoding(made)
+    return table(spark, sf_dir, "pages").select("page_id", U.encoding(raw).alias("encoding"), U.charset(raw).alias("declared"), F.octet_length(html).cast("long").alias("bytes"), found.alias("made_encoding"), found.isNull().alias("undecodable"))
 
 
 @query(r"""with f as (select doc_id, case doc_id % 4 when 0 then 'pdf' when 1 then 'html' when 2 then 'TXT' else 'md' end as suffix, text, coalesce(strlen(text), 0) as bytes, doc_id % 11 = 3 as flagged, doc_id % 13 = 5 as broken from documents)

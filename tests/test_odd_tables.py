@@ -30,3 +30,9 @@ def test_references_without_semicolon_stay(spark, tmp_path):
 def test_pages_with_one_url_are_each_extracted(spark, tmp_path):
     html = [(f"http://a.example/{u}", h) for u in range(12) for h in (PAGE.format(1), PAGE.format(2), PAGE.format(2), PAGE.replace(">t<", "><"))] + [(None, PAGE), ("http://a.example/none", None)]
     assert len(agree(spark, tmp_path, "resumed_extraction", pages=([(k, *h) for k, h in enumerate(html)], "page_id long, url string, html string"))) == 50
+
+
+def test_pages_are_found_out_in_every_form_of_bytes(spark, tmp_path):
+    html = [f"<meta charset=utf-8>ŝé{k}" for k in range(12)] + ["", None]
+    agree(spark, tmp_path, "page_encodings", pages=([(k, h) for k, h in enumerate(html)], "page_id long, html string"))
+    assert {r["made_encoding"] for r in catalog.QUERIES["page_encodings"](spark, str(tmp_path)).collect()} == {"utf-8", "utf-8-sig", "utf-16", "iso-8859-1", "windows-1252", None}
