@@ -1,5 +1,7 @@
 """Queries against their SQL on small tables with the oddities that the ordinary ones lack."""
 
+import random
+
 import duckdb
 
 from granary.plans import catalog
@@ -36,3 +38,11 @@ def test_pages_are_found_out_in_every_form_of_bytes(spark, tmp_path):
     html = [f"<meta charset=utf-8>ŝé{k}" for k in range(12)] + ["", None]
     agree(spark, tmp_path, "page_encodings", pages=([(k, h) for k, h in enumerate(html)], "page_id long, html string"))
     assert {r["made_encoding"] for r in catalog.QUERIES["page_encodings"](spark, str(tmp_path)).collect()} == {"utf-8", "utf-8-sig", "utf-16", "iso-8859-1", "windows-1252", None}
+
+
+def test_equal_labels_are_members_of_a_class(spark, tmp_path):
+    words, rng = [f"w{k}" for k in range(40)], random.Random(3)
+    lines = ["a b c"] * 150 + ["c b a"] * 50 + [" ".join(rng.sample(words[: rng.choice((6, 12, 40))], rng.randint(1, 6))) for _ in range(200)] + [None, ""]
+    docs = ([(k, None if t is None else f"{t}\nx", rng.choice(["de", "fr", None]) if k >= 200 else "de") for k, t in enumerate(lines)], "doc_id long, text string, lang string")
+    assert len(agree(spark, tmp_path, "similar_label_pairs", documents=docs)) < 1000
+    assert agree(spark, tmp_path, "similar_label_classes", documents=docs)
