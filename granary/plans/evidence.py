@@ -175,8 +175,7 @@ select start, node as nearest, depth::int as depth from (select *, row_number()
 def nearest_of_kind(spark, sf_dir):
     """H2: the nearest ancestor of a kind (here keys divisible by five), itself included, by depth and then id."""
     edges = _edges(spark, sf_dir)
-    reached = graph.reach(edges, edges.select(F.col("src").alias("start")).distinct()).where("node % 5 = 0 and node > 0")
-    return reached.groupBy("start").agg(F.min(F.struct("depth", "node")).alias("x")).select("start", F.col("x.node").alias("nearest"), "x.depth")
+    return graph.nearest(edges, edges.select(F.col("src").alias("start")), (F.col("node") % 5 == 0) & (F.col("node") > 0)).select("start", F.col("node").alias("nearest"), "depth")
 
 
 @query(f"""with recursive {_EDGES}, k as (select src, dst, src % 4 as kind, dst % 4 as above from edges), w as (select distinct src as start, src as node from edges union select start, dst from w join edges on node = src)
@@ -187,8 +186,11 @@ def catalogue_edges(spark, sf_dir):
     edges = _edges(spark, sf_dir)
     kind, above = F.col("src") % 4, F.col("dst") % 4
     wrong = edges.where(((kind == 0) & (above != 0)) | ((kind == 1) & (above == 3))).select(F.lit("parent kind").alias("rule"), F.concat_ws(":", "src", "dst").alias("key"))
-    below = graph.reach(edges, edges.select(F.col("src").alias("start")).distinct()).where("node in (2, 3)").groupBy("start").agg(F.count_distinct("node").alias("n")).where("n > 1")
-    return wrong.union(below.select(F.lit("several boundaries"), F.col("start").cast("string")))
+    # From the two boundaries down, not from every entry up; the root alone has no parents and is no entry here.
+    down = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    boundaries = edges.select(F.explode(F.array("src", "dst")).alias("start")).where("start in (2, 3)")
+    below = graph.reach(down, boundaries).groupBy("node").agg(F.count("*").alias("n")).where("n > 1").join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
+    return wrong.union(below.select(F.lit("several boundaries"), F.col("node").cast("string")))
 
 
 _TREES = """o as (select o_custkey as tree, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) as k, o_custkey % 6 as m from orders),
