@@ -7,10 +7,11 @@ each cut is a search in them. Texts are dealt to tasks by Spark and come in Arro
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,9 +71,18 @@ class Points:
 
 
 def _each(spans: Callable[[str], Iterator[Span]]) -> Callable[[Column], Column]:
-    @F.pandas_udf(SPANS)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if not t else [{"start": a, "end": b} for a, b in spans(t)])
+    """Spans of each text; texts leave their Arrow batch one at a time, and spans are held as two columns of numbers."""
+
+    @F.arrow_udf(SPANS)
+    def run(texts: pa.Array) -> pa.Array:
+        starts, ends, bounds = array("q"), array("q"), array("i", [0])
+        for text in texts:
+            for a, b in spans(t) if (t := text.as_py()) else ():
+                starts.append(a)
+                ends.append(b)
+            bounds.append(len(starts))
+        both = pa.StructArray.from_arrays([pa.array(np.frombuffer(x, dtype=np.int64)) if x else pa.array([], pa.int64()) for x in (starts, ends)], ["start", "end"])
+        return pa.ListArray.from_arrays(pa.array(np.frombuffer(bounds, dtype=np.int32)), both)
 
     return run
 

@@ -3,6 +3,8 @@
 import random
 
 import duckdb
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from granary.plans import catalog
 
@@ -46,3 +48,16 @@ def test_equal_labels_are_members_of_a_class(spark, tmp_path):
     docs = ([(k, None if t is None else f"{t}\nx", rng.choice(["de", "fr", None]) if k >= 200 else "de") for k, t in enumerate(lines)], "doc_id long, text string, lang string")
     assert len(agree(spark, tmp_path, "similar_label_pairs", documents=docs)) < 1000
     assert agree(spark, tmp_path, "similar_label_classes", documents=docs)
+
+
+def test_spans_are_held_as_numbers(spark):
+    import resource
+
+    from granary.functions import spans
+
+    df = spark.createDataFrame([(None,), ("",), ("one two 2020-01-02 three",)], "text string").coalesce(1)
+    assert [[tuple(x) for x in r[0]] for r in df.select(spans.mentions(F.col("text"), "[0-9-]+")).collect()] == [[], [], [(8, 18)]]
+    held = pa.array(["a " * 50_000] * 40)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    out = spans._each(lambda t: ((k, k + 1) for k in range(0, len(t), 2))).func(held)
+    assert len(out.flatten()) == 2_000_000 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 250_000  # KB; as dictionaries over 500,000
