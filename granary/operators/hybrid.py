@@ -119,14 +119,14 @@ def _channels(rows: DataFrame, vectors: DataFrame | None) -> DataFrame:
     return rows.withColumn("seen", seen).withColumn("vector", F.when(_finite("vector"), F.col("vector")))
 
 
-def to_rank(pairs: DataFrame, requests: DataFrame, evidence: DataFrame, projections: DataFrame, terminology: DataFrame, vectors: DataFrame | None, settings: Settings = Settings()) -> DataFrame:
-    """request_id, evidence_id of what all channels let in: exactly what a reranker has to score for retrieve()."""
-    rows = _channels(scored(pairs, requests, evidence, projections, terminology), vectors).where("configured")
+def to_rank(pairs: DataFrame, requests: DataFrame, evidence: DataFrame, projections: DataFrame, terminology: DataFrame, vectors: DataFrame | None, settings: Settings = Settings(), rows: DataFrame | None = None) -> DataFrame:
+    """request_id, evidence_id of what all channels let in: exactly what a reranker has to score for retrieve(); rows are those of scored(), if they are settled already."""
+    rows = _channels(scored(pairs, requests, evidence, projections, terminology) if rows is None else rows, vectors).where("configured")
     return rows.join(pooled(rows, settings).where("all_score is not null"), ["request_id", "bucket"]).select("request_id", "evidence_id")
 
 
 def retrieve(
-    pairs: DataFrame, requests: DataFrame, evidence: DataFrame, projections: DataFrame, terminology: DataFrame, vectors: DataFrame | None, ranking: DataFrame | None, settings: Settings = Settings()
+    pairs: DataFrame, requests: DataFrame, evidence: DataFrame, projections: DataFrame, terminology: DataFrame, vectors: DataFrame | None, ranking: DataFrame | None, settings: Settings = Settings(), rows: DataFrame | None = None
 ) -> DataFrame:
     """One row for each evidence that a request is given: request_id, evidence_id, score, representative_id, rank, qualified, reason, channels, degradation.
 
@@ -139,10 +139,10 @@ def retrieve(
 
     All members of a bucket that is let in come with its score; the reranker's scores replace it. rank orders the representatives of
     a request by falling score, then id, and is null for the rest. A request that is not configured is given all candidates by the tokens
-    they share with its terms. reason tells why a group's representative was chosen.
+    they share with its terms. reason tells why a group's representative was chosen. rows are those of scored(), if they are settled already.
     """
     of_request = Window.partitionBy("request_id")
-    rows = _channels(scored(pairs, requests, evidence, projections, terminology), vectors)
+    rows = _channels(scored(pairs, requests, evidence, projections, terminology) if rows is None else rows, vectors)
     plain = rows.where(~F.col("configured")).select("request_id", "evidence_id", F.col("plain").alias("score"), F.col("evidence_id").alias("representative_id"), F.lit(True).alias("qualified"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("degradation"))
     asked_at_all = requests.select("request_id", (F.size(F.coalesce("terms", F.array().cast(requests.schema["terms"].dataType))) > 0).alias("has_terms"))
     plain = plain.join(asked_at_all, "request_id").withColumn("channels", F.when(F.col("has_terms"), "concept,lexical").otherwise(PLAIN)).drop("has_terms")

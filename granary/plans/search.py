@@ -149,9 +149,11 @@ def hybrid_retrieval_whole(spark, sf_dir):
     near = settle(near.select("request_id", "evidence_id", product.alias("score")))
     inputs = (pairs, requests, evidence, projections, terminology, near)
     settings = hybrid.Settings(60, 20, 20, minimum_semantic=0.05)
-    let_in = hybrid.to_rank(*inputs, settings).join(evidence.select("evidence_id", tokens(F.col("text")).alias("w")), "evidence_id").join(requests.select("request_id", tokens(F.col("terms")[0]["text"]).alias("said")), "request_id")
+    # Texts are read for the scores of the pairs once; all that follows has numbers only.
+    rows = settle(hybrid.scored(*inputs[:5]))
+    let_in = hybrid.to_rank(*inputs, settings, rows).join(evidence.select("evidence_id", tokens(F.col("text")).alias("w")), "evidence_id").join(requests.select("request_id", tokens(F.col("terms")[0]["text"]).alias("said")), "request_id")
     ranking = let_in.select("request_id", "evidence_id", (F.size(F.array_intersect("said", "w")).cast("double") / F.greatest(F.size("w"), F.lit(1))).alias("score"))
-    found = hybrid.retrieve(*inputs, ranking, settings)
+    found = hybrid.retrieve(*inputs, settle(ranking), settings, rows)
     return found.select("request_id", "evidence_id", "score", "representative_id", "rank", "qualified")
 
 

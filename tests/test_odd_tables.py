@@ -61,3 +61,12 @@ def test_spans_are_held_as_numbers(spark):
     before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
     out = spans._each(lambda t: ((k, k + 1) for k in range(0, len(t), 2))).func(held)
     assert len(out.flatten()) == 2_000_000 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 250_000  # KB; as dictionaries over 500,000
+
+
+def test_pairs_are_scored_once(spark, monkeypatch):
+    from granary.operators import hybrid
+
+    calls, scored = [], hybrid.scored
+    monkeypatch.setattr(hybrid, "scored", lambda *a: calls.append(1) or scored(*a))
+    catalog.QUERIES["hybrid_retrieval_whole"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
