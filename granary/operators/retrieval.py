@@ -12,6 +12,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +23,8 @@ from granary.functions.text import tokens
 MAX_TOKENS, MAX_NUMBERS, MAX_HELD = 1_000_000, 8_000_000, 4_000_000
 #: Parts that a token's rows are dealt into where the requests are too many to broadcast.
 PARTS = 64
-#: Pairs of a request and a text, or scores, that a task works on at once.
-PAIRS = 1 << 21
+#: Pairs of a request and a text, or scores, that a task works on at once, and texts of an Arrow batch whose tokens it looks up at once.
+PAIRS, TEXTS = 1 << 19, 256
 
 
 class Held:
@@ -79,44 +80,59 @@ def lexical_best(requests: DataFrame, evidence: DataFrame, k: int, weight: int =
     return top_k(reduce(DataFrame.union, parts), k).drop("rank").withColumn("score", F.col("score").cast("long"))
 
 
-def _lexical_pass(asked: DataFrame, said: DataFrame, k: int, weight: int) -> DataFrame:
+def _index(asked: DataFrame) -> Broadcast:
+    """The requests (names) of asked (request_id, token), the tokens that are asked, and for each token where its requests stand in owners: token t has owners[first[t] : first[t + 1]]."""
     rows = asked.toArrow()  # bounded by the passes
     names, owner = np.unique(rows["request_id"].to_numpy(), return_inverse=True)
     coded = rows["token"].combine_chunks().dictionary_encode()
     code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     order = np.argsort(code, kind="stable")
     first = np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1))
-    shared = said.sparkSession.sparkContext.broadcast((names, coded.dictionary, first, owner[order]))
+    return asked.sparkSession.sparkContext.broadcast((names, coded.dictionary, first, owner[order]))
+
+
+def _looked_up(lists: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and code of each token of the lists that is known."""
+    at = pc.index_in(lists.flatten(), value_set=known)
+    hit = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+    row = np.repeat(np.arange(len(lists)), pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False))[hit]
+    return row, at.to_numpy(zero_copy_only=False)[hit].astype(np.int64)
+
+
+def _matched(row: np.ndarray, token: np.ndarray, worth: np.ndarray, first: np.ndarray, owners: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Request, row and score of the pairs that share a token, by row and then request; rows ascend. In blocks of whole texts with some PAIRS matches, and pairs, together."""
+    count = first[token + 1] - first[token]
+    ends, low = np.cumsum(count), 0
+    while low < len(row):
+        high = int(min(np.searchsorted(ends, (ends[low - 1] if low else 0) + PAIRS, side="right"), np.searchsorted(row, row[low] + max(PAIRS // n, 1))))
+        high = int(np.searchsorted(row, row[max(high, low + 1) - 1], side="right"))
+        many = count[low:high]
+        skip = np.repeat(first[token[low:high]] - (np.cumsum(many) - many), many)
+        cell = owners[skip + np.arange(len(skip))] + np.repeat((row[low:high] - row[low]) * n, many)
+        score = np.bincount(cell, weights=np.repeat(worth[low:high], many))
+        met = np.flatnonzero(score)
+        yield met % n, row[low] + met // n, score[met]
+        low = high
+
+
+def _lexical_pass(asked: DataFrame, said: DataFrame, k: int, weight: int) -> DataFrame:
+    shared = _index(asked)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, known, first, owners = shared.value
         held = Held(len(names), k)
-        for batch in batches:
-            ids = batch.column("evidence_id").to_numpy()
+        for part in (batch.slice(i, TEXTS) for batch in batches for i in range(0, batch.num_rows, TEXTS)):
+            ids = part.column("evidence_id").to_numpy()
             row, token, worth = [], [], []
             for column, w in (("text", 1), ("label", weight)):
-                if column in batch.schema.names:
-                    lists = batch.column(column)
-                    at = pc.index_in(lists.flatten(), value_set=known)
-                    hit = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
-                    row.append(np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy())[hit])
-                    token.append(at.to_numpy(zero_copy_only=False)[hit].astype(np.int64))
-                    worth.append(np.full(len(hit), w))
+                if column in part.schema.names:
+                    for into, new in zip((row, token), _looked_up(part.column(column), known), strict=True):
+                        into.append(new)
+                    worth.append(np.full(len(new), w))
             row, token, worth = (np.concatenate(x) for x in (row, token, worth))
             order = np.argsort(row, kind="stable")
-            row, token, worth = row[order], token[order], worth[order]
-            count = first[token + 1] - first[token]
-            ends, low = np.cumsum(count), 0
-            while low < len(row):
-                # Whole texts, of some PAIRS matches together.
-                high = max(int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PAIRS, side="right")), low + 1)
-                high = int(np.searchsorted(row, row[high - 1], side="right"))
-                n = count[low:high]
-                skip = np.repeat(first[token[low:high]] - (np.cumsum(n) - n), n)
-                pair = owners[skip + np.arange(len(skip))] * len(ids) + np.repeat(row[low:high], n)
-                pair, which = np.unique(pair, return_inverse=True)
-                held.offer(pair // len(ids), ids[pair % len(ids)], np.bincount(which, weights=np.repeat(worth[low:high], n)))
-                low = high
+            for request, at, scores in _matched(row[order], token[order], worth[order], first, owners, len(names)):
+                held.offer(request, ids[at], scores)
         yield held.rows(names)
 
     return said.mapInArrow(score, _SCORED)
