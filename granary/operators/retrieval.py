@@ -138,6 +138,58 @@ def _lexical_pass(asked: DataFrame, said: DataFrame, k: int, weight: int) -> Dat
     return said.mapInArrow(score, _SCORED)
 
 
+def lexical_members(requests: DataFrame, evidence: DataFrame) -> DataFrame:
+    """request_id, bucket, representative, members: of the evidence (evidence_id, bucket, before, after, text) of a bucket that shares a token with a request, how many there are and which stands for them: by before, then falling score, then after, then id.
+
+    Ids are unique, numbers are longs. A text moves once, as the codes of those of its tokens that are asked, to the task of its bucket. There texts are
+    scored by bucket, and a task holds the best of each request in the bucket that it is at, so that no pair is moved or kept.
+    """
+    asked = requests.where("request_id is not null").select("request_id", F.explode(tokens(F.col("text"))).alias("token"))
+    said = evidence.where("evidence_id is not null and bucket is not null").select("bucket", "before", "after", "evidence_id", tokens(F.coalesce("text", F.lit(""))).alias("codes"))
+    return reduce(DataFrame.union, [_members_pass(part, said) for part in _passes(asked, max(1, -(-asked.count() // MAX_TOKENS)))])
+
+
+def _members_pass(asked: DataFrame, said: DataFrame) -> DataFrame:
+    shared = _index(asked)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value[1]
+        for part in (batch.slice(i, TEXTS) for batch in batches for i in range(0, batch.num_rows, TEXTS)):
+            row, token = _looked_up(part.column("codes"), known)
+            bounds = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(token.astype(np.int32)))
+            some = pa.array(np.diff(bounds) > 0)
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], lists], names=part.schema.names).filter(some)
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, _, first, owners = shared.value
+        kept = None
+        for part in (batch.slice(i, TEXTS) for batch in batches for i in range(0, batch.num_rows, TEXTS)):
+            bucket, before, after, ids = (c.to_numpy() for c in part.columns[:4])
+            lists = part.column("codes")
+            row, token = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy().astype(np.int64)
+            for request, at, scores in _matched(row, token, np.ones(len(row)), first, owners, len(names)):
+                rows = [bucket[at], request, before[at], -scores, after[at], ids[at], np.ones(len(at), dtype=np.int64)]
+                if kept is not None:
+                    rows = [np.concatenate(x) for x in zip(kept, rows, strict=True)]
+                order = np.lexsort(rows[5::-1])
+                rows = [x[order] for x in rows]
+                start = np.flatnonzero(np.append(True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])))
+                best = [*(x[start] for x in rows[:6]), np.add.reduceat(rows[6], start)]
+                last = best[0] == rows[0][-1]
+                kept = [x[last] for x in best]
+                yield result(names, [x[~last] for x in best])
+        if kept is not None:
+            yield result(names, kept)
+
+    def result(names: np.ndarray, best: list[np.ndarray]) -> pa.RecordBatch:
+        columns = {"request_id": names[best[1]], "bucket": best[0], "representative": best[5], "members": best[6]}
+        return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
+
+    coded = said.mapInArrow(code, "bucket long, before long, after long, evidence_id long, codes array<int>")
+    return coded.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(members, "request_id long, bucket long, representative long, members long")
+
+
 def lexical_scores(requests: DataFrame, evidence: DataFrame, labels: DataFrame | None = None, weight: int = 1) -> DataFrame:
     """request_id, evidence_id, score: how many distinct tokens of the request the evidence has, if any, and ``weight`` times those of its labels.
 

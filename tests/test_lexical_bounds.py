@@ -1,10 +1,57 @@
 """What is asked of all pairs of requests and texts stays in bounds, and equals plain forms and SQL on odd tables."""
 
+import random
 import tracemalloc
 
 import numpy as np
+import pytest
 
 from granary.operators import retrieval
+from granary.plans import catalog
+from tests.test_odd_tables import agree
+
+WORDS = "a b c d e f g h Éa é 12 x_y".split()
+
+
+@pytest.fixture
+def odd():
+    """Documents with null texts and languages, empty texts, gaps between ids and ties of score, and requests that say nothing."""
+    rng = random.Random(3)
+    said = lambda n: " ".join(rng.choices(WORDS, k=rng.randrange(n)))
+    docs = [(i, rng.choice([None, said(7), said(7), said(3)]), rng.choice([None, "de", "en"]), f"src{i % 5}") for i in rng.sample(range(400), 300)]
+    asked = [(i, rng.choice([None, "", said(5), said(5), said(5)])) for i in range(40)]
+    return {"documents": (docs, "doc_id long, text string, lang string, source string"), "benchmark": (asked, "item_id long, text string")}
+
+
+def small(monkeypatch):
+    for name, value in (("PAIRS", 7), ("TEXTS", 3), ("MAX_TOKENS", 30)):
+        monkeypatch.setattr(retrieval, name, value)
+
+
+def test_members_of_buckets_agree_with_sql(spark, tmp_path, odd, monkeypatch):
+    want = agree(spark, tmp_path, "representatives", **odd)
+    small(monkeypatch)
+    assert agree(spark, tmp_path, "representatives", **odd) == want and len(want) > 100
+
+
+def test_members_of_a_large_bucket(spark, monkeypatch):
+    """A bucket is held as one row for each request, however many members it has and wherever batches end."""
+    small(monkeypatch)
+    asked = spark.createDataFrame([(1, "a b"), (2, "b c"), (3, "z")], "request_id long, text string")
+    docs = [(i, i // 100, i % 2, 0 if i % 3 else 1, "abcd"[i % 4] + " b" * (i % 7 == 0)) for i in range(250)]
+    said = spark.createDataFrame(docs, "evidence_id long, bucket long, before long, after long, text string").repartition(3)
+    want = {}
+    for i, bucket, before, after, text in docs:
+        for r, words in ((1, {"a", "b"}), (2, {"b", "c"})):
+            if score := len(words & set(text.split())):
+                want.setdefault((r, bucket), []).append((before, -score, after, i))
+    got = sorted(map(tuple, retrieval.lexical_members(asked, said).collect()))
+    assert got == sorted((*k, min(v)[-1], len(v)) for k, v in want.items())
+
+
+def test_pairs_are_not_aggregated(spark):
+    plan = catalog.QUERIES["representatives"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan
 
 
 def test_matches_of_texts_come_in_blocks():
