@@ -15,8 +15,10 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.functions.text import tokens
+from granary.operators.tables import settle
 
 
 #: Rows of request tokens, numbers of request vectors, and held places (requests times k) that go to every task in one pass.
@@ -57,6 +59,37 @@ class Held:
         return pa.RecordBatch.from_arrays([pa.array(names[r]), pa.array(self.ids[r, c]), pa.array(self.scores[r, c])], ["request_id", "evidence_id", "score"])
 
 
+class HeldReferences(Held):
+    """The k best references of each of n requests so far, each with its best row: what is not among them in a task that has the best row of a reference is not among the best of all."""
+
+    def __init__(self, n: int, k: int):
+        super().__init__(n, k)
+        self.refs = np.full((n, k), self.NONE)
+
+    def offer_of(self, request: np.ndarray, refs: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        worst, worst_id = self.scores[request, -1], self.ids[request, -1]
+        better = np.flatnonzero((scores > worst) | ((scores == worst) & (scores > 0) & (ids < worst_id)))
+        if not len(better):
+            return
+        touched = np.unique(request[better])
+        r = np.concatenate([request[better], np.repeat(touched, self.k)])
+        f, i, s = (np.concatenate([new[better], old[touched].ravel()]) for new, old in ((refs, self.refs), (ids, self.ids), (scores, self.scores)))
+        order = np.lexsort((i, -s, f, r))
+        r, f, i, s = r[order], f[order], i[order], s[order]
+        first = np.append(True, (r[1:] != r[:-1]) | (f[1:] != f[:-1])) & (s > 0)
+        r, f, i, s = r[first], f[first], i[first], s[first]
+        order = np.lexsort((i, -s, r))
+        r, f, i, s = r[order], f[order], i[order], s[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        kept = place < self.k
+        at = (r[kept], place[kept])
+        self.refs[at], self.ids[at], self.scores[at] = f[kept], i[kept], s[kept]
+
+    def rows(self, names: np.ndarray) -> pa.RecordBatch:
+        r, c = np.nonzero(self.scores > 0)
+        return pa.RecordBatch.from_arrays([pa.array(names[r]), pa.array(self.refs[r, c]), pa.array(self.ids[r, c]), pa.array(self.scores[r, c])], ["request_id", "ref", "evidence_id", "score"])
+
+
 _SCORED = "request_id long, evidence_id long, score double"
 
 
@@ -190,6 +223,50 @@ def _members_pass(asked: DataFrame, said: DataFrame) -> DataFrame:
     return coded.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(members, "request_id long, bucket long, representative long, members long")
 
 
+def lexical_within_references(requests: DataFrame, evidence: DataFrame, eligible: Column, references: int, most: int) -> DataFrame:
+    """within_references() of lexical_scores() over the pairs of requests (request_id, text and more) and evidence (evidence_id, ref, text and more) that are ``eligible``, a condition on what both have more.
+
+    Ids are unique, refs are longs. Pairs are made, judged and dropped where the text lies; a task keeps of each request the best row of its best references. The references that
+    are best over all tasks are those that the walk meets first, and only their evidence is scored again, all of it.
+    """
+    asked = requests.where("request_id is not null").select("request_id", F.explode(tokens(F.col("text"))).alias("token"))
+    n, distinct = asked.agg(F.count("*"), F.count_distinct("request_id")).first()
+    parts = [_references_pass(part, requests.drop("text"), evidence, eligible, references) for part in _passes(asked, max(1, -(-n // MAX_TOKENS), -(-distinct * references // MAX_HELD)))]
+    held = settle(_first_references(reduce(DataFrame.union, parts), references))
+    said = requests.withColumn("said", tokens(F.col("text"))).drop("text")
+    rows = evidence.join(held, "ref").join(said, "request_id").where(eligible).select("request_id", "evidence_id", "ref", F.size(F.array_intersect(tokens(F.col("text")), "said")).cast("long").alias("score"))
+    return top_k(rows.where("score > 0"), most)
+
+
+def _references_pass(asked: DataFrame, requests: DataFrame, evidence: DataFrame, eligible: Column, references: int) -> DataFrame:
+    shared = _index(asked)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, known, first, owners = shared.value
+        for part in (batch.slice(i, TEXTS) for batch in batches for i in range(0, batch.num_rows, TEXTS)):
+            row, token = _looked_up(part.column("said"), known)
+            for request, at, scores in _matched(row, token, np.ones(len(row)), first, owners, len(names)):
+                low, high = int(at[0]), int(at[-1]) + 1
+                bounds = np.searchsorted(at, np.arange(low, high + 1)).astype(np.int32)
+                hits = pa.StructArray.from_arrays([pa.array(names[request]), pa.array(scores)], ["request_id", "score"])
+                rest = part.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([*rest.columns[:-1], pa.ListArray.from_arrays(pa.array(bounds), hits)], names=[*part.schema.names[:-1], "hits"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = shared.value[0]
+        held = HeldReferences(len(names), references)
+        for batch in batches:
+            request, *rest = (batch.column(c).to_numpy() for c in ("request_id", "ref", "evidence_id", "score"))
+            held.offer_of(np.searchsorted(names, request), *rest)
+        yield held.rows(names)
+
+    about = [c for c in evidence.columns if c != "text"]
+    said = evidence.where("evidence_id is not null and ref is not null").select(*about, tokens(F.coalesce("text", F.lit(""))).alias("said"))
+    hits = said.mapInArrow(score, said.select(*about).schema.add("hits", T.ArrayType(T.StructType().add("request_id", "long").add("score", "double"))))
+    pairs = hits.select(*about, F.inline("hits")).join(F.broadcast(requests), "request_id").where(eligible)
+    return pairs.select("request_id", "ref", "evidence_id", "score").mapInArrow(best, "request_id long, ref long, evidence_id long, score double")
+
+
 def lexical_scores(requests: DataFrame, evidence: DataFrame, labels: DataFrame | None = None, weight: int = 1) -> DataFrame:
     """request_id, evidence_id, score: how many distinct tokens of the request the evidence has, if any, and ``weight`` times those of its labels.
 
@@ -257,10 +334,14 @@ def within_references(scored: DataFrame, references: int, most: int) -> DataFram
 
     With one ref to a row the walk takes what belongs to the refs that come first, so no request is gathered into one row.
     """
+    return top_k(scored.join(_first_references(scored, references), ["request_id", "ref"]), most)
+
+
+def _first_references(scored: DataFrame, references: int) -> DataFrame:
+    """request_id, ref: the refs of each request that its best rows belong to."""
     best = F.max(F.struct("score", (-F.col("evidence_id")).alias("i"))).alias("best")
     order = Window.partitionBy("request_id").orderBy(F.col("best").desc())
-    held = scored.groupBy("request_id", "ref").agg(best).withColumn("n", F.row_number().over(order)).where(F.col("n") <= references)
-    return top_k(scored.join(held.select("request_id", "ref"), ["request_id", "ref"]), most)
+    return scored.groupBy("request_id", "ref").agg(best).withColumn("n", F.row_number().over(order)).where(F.col("n") <= references).select("request_id", "ref")
 
 
 def top_k(scored: DataFrame, k: int, by: str = "request_id", item: str = "evidence_id") -> DataFrame:

@@ -5,6 +5,7 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from granary.operators import retrieval
 from granary.plans import catalog
@@ -54,6 +55,36 @@ def test_pairs_are_not_aggregated(spark):
     assert "HashAggregate" not in plan
 
 
+@pytest.mark.parametrize("bounded", [False, True])
+def test_walk_of_references_where_texts_lie(spark, tmp_path, odd, monkeypatch, bounded):
+    if bounded:
+        small(monkeypatch)
+        monkeypatch.setattr(retrieval, "MAX_HELD", 50)
+    assert len(agree(spark, tmp_path, "grounded_selection", **odd)) > 10
+    asked = spark.createDataFrame(*odd["benchmark"]).toDF("request_id", "text").withColumn("least", F.col("request_id") % 3)
+    docs = spark.createDataFrame(*odd["documents"]).select(F.col("doc_id").alias("evidence_id"), "text", (F.col("doc_id") % 11).alias("ref"), (F.col("doc_id") % 4).alias("level")).repartition(4)
+    may = F.col("level") >= F.col("least")
+    scored = retrieval.lexical_scores(asked, docs).join(docs.drop("text"), "evidence_id").join(asked.drop("text"), "request_id").where(may)
+    want = retrieval.within_references(scored, 4, 9).select("request_id", "evidence_id", "score", "rank")
+    got = retrieval.lexical_within_references(asked, docs, may, 4, 9).select("request_id", "evidence_id", "score", "rank")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_held_references_are_the_best_of_all():
+    rng = np.random.default_rng(5)
+    request, ids = np.repeat(np.arange(6), 500), np.tile(np.arange(500), 6)
+    refs, scores = ids % 37, rng.integers(1, 9, 3000).astype(float)
+    held = retrieval.HeldReferences(6, 5)
+    for part in np.array_split(rng.permutation(3000), 60):
+        held.offer_of(request[part], refs[part], ids[part], scores[part])
+    for r in range(6):
+        best = {}
+        for s, i in sorted(zip(-scores[request == r], ids[request == r], strict=True)):
+            best.setdefault(i % 37, (s, i))
+        want = sorted(best.values())[:5]
+        assert list(zip(-held.scores[r], held.ids[r], strict=True)) == want and list(held.refs[r]) == [i % 37 for _, i in want]
+
+
 def test_matches_of_texts_come_in_blocks():
     """Four million matches of 2,000 texts with 500 requests take some MB, not some for each match."""
     first, owners = np.arange(0, 2001, 500), np.tile(np.arange(500), 4)
