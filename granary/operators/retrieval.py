@@ -172,16 +172,17 @@ def _lexical_pass(asked: DataFrame, said: DataFrame, k: int, weight: int) -> Dat
 
 
 def coded(df: DataFrame, words: str, vocabulary: DataFrame) -> DataFrame:
-    """df with its column of distinct words as integers of those that vocabulary (token, distinct) has, or as it is if that has more than MAX_TOKENS: what two lists have in common stays."""
+    """df with its column of words as distinct integers of those that vocabulary (token, distinct) has, or as distinct words if that has more than MAX_TOKENS: what two lists have in common stays."""
     known = vocabulary.limit(MAX_TOKENS + 1).toArrow()
     if known.num_rows > MAX_TOKENS:
-        return df
+        return df.withColumn(words, F.array_distinct(words))
     shared = df.sparkSession.sparkContext.broadcast(known["token"].combine_chunks())
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (batch.slice(i, TEXTS) for batch in batches for i in range(0, batch.num_rows, TEXTS)):
             lists = part.column(words)
             row, token = _looked_up(lists, shared.value)
+            row, token = np.divmod(np.unique(row * len(shared.value) + token), max(1, len(shared.value)))
             bounds = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
             codes = pa.ListArray.from_arrays(pa.array(bounds), pa.array(token.astype(np.int32)), mask=lists.is_null())
             yield pa.RecordBatch.from_arrays([codes if c == words else part.column(c) for c in part.schema.names], names=part.schema.names)
