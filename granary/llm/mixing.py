@@ -41,8 +41,10 @@ def ranked_weights(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) ->
 def water_fill(sources: DataFrame, cap: int = CAP) -> DataFrame:
     """sources (source, source_size, weight) with target.
 
-    Sizes and weights stay whole numbers until the one division that gives a target.
+    Sizes and weights stay whole numbers until the one division that gives a target. They are multiplied as longs: a
+    weight times the words of a corpus of 6 GB is beyond an int.
     """
+    sources = sources.withColumn("weight", F.col("weight").cast("long"))
     state = settle(sources.select("*", F.lit(False).alias("full")))
     total = state.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     while True:

@@ -240,6 +240,14 @@ def test_mixing(spark, docs, nothing):
     assert mixing.mixture(spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")).agg({"taken": "sum"}).first()[0] == 0
 
 
+def test_targets_of_a_corpus_beyond_an_int(spark):
+    sizes = {"a": 400_000_000, "b": 300_000_000, "c": 200_000_000, "d": 10_000_000_000}
+    for some in (list("abc"), list("abcd")):
+        sources = spark.createDataFrame([(s, sizes[s]) for s in some], "source string, source_size long")
+        got = {r["source"]: r["target"] for r in mixing.water_fill(mixing.ranked_weights(sources)).collect()}
+        assert got == pytest.approx({s: float(t) for s, t in brute.targets({s: sizes[s] for s in some}).items()})
+
+
 def test_nearest(spark):
     nan = float("nan")
     rng = np.random.default_rng(1)
